@@ -17,7 +17,9 @@ table gives no shards and no rows. Other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
+import re
 import struct
 import zlib
 from array import array
@@ -35,24 +37,77 @@ HEADER, HEADER_BYTES = "<8sBB32s", struct.calcsize("<8sBB32s")
 NO_ID = -(1 << 63)  # stands for a null doc_id in the index
 
 
-def encoder(tokenizer_path: str, held: int = 300_000) -> Callable[[list[str]], list[bytes]]:
-    """Texts to ids as little-endian u32 bytes. The tokenizer drops white space, so that no id spans it:
-    pieces between spaces are encoded once and remembered. Beyond ``held`` pieces the memory starts anew."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+#: The normaliser and pre-tokeniser under which text may be encoded word by word (fixed values).
+BY_WORD = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
+#: The same split for lower-case printable Latin-1, whose letters and numbers are written out.
+LATIN = r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+
+
+class _Held(dict):
+    """Values made once and remembered; of two generations, the older one goes when the younger is full."""
+
+    def __init__(self, held: int) -> None:
+        self.held, self.old = held, {}
+
+    def __missing__(self, key: str) -> bytes:
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        if len(self) >= self.held:
+            self.old = self.copy()
+            self.clear()
+        self[key] = value
+        return value
+
+
+class _Pieces(_Held):
+    """Ids of what the pre-tokeniser leaves whole, by the tokenizer's own model."""
 
-    tokenizer, known = Tokenizer.from_file(tokenizer_path), {}
+    def __init__(self, model: object, held: int) -> None:
+        super().__init__(held)
+        keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        spare = iter(range(256, 512))
+        byte = {b: chr(b if b in keep else next(spare)) for b in range(256)}
+        self.model, self.bytes = model, {c: "".join(byte[b] for b in chr(c).encode()) for c in range(128, 256)}
 
-    def encode(texts: list[str]) -> list[bytes]:
-        pieces = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({p for row in pieces for p in row} - known.keys())
-        if len(known) + len(new) > held:
-            known.clear()
-            new = list({p for row in pieces for p in row})
-        known.update(zip(new, (array("I", e.ids).tobytes() for e in tokenizer.encode_batch(new, add_special_tokens=False)), strict=True))
-        return [b"".join(map(known.__getitem__, row)) for row in pieces]
+    def make(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.bytes))]).tobytes()
+
+
+class _Words(_Held):
+    """Ids of what stands between spaces."""
+
+    def __init__(self, tokenizer: object, held: int) -> None:
+        super().__init__(held)
+        self.tokenizer, self.pieces, self.split = tokenizer, _Pieces(tokenizer.model, held), re.compile(LATIN).findall
+
+    def make(self, word: str) -> bytes:
+        if not word.isprintable() or "<|" in word or not (word.isascii() or max(word) <= "ÿ"):
+            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
+
+
+def encoder(tokenizer_path: str, held: int = 250_000) -> Callable[[list[str]], list[bytes]]:
+    """Whole texts to ids as little-endian u32 bytes, without special tokens. A tokenizer that drops white space works
+    on one word at a time, so that the ids of a word can be remembered; any other gets the texts as they are."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
 
-    return encode
+    tokenizer = Tokenizer.from_file(tokenizer_path)
+    kind = json.loads(tokenizer.to_str())
+    if (kind["normalizer"], kind["pre_tokenizer"]) != BY_WORD or any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in kind["added_tokens"]):
+        return lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    known = _Words(tokenizer, held)
+    return lambda texts: [b"".join(map(known.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
 
 
 def _groups(texts: list[str], chars: int = 1_000_000) -> Iterator[slice]:
