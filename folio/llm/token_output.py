@@ -16,16 +16,18 @@ table gives no shards and no rows. Other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import json
 import os
-import re
 import struct
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -48,7 +50,8 @@ BY_WORD = (
         ],
     },
 )
-#: The same split for lower-case printable Latin-1, whose letters and numbers are written out.
+#: Words of printable Latin-1, and the same split for them in lower case, with letters and numbers written out.
+PLAIN = r"^[\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{FF}]*$"
 LATIN = r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
 
 
@@ -70,66 +73,76 @@ class _Held(dict):
 
 
 class _Pieces(_Held):
-    """Ids of what the pre-tokeniser leaves whole, by the tokenizer's own model."""
+    """Ids of what the pre-tokeniser leaves whole, by the tokenizer's own model; of anything odd, by the whole tokenizer."""
 
-    def __init__(self, model: object, held: int) -> None:
+    def __init__(self, tokenizer: object, kind: str, held: int) -> None:
         super().__init__(held)
         keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
         spare = iter(range(256, 512))
         byte = {b: chr(b if b in keep else next(spare)) for b in range(256)}
-        self.model, self.bytes = model, {c: "".join(byte[b] for b in chr(c).encode()) for c in range(128, 256)}
+        self.tokenizer, self.model, self.kind, self.bytes = tokenizer, tokenizer.model, kind, {c: "".join(byte[b] for b in chr(c).encode()) for c in range(128, 256)}
 
     def make(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.translate(self.bytes))]).tobytes()
-
-
-class _Words(_Held):
-    """Ids of what stands between spaces."""
-
-    def __init__(self, tokenizer: object, held: int) -> None:
-        super().__init__(held)
-        self.tokenizer, self.pieces, self.split = tokenizer, _Pieces(tokenizer.model, held), re.compile(LATIN).findall
-
-    def make(self, word: str) -> bytes:
-        if not word.isprintable() or "<|" in word or not (word.isascii() or max(word) <= "ÿ"):
-            return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-        return b"".join(map(self.pieces.__getitem__, self.split(word.lower())))
-
-
-def encoder(tokenizer_path: str, held: int = 250_000) -> Callable[[list[str]], list[bytes]]:
-    """Whole texts to ids as little-endian u32 bytes, without special tokens. A tokenizer that drops white space works
-    on one word at a time, so that the ids of a word can be remembered; any other gets the texts as they are."""
+        if piece.isascii() and piece.isprintable() and "<|" not in piece:
+            ids = [t.id for t in self.model.tokenize(piece)]
+        elif piece.isprintable() and max(piece) <= "ÿ" and "<|" not in piece:
+            ids = [t.id for t in self.model.tokenize(piece.translate(self.bytes))]
+        else:
+            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return array(self.kind, ids).tobytes()
+
+
+def _strung(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs of values that begin at ``first``, one after another, and where each ends up."""
+    upto = np.r_[0, np.cumsum(size)]
+    return values[np.repeat(first - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
+@functools.cache  # a worker's later tasks find the pieces of the earlier ones
+def encoder(tokenizer_path: str, width: int, held: int = 200_000) -> Callable[[pa.Array], list[bytes]]:
+    """Whole texts to ids as little-endian bytes, ``width`` for each id, without special tokens. A tokenizer that drops
+    white space gets each distinct piece of a batch's distinct words once, and its ids are remembered; any other gets
+    whole texts."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(tokenizer_path)
-    kind = json.loads(tokenizer.to_str())
-    if (kind["normalizer"], kind["pre_tokenizer"]) != BY_WORD or any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in kind["added_tokens"]):
-        return lambda texts: [array("I", e.ids).tobytes() for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
-    known = _Words(tokenizer, held)
-    return lambda texts: [b"".join(map(known.__getitem__, t.replace("\n", " ").split(" "))) for t in texts]
-
-
-def _groups(texts: list[str], chars: int = 1_000_000) -> Iterator[slice]:
-    first = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
-            yield slice(first, i + 1)
-            first, size = i + 1, 0
-    if first < len(texts):
-        yield slice(first, len(texts))
-
-
-def narrow(ids: bytes, width: int) -> bytes:
-    return array("H", array("I", ids)).tobytes() if width == 2 else ids
+    tokenizer, kind = Tokenizer.from_file(tokenizer_path), "H" if width == 2 else "I"
+    made = json.loads(tokenizer.to_str())
+    if (made["normalizer"], made["pre_tokenizer"]) != BY_WORD or any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in made["added_tokens"]):
+        return lambda texts: [array(kind, e.ids).tobytes() for e in tokenizer.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)]
+    known = _Pieces(tokenizer, kind, held)
+
+    def encode(texts: pa.Array) -> list[bytes]:
+        rows = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
+        words = pc.dictionary_encode(rows.flatten())
+        plain = pc.and_(pc.match_substring_regex(words.dictionary, PLAIN), pc.invert(pc.match_substring(words.dictionary, "<|")))
+        split = pc.split_pattern(pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(words.dictionary), LATIN, r"\0 "), words.dictionary), " ")
+        pieces = pc.dictionary_encode(split.flatten())
+        ids = [known[p] if p else b"" for p in pieces.dictionary.to_pylist()]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
+        which = pieces.indices.to_numpy()
+        of_words, upto = _strung(np.frombuffer(b"".join(ids), f"<u{width}"), (np.cumsum(size) - size)[which], size[which])
+        upto = upto[np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy())]]
+        which = words.indices.to_numpy()
+        data, ends = _strung(of_words, upto[:-1][which], np.diff(upto)[which])
+        data, ends = data.tobytes(), (ends[np.r_[0, np.cumsum(pc.list_value_length(rows).to_numpy())]] * width).tolist()
+        return [data[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+    return encode
+
+
+def _groups(texts: pa.Array, chars: int = 4_000_000) -> Iterator[slice]:
+    """Runs of texts of about so many characters together."""
+    upto = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) // chars
+    cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
+    yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b)
 
 
 def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs: int = 512, max_chars: int = 8192, size: int = 65_536) -> bytes:
     """From at most ``sample_docs`` documents of at most ``max_chars`` characters, the lowest by a hash of doc_id: shared
     context pays on short documents. It only steers compression; the ids that come back do not depend on it."""
     rows = docs.where(F.length("text").between(1, max_chars)).select("text", F.xxhash64("doc_id", F.lit(7)).alias("h")).orderBy("h", "text").limit(sample_docs).collect()
-    samples = [narrow(x, width) for x in encoder(tokenizer_path)([r.text for r in rows])]
+    samples = encoder(tokenizer_path, width)(pa.array([r.text for r in rows], pa.string()))
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
@@ -141,7 +154,7 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data, dict_type=kind) if data else None
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, level: int = 3) -> None:
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, level: int = 1) -> None:
     """Writes ``docs`` (doc_id, text) under ``path``. One range shuffle orders them; AQE sizes the shards."""
     from tokenizers import Tokenizer
 
@@ -149,20 +162,20 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, l
     width = 2 if max(Tokenizer.from_file(tokenizer_path).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
     dictionary = train_dictionary(docs, tokenizer_path, width)
     spark.createDataFrame([(bytearray(dictionary), hashlib.sha256(dictionary).hexdigest(), str(tokenizer_path).rsplit("/", 1)[-1])], "dictionary binary, sha256 string, tokenizer string").coalesce(1).write.parquet(f"{path}/dictionary")
-    end = array("I", [end_id]).tobytes()
+    end = array("H" if width == 2 else "I", [end_id]).tobytes()
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, zstd, index, at = encoder(tokenizer_path), zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary)), [], 0
+        encode, zstd, index, at = encoder(tokenizer_path, width), zstandard.ZstdCompressor(level=level, dict_data=_dictionary(dictionary)), [], 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for part in _groups(texts):
                 out = []
                 if not index:
                     out.append(struct.pack(HEADER, MAGIC, VERSION, width, hashlib.sha256(dictionary).digest()))
                     at = len(out[0]) + 1
                 for doc_id, data in zip(ids[part], encode(texts[part]), strict=True):
-                    out.append(zstd.compress(narrow(data + end, width)))
-                    index.append((NO_ID if doc_id is None else doc_id, at, len(out[-1]), len(data) // 4 + 1))
+                    out.append(zstd.compress(data + end))
+                    index.append((NO_ID if doc_id is None else doc_id, at, len(out[-1]), len(data) // width + 1))
                     at += len(out[-1]) + 1
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["record"])
         if index:
@@ -218,10 +231,10 @@ def read_shards(spark: SparkSession, path: str, doc_ids: list[int] | None = None
                 for seq, (doc_id, offset, length, n) in enumerate(read_index(data)):
                     if wanted is None or doc_id in wanted:
                         ids = zstd.decompress(bytes(data[offset : offset + length]))
-                        ids = array("I", array("H", ids)).tobytes() if width == 2 else ids
-                        if len(ids) != 4 * n:
+                        ids = np.frombuffer(ids, f"<u{width}").astype("<u4")
+                        if len(ids) != n:
                             raise ValueError(f"document {doc_id} is damaged")
-                        rows.append((name.as_py(), seq, doc_id, start, n, zlib.crc32(ids), *([array("I", ids).tolist()] if with_ids else [])))
+                        rows.append((name.as_py(), seq, doc_id, start, n, zlib.crc32(ids), *([ids.tolist()] if with_ids else [])))
                     start += n
                     if len(rows) >= 2000:
                         yield _batch(rows, with_ids)
