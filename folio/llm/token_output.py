@@ -99,7 +99,7 @@ def _strung(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 @functools.cache  # a worker's later tasks find the pieces of the earlier ones
-def encoder(tokenizer_path: str, width: int, held: int = 200_000) -> Callable[[pa.Array], list[bytes]]:
+def encoder(tokenizer_path: str, width: int, held: int = 100_000) -> Callable[[pa.Array], list[bytes]]:
     """Whole texts to ids as little-endian bytes, ``width`` for each id, without special tokens. A tokenizer that drops
     white space gets each distinct piece of a batch's distinct words once, and its ids are remembered; any other gets
     whole texts."""
@@ -131,17 +131,18 @@ def encoder(tokenizer_path: str, width: int, held: int = 200_000) -> Callable[[p
     return encode
 
 
-def _groups(texts: pa.Array, chars: int = 4_000_000) -> Iterator[slice]:
+def _groups(texts: pa.Array, chars: int = 3_000_000) -> Iterator[slice]:
     """Runs of texts of about so many characters together."""
     upto = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) // chars
     cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
     yield from (slice(a, b) for a, b in zip(cuts[:-1], cuts[1:], strict=True) if a < b)
 
 
-def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs: int = 512, max_chars: int = 8192, size: int = 65_536) -> bytes:
-    """From at most ``sample_docs`` documents of at most ``max_chars`` characters, the lowest by a hash of doc_id: shared
+def train_dictionary(docs: DataFrame, tokenizer_path: str, width: int, sample_docs: int = 1024, max_chars: int = 8192, size: int = 65_536) -> bytes:
+    """From the documents of at most ``max_chars`` characters among the ``sample_docs`` lowest by a hash of doc_id: shared
     context pays on short documents. It only steers compression; the ids that come back do not depend on it."""
-    rows = docs.where(F.length("text").between(1, max_chars)).select("text", F.xxhash64("doc_id", F.lit(7)).alias("h")).orderBy("h", "text").limit(sample_docs).collect()
+    ids = [r.doc_id for r in docs.where("doc_id IS NOT NULL").select("doc_id").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(sample_docs).collect()]
+    rows = docs.where(F.col("doc_id").isin(ids) & F.length("text").between(1, max_chars)).select("text").orderBy(F.xxhash64("text"), "text").limit(sample_docs).collect() if ids else []
     samples = encoder(tokenizer_path, width)(pa.array([r.text for r in rows], pa.string()))
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
