@@ -33,6 +33,7 @@ class Scratch:
     """Written tables in the shared folder that cut lineage; unlike cached blocks they outlive executors."""
 
     def __init__(self, spark: SparkSession, name: str) -> None:
+        spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a written table's shuffle is of no more use
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
@@ -50,8 +51,13 @@ class Scratch:
             for f in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
                 delete(self.spark, f)
 
-    def clear(self) -> None:
-        delete(self.spark, self.root)
+    def keep_only(self, *frames: DataFrame) -> None:
+        """Deletes all tables but those that the result reads."""
+        kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in frames for f in df.inputFiles()}
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        for status in root.getFileSystem(self.spark._jsc.hadoopConfiguration()).listStatus(root):
+            if status.getPath().getName() not in kept:
+                delete(self.spark, str(status.getPath()))
 
 
 def delete(spark: SparkSession, at: str) -> None:

@@ -36,6 +36,8 @@ from .graph import components
 U = np.uint64
 PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], U)
 MASK = (1 << 64) - 1
+#: Longs of the bit sketch that tests a candidate before its sets are read.
+SKETCH = 16
 #: Bits of a word's name besides those of its bucket; a clash costs a candidate, never a link.
 LOW = 40
 ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("id", "<i8")])
@@ -69,7 +71,9 @@ def shingles(text: str | None, hashes: WordHashes, k: int = 5) -> np.ndarray:
     many = one[: n - k + 1] * PRIMES[0]
     for i in range(1, k):
         many += one[i : n - k + 1 + i] * PRIMES[i]
-    return np.unique(mix(many))
+    many = mix(many)
+    many.sort()
+    return many[np.r_[True, many[1:] != many[:-1]]]
 
 
 def words_of_band(band: int) -> int:
@@ -203,57 +207,55 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
                 found = [shingles(t.as_py(), hashes) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())], ["name", "shingles", "n"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bit_sketch(s) for s in found], pa.list_(pa.int64()))], ["name", "shingles", "sketch"])
 
-    return docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("name", "text").mapInArrow(of, "name long, shingles binary, n long")
+    return docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("name", "text").mapInArrow(of, "name long, shingles binary, sketch array<long>")
 
 
-def bit_sketch(s: np.ndarray, bits: int = 2048) -> np.ndarray:
-    """Parity of the shingles that hash to each bit."""
-    return np.packbits((np.bincount((s & U(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8))
+def bit_sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the shingles that hash to each of the bits of SKETCH longs."""
+    odd = np.bincount((s & U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _far(a: str, b: str, percent: int) -> str:
+    """The largest symmetric difference of a link between sets of a and b shingles, in SQL."""
+    return f"({100 - percent} * ({a} + {b}) div {100 + percent})"
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those whose sets have percent or more in common."""
+    """Of the pairs (a, b, ca, cb), those whose whole sets have ``percent`` or more in common."""
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
-                far = (100 - percent) * (len(x) + len(y)) // (100 + percent)  # the largest symmetric difference of a link
-                ok = abs(len(x) - len(y)) <= far and int(np.bitwise_count(bit_sketch(x) ^ bit_sketch(y)).sum()) <= far
-                if ok:
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok = 100 * both >= percent * (len(x) + len(y) - both)
-                good.append(ok)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(100 * both >= percent * (len(x) + len(y) - both))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["ca", "cb"]).filter(pa.array(good, pa.bool_()))
 
     left = sets.select(F.col("name").alias("a"), F.col("shingles").alias("x"))
     right = sets.select(F.col("name").alias("b"), F.col("shingles").alias("y"))
-    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", "x", "y").mapInArrow(test, "a long, b long")
+    return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("ca", "cb", "x", "y").mapInArrow(test, "ca long, cb long")
 
 
 def _candidates(found: DataFrame, scratch: Scratch) -> DataFrame:
     """(word, name, n): for each set that may have a partner, its rarest shared words, as many as the pigeonhole needs."""
-    known = found.where("doc_id IS NOT NULL AND n > 0")
-    sides = known.select("name", "n", F.col("id1").alias("id"), F.col("words1").alias("words")).unionByName(known.where("id2 IS NOT NULL").select("name", "n", F.col("id2").alias("id"), F.col("words2").alias("words"))).distinct()
+    known = found.where("n > 0")
+    sides = known.select("name", "n", F.explode(F.array(F.struct(F.col("id1").alias("id"), F.col("words1").alias("words")), F.struct(F.col("id2").alias("id"), F.col("words2").alias("words")))).alias("s")).select("name", "n", "s.*").where("id IS NOT NULL").distinct()
     shared = found.where("word IS NOT NULL").select("word", "id").distinct()
-    for _ in range(2):  # what leaves may leave other words with one document
-        counts = shared.groupBy("id").agg(F.count("*").alias("shared"))
-        staying = sides.join(counts, "id").withColumn("need", F.expr("n div 3 + 1 - (words - shared)")).where("need > 0")
-        kept = shared.join(staying.select("id", "name", "n", "need"), "id")
-        often = kept.groupBy("word").agg(F.count("*").alias("often"), F.min("name").alias("lo"), F.max("name").alias("hi")).where("lo < hi").select("word", "often")
-        rows = scratch.keep(kept.join(often, "word"), "shared")
-        shared = rows.select("word", "id")
-    # A word that pruning has left to one set alone takes a place in its prefix, too.
-    counts = rows.groupBy("id").agg(F.count("*").alias("left"))
-    before = sides.join(counts, "id").select("id", F.expr("n div 3 + 1 - (words - left)").alias("room"))
-    ranked = rows.join(before.where("room > 0"), "id").groupBy("id", "name", "n", "room").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("by"))
+    counts = shared.groupBy("id").agg(F.count("*").alias("shared"))
+    # A set with n div 3 + 1 words of its own shares none of its prefix.
+    room = sides.join(counts, "id").withColumn("room", F.expr("n div 3 + 1 - (words - shared)")).where("room > 0").select("id", "name", "n", "words")
+    kept = shared.join(room, "id")
+    often = kept.groupBy("word").agg(F.count("*").alias("often")).where("often > 1")
+    rows = kept.join(often, "word")
+    ranked = rows.groupBy("id", "name", "n", "words").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("by")).withColumn("room", F.expr("n div 3 + 1 - (words - size(by))")).where("room > 0")
     return ranked.select("name", "n", F.explode(F.slice("by", F.lit(1), F.col("room").cast("int"))).alias("w")).select("w.word", "name", "n").distinct()
 
 
-def link_components(docs: DataFrame, percent: int = 75, rounds: int = 4) -> DataFrame:
+def link_components(docs: DataFrame, percent: int = 75, rounds: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; documents of a component are linked through Jaccard similarities of
     ``percent`` or more. The sketch is laid out for 75 and finds all links at that or more."""
     if percent < 75:
@@ -263,40 +265,42 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 4) -> Data
     buckets = 1 << min(16, max(8, (docs.count() // 1000).bit_length()))
     found = scratch.keep(_shared_words(docs, buckets), "found")
     base = scratch.keep(found.where("n IS NOT NULL").select("doc_id", "n", "name"), "base")
-    words = scratch.keep(_candidates(found, scratch), "words")
+    words = scratch.keep(_candidates(found, scratch).withColumn("component", F.col("name")), "words")
     scratch.drop(found)
     first = base.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     sets = scratch.keep(_sets(docs, words.select("name").distinct().join(first, "name")).dropDuplicates(["name"]), "sets")
-    label = None  # (node, component) of the sets that have links
-    links = None
+    merges, tried, linked = [], 0, 0
     for turn in range(rounds + 1):
-        at = words if label is None else words.join(label.withColumnRenamed("node", "name"), "name", "left").select("word", "name", "n", F.coalesce("component", "name").alias("component"))
-        at = at if label is not None else at.withColumn("component", F.col("name"))
-        order = F.xxhash64("component", F.lit(turn))
-        heads = at.groupBy("word").agg(F.min(F.struct(order.alias("o"), "component", "name")).alias("h"), F.max("component").alias("hi"), F.min("component").alias("lo"), F.approx_count_distinct("component").alias("many")).where("lo < hi")
-        open_words = scratch.keep(at.join(heads, "word"), "open")
-        if turn < rounds:
-            pairs = open_words.where("component <> h.component").groupBy("name").agg(F.min_by("h.name", F.struct("many", "h.o")).alias("b")).select(F.col("name").alias("a"), "b")
-        else:
-            pairs = None
-        size = open_words.groupBy("word").agg(F.count("*").alias("c")).agg(F.sum(F.expr("c * (c - 1)"))).head()[0] or 0
-        if not size:
+        heads = words.groupBy("word").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("o"), "component", "name")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("word", "h", "c")
+        still = scratch.keep(words.join(heads, "word"), "open")  # words that meet several components
+        scratch.drop(words)
+        rows, size = still.agg(F.count("*"), F.sum(F.expr("c - 1"))).head()
+        if not rows:
             break
-        if pairs is None or size <= 4 * open_words.count():
-            x = open_words.select("word", F.col("name").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"))
-            y = open_words.select("word", F.col("name").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"))
-            pairs, turn = x.join(y, "word").where(f"a < b AND ca <> cb AND 100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct(), rounds
-        new = scratch.keep(_verified(pairs, sets, percent), "links")
-        links = new if links is None else links.unionByName(new)
-        label = scratch.keep(components(links, scratch), "label")
-        if turn == rounds:
+        last = turn == rounds or size <= 4 * rows or 20 * linked < tried  # few pairs, or most that share words aren't linked
+        if last:
+            own = still.select("word", "name", "n", "component").join(sets.select("name", "sketch"), "name")
+            x, y = (own.toDF("name" + v, "word", "n" + v, "c" + v, "sketch" + v) for v in "ab")
+            apart = " + ".join(f"bit_count(sketcha[{i}] ^ sketchb[{i}])" for i in range(SKETCH))
+            pairs = x.join(y, "word").where(f"namea < nameb AND ca <> cb AND {apart} <= {_far('na', 'nb', percent)} AND abs(na - nb) <= {_far('na', 'nb', percent)}").select(F.col("namea").alias("a"), F.col("nameb").alias("b"), "ca", "cb").distinct()
+        else:
+            pairs = still.where("component <> h.component").groupBy("name", "component").agg(F.min(F.struct("c", "h")).alias("m")).select(F.col("name").alias("a"), F.col("m.h.name").alias("b"), F.col("component").alias("ca"), F.col("m.h.component").alias("cb"))
+        pairs = scratch.keep(pairs, "pairs")
+        links = scratch.keep(_verified(pairs, sets, percent), "links")
+        tried, linked = pairs.count(), links.count()
+        merges.append(scratch.keep(components(links.toDF("a", "b"), scratch), "merge"))
+        if last:
             break
-    names = first.join(label.withColumnRenamed("node", "name"), "name", "left").select("name", "doc_id", F.coalesce("component", "name").alias("component")) if label is not None else first.withColumn("component", F.col("name"))
+        moved = merges[-1].toDF("component", "to")
+        words = scratch.keep(still.select("word", "name", "n", "component").join(moved, "component", "left").select("word", "name", "n", F.coalesce("to", "component").alias("component")), "words")
+        scratch.drop(still, pairs, links)
+    names = first.withColumn("component", F.col("name"))
+    for merge in merges:
+        names = names.join(merge.toDF("component", "to"), "component", "left").select("name", "doc_id", F.coalesce("to", "component").alias("component"))
     least = names.groupBy("component").agg(F.min("doc_id").alias("least"))
     names = names.join(least, "component").select("name", "least")
-    out = base.join(names, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
-    result = scratch.keep(out, "result")
-    scratch.drop(base, words, sets)
+    result = scratch.keep(base.join(names, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")), "result")
+    scratch.keep_only(result)
     return result
 
 
