@@ -29,7 +29,7 @@ def host(url: Column) -> Column:
 
 def lines(html: Column) -> Column:
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, ""), SPACE, " "), BLOCK, "\n"), "<[^>]*>", "")
-    return F.filter(F.transform(F.split(plain, "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(plain, "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def without_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 3) -> DataFrame:

@@ -6,12 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .decontaminate import op1_decontaminate
+from .exact_dedup import OP6_SQL, op6_exact_dedup
+from .line_dedup import OP7_SQL, op7_line_dedup
+from .main_text import op9_main_text
+from .mixing import op10_mixing
 from .parity_join import op3_jaccard_join
+from .pii import op4_pii
 from .token_output import op2_token_output
+from .tool_calls import op5_tool_calls
+from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontaminate": op1_decontaminate,
     "op2_token_output": op2_token_output,
     "op3_jaccard_join": op3_jaccard_join,
+    "op4_pii": op4_pii,
+    "op5_tool_calls": op5_tool_calls,
+    "op6_exact_dedup": op6_exact_dedup,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_main_text": op9_main_text,
+    "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
