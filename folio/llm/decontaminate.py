@@ -26,7 +26,8 @@ BROADCAST_SEEDS = 2_000_000
 
 
 def _tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    """Tokens, and an empty one before or after them if the text begins or ends with none."""
+    return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
 def _seeds(at: str) -> Column:
@@ -36,16 +37,16 @@ def _seeds(at: str) -> Column:
 def overlaps(docs: DataFrame, items: DataFrame, full: int = 12, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """doc_id, item_id, doc_start, score, matched, item_tokens: the best alignment of each document with each item that
     overlaps. ``doc_start`` is where the item's first token would stand in the document, from 0."""
-    places = F.expr(f"sequence(0, size(tokens) - {SPAN})")
-    wanted = items.select("item_id", _tokens(text_or_empty()).alias("tokens")).where(f"size(tokens) >= {SPAN}")
+    places = F.expr(f"IF(size(tokens) >= {SPAN}, sequence(0, size(tokens) - {SPAN}), array())")
+    wanted = items.select("item_id", F.filter(_tokens(text_or_empty()), lambda w: w != "").alias("tokens"))
     seeds = wanted.select("item_id", F.col("tokens").alias("item"), F.explode(places).alias("j"), "tokens").select("item_id", "item", "j", F.explode(_seeds("j")).alias("seed"))
     if seeds.limit(broadcast_seeds + 1).count() <= broadcast_seeds:
         seeds = F.broadcast(seeds)
-    # No shuffle up to here: tokens are read by position in generated code, not collected into windows.
-    read = docs.select("doc_id", _tokens(text_or_empty()).alias("tokens")).where(f"size(tokens) >= {SPAN}")
+    read = docs.select("doc_id", _tokens(text_or_empty()).alias("tokens"))
+    # One stage of generated code from here to the join: windows are read by position and never become rows of their own.
     hits = read.select("doc_id", "tokens", F.explode(places).alias("i")).select("doc_id", "tokens", "i", F.explode(_seeds("i")).alias("seed")).join(seeds, "seed")
     start = F.col("i") - F.col("j")
-    lined = hits.select("doc_id", "item_id", start.alias("doc_start"), "item", F.transform(F.col("item"), lambda w, k: F.coalesce(F.get("tokens", start + k), F.lit("")) == w).alias("same"))
+    lined = hits.select("doc_id", "item_id", (start - F.when(F.col("tokens")[0] == "", 1).otherwise(0)).alias("doc_start"), "item", F.transform(F.col("item"), lambda w, k: F.coalesce(F.get("tokens", start + k), F.lit("")) == w).alias("same"))
     run = F.aggregate(
         "same",
         F.struct(F.lit(0).alias("here"), F.lit(0).alias("best")),
@@ -53,7 +54,9 @@ def overlaps(docs: DataFrame, items: DataFrame, full: int = 12, broadcast_seeds:
         lambda s: s.best,
     )
     scored = lined.select("doc_id", "item_id", "doc_start", run.alias("score"), F.size(F.filter("same", lambda ok: ok)).alias("matched"), F.size("item").alias("item_tokens"))
-    best = scored.where(F.col("score") >= F.least(F.lit(full), F.ceil(F.col("item_tokens") / 2))).groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "matched", (-F.col("doc_start")).alias("back"), "item_tokens")).alias("b"))
+    # The test stands after the maximum: as a filter it would move into the join and out of the generated code.
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct("score", "matched", (-F.col("doc_start")).alias("back"), "item_tokens")).alias("b"))
+    best = best.where(F.col("b.score") >= F.least(F.lit(full), F.ceil(F.col("b.item_tokens") / 2)))
     return best.select("doc_id", "item_id", (-F.col("b.back")).alias("doc_start"), "b.score", "b.matched", "b.item_tokens")
 
 
