@@ -240,7 +240,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("ca", "cb", "x", "y").mapInArrow(test, "ca long, cb long")
 
 
-def _candidates(found: DataFrame, scratch: Scratch) -> DataFrame:
+def _candidates(found: DataFrame) -> DataFrame:
     """(word, name, n): for each set that may have a partner, its rarest shared words, as many as the pigeonhole needs."""
     known = found.where("n > 0")
     sides = known.select("name", "n", F.explode(F.array(F.struct(F.col("id1").alias("id"), F.col("words1").alias("words")), F.struct(F.col("id2").alias("id"), F.col("words2").alias("words")))).alias("s")).select("name", "n", "s.*").where("id IS NOT NULL").distinct()
@@ -255,6 +255,15 @@ def _candidates(found: DataFrame, scratch: Scratch) -> DataFrame:
     return ranked.select("name", "n", F.explode(F.slice("by", F.lit(1), F.col("room").cast("int"))).alias("w")).select("w.word", "name", "n").distinct()
 
 
+def _uncovered(words: DataFrame) -> DataFrame:
+    """Without words whose sets all have another word in common: that one meets every pair of them already. Each set names
+    its most frequent word; a word whose sets all name the same other one is covered by it."""
+    often = words.groupBy("word").agg(F.count("*").alias("c"))
+    named = words.join(often, "word").groupBy("name").agg(F.max(F.struct("c", "word"))["word"].alias("top"))
+    kept = words.join(named, "name").groupBy("word").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo <> hi OR lo = word").select("word")
+    return words.join(kept, "word")
+
+
 def link_components(docs: DataFrame, percent: int = 75, rounds: int = 6) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; documents of a component are linked through Jaccard similarities of
     ``percent`` or more. The sketch is laid out for 75 and finds all links at that or more."""
@@ -265,8 +274,10 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 6) -> Data
     buckets = 1 << min(16, max(8, (docs.count() // 1000).bit_length()))
     found = scratch.keep(_shared_words(docs, buckets), "found")
     base = scratch.keep(found.where("n IS NOT NULL").select("doc_id", "n", "name"), "base")
-    words = scratch.keep(_candidates(found, scratch).withColumn("component", F.col("name")), "words")
+    prefixes = scratch.keep(_candidates(found), "prefixes")
     scratch.drop(found)
+    words = scratch.keep(_uncovered(prefixes).withColumn("component", F.col("name")), "words")
+    scratch.drop(prefixes)
     first = base.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
     sets = scratch.keep(_sets(docs, words.select("name").distinct().join(first, "name")).dropDuplicates(["name"]), "sets")
     merges, tried, linked = [], 0, 0
@@ -279,7 +290,7 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 6) -> Data
             break
         last = turn == rounds or size <= 4 * rows or 20 * linked < tried  # few pairs, or most that share words aren't linked
         if last:
-            own = still.select("word", "name", "n", "component").join(sets.select("name", "sketch"), "name")
+            own = _uncovered(still.select("word", "name", "n", "component")).select("word", "name", "n", "component").join(sets.select("name", "sketch"), "name")
             x, y = (own.toDF("name" + v, "word", "n" + v, "c" + v, "sketch" + v) for v in "ab")
             apart = " + ".join(f"bit_count(sketcha[{i}] ^ sketchb[{i}])" for i in range(SKETCH))
             pairs = x.join(y, "word").where(f"namea < nameb AND ca <> cb AND {apart} <= {_far('na', 'nb', percent)} AND abs(na - nb) <= {_far('na', 'nb', percent)}").select(F.col("namea").alias("a"), F.col("nameb").alias("b"), "ca", "cb").distinct()
