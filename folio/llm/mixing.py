@@ -84,7 +84,7 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
 
     turns = placed.where("size > 0").select("*", F.explode(F.array(*[F.lit(r) for r in range(REPEATS)])).alias("round")).withColumn("from", F.col("at") + F.col("round") * F.col("source_size"))
     pieces = turns.select("*", F.explode(F.expr(f"sequence(from div {block}, (from + size - 1) div {block})")).alias("block"))
-    got = pieces.join(taken, ["number", "block"]).select("number", "at", "doc_id", F.struct("round", (F.greatest(F.col("from"), F.col("block") * block) - F.col("from")).alias("lo"), (F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.col("from")).alias("hi")).alias("span"))
+    got = pieces.join(taken.hint("merge"), ["number", "block"]).select("number", "at", "doc_id", F.struct("round", (F.greatest(F.col("from"), F.col("block") * block) - F.col("from")).alias("lo"), (F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.col("from")).alias("hi")).alias("span"))
     got = got.groupBy("number", "at", "doc_id").agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
     none = placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast(got.schema["spans"].dataType).alias("spans"))
     some = placed.where("size > 0").join(got, ["number", "at", "doc_id"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "spans")
