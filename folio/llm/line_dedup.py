@@ -8,8 +8,8 @@ host of one or two pages keeps all.
 Lines are what block markup separates, without markup, scripts, styles and comments,
 with single spaces. A line that stands several times in a page counts once for it and
 goes or stays everywhere. Null html or url counts as empty; a url without a host is of
-the host ''. Rows of equal page_id and url are one page, with their lines together. An empty
-table gives no rows. Other columns are ignored.
+the host ''. Rows of equal page_id and url count as one page, and each gives its row. An
+empty table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, Scratch, table
 
 HIDDEN = r"(?is)<(script|style|noscript|template|title)\b.*?</\1\s*>|<!--.*?-->"
 BLOCK = r"(?i)</?(?:p|div|li|ul|ol|h[1-6]|nav|article|section|aside|header|footer|main|form|table|tr|td|th|br|hr|dl|dt|dd|pre|blockquote|body|head|html|figure)\b[^>]*>"
@@ -34,15 +34,18 @@ def lines(html: Column) -> Column:
 
 def without_boilerplate(pages: DataFrame, ratio: float = 0.3, least_pages: int = 3) -> DataFrame:
     """page_id, url, host, text (kept lines), n_lines, n_dropped for each page."""
-    split = pages.select("page_id", "url", host(F.col("url")).alias("host"), lines(F.col("html")).alias("lines"))
-    each = split.select("page_id", "url", "host", F.posexplode_outer("lines").alias("at", "line")).withColumn("key", F.xxhash64("line"))
-    totals = pages.select("page_id", "url", host(F.col("url")).alias("host")).distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    found = split.select("page_id", "url", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("key")).groupBy("host", "key").agg(F.count("*").alias("on")).where(F.col("on") >= least_pages)
-    common = found.join(totals, "host").where(F.col("on") > ratio * F.col("pages")).select("host", "key", F.lit(True).alias("drop"))
-    marked = each.join(common, ["host", "key"], "left").select("page_id", "url", "host", "at", "line", F.coalesce("drop", F.lit(False)).alias("drop"))
-    kept = F.transform(F.filter(F.sort_array(F.collect_list(F.struct("at", "line", "drop"))), lambda x: ~x["drop"] & x["line"].isNotNull()), lambda x: x["line"])
-    whole = marked.groupBy("page_id", "url", "host").agg(F.array_join(kept, "\n").alias("text"), F.count("line").alias("n_lines"), F.sum(F.when(F.col("drop"), 1).otherwise(0)).alias("n_dropped"))
-    return whole.select("page_id", "url", "host", "text", "n_lines", "n_dropped")
+    scratch = Scratch(pages.sparkSession, "lines")
+    page = F.xxhash64("page_id", "url").alias("page")
+    split = pages.select(page, "page_id", "url", host(F.col("url")).alias("host"), lines(F.col("html")).alias("lines"))
+    keys = scratch.keep(split.select("page", "host", F.explode_outer(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("key")).distinct(), "keys")
+    totals = keys.select("page", "host").distinct().groupBy("host").agg(F.count("*").alias("pages"))
+    found = keys.where("key IS NOT NULL").groupBy("host", "key").agg(F.count("*").alias("on")).where(F.col("on") >= least_pages)
+    common = found.join(totals, "host").where(F.col("on") > ratio * F.col("pages")).select("host", "key")
+    # Only hashes are dealt by line; texts move once, to what their page drops.
+    drops = keys.join(common, ["host", "key"]).groupBy("page").agg(F.collect_set("key").alias("drops"))
+    whole = split.join(drops, "page", "left")
+    kept = F.filter("lines", lambda x: F.col("drops").isNull() | ~F.array_contains("drops", F.xxhash64(x)))
+    return whole.select("page_id", "url", "host", F.col("lines"), kept.alias("kept")).select("page_id", "url", "host", F.array_join("kept", "\n").alias("text"), F.size("lines").cast("long").alias("n_lines"), (F.size("lines") - F.size("kept")).cast("long").alias("n_dropped"))
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
