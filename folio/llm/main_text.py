@@ -186,7 +186,13 @@ def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each page."""
     scratch = Scratch(pages.sparkSession, "wrappers")
     pages = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    wrappers = scratch.keep(induced(pages), "wrappers")  # a small table: Spark broadcasts it if its files are below the threshold
+    wrappers = scratch.keep(induced(pages), "wrappers")
+    size = wrappers.agg(F.coalesce(F.sum(F.expr("aggregate(template, 100, (n, t) -> n + 2 * length(t))")), F.lit(0))).head()[0]
+    if size <= 64 << 20:  # about as many bytes, measured
+        joined = pages.join(F.broadcast(wrappers), "host", "left")
+    else:  # each host's wrapper goes to sixteen places, so that no host needs one task
+        dealt = wrappers.withColumn("part", F.explode(F.array(*map(F.lit, range(16)))))
+        joined = pages.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")).join(dealt.hint("merge"), ["host", "part"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +201,7 @@ def extracted(pages: DataFrame) -> DataFrame:
                 text = [main_text(h or "", frozenset(t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.join(wrappers, "host", "left").select(F.col("page_id").cast("long"), "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.select(F.col("page_id").cast("long"), "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
