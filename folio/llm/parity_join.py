@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
@@ -38,6 +38,8 @@ PRIMES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 MASK = (1 << 64) - 1
 #: Longs of the bit sketch that tests a candidate before its sets are read.
 SKETCH = 16
+#: Numbered words of a family that a pair's first common word is looked for in.
+WORD_BITS = 512
 #: Bits of a word's name besides those of its bucket; a clash costs a candidate, never a link.
 LOW = 40
 ENTRY = np.dtype([("low", "<u4"), ("high", "u1"), ("id", "<i8")])
@@ -264,7 +266,31 @@ def _uncovered(words: DataFrame) -> DataFrame:
     return words.join(kept, "word")
 
 
-def link_components(docs: DataFrame, percent: int = 75, rounds: int = 6) -> DataFrame:
+def _open_pairs(still: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) from different components (ca, cb) that share a word and whose sketches are near enough.
+
+    Near-copies share many words, but a pair is wanted once: at the first word that both have. Words are numbered within a
+    family (sets connected through words), frequent ones first, and each set has a bitmap of its first WORD_BITS numbers.
+    A pair without a common word among those is met at each later one."""
+    own = scratch.keep(_uncovered(still.select("word", "name", "n", "component")).select("word", "name", "n", "component"), "own")
+    heads = scratch.keep(own.groupBy("word").agg(F.min("name").alias("head"), F.count("*").alias("c")), "heads")
+    family = components(own.join(heads, "word").select(F.col("name").alias("a"), F.col("head").alias("b")), scratch)
+    order = Window.partitionBy("family").orderBy(F.desc("c"), "word")
+    numbers = heads.join(family.toDF("head", "family"), "head", "left").select("word", "c", F.coalesce("family", "head").alias("family"))
+    numbers = scratch.keep(numbers.select("word", (F.row_number().over(order) - 1).alias("i")), "numbers")
+    parts = range(WORD_BITS // 64)
+    below = F.array(*[F.expr(f"CASE WHEN i >= {64 * k + 64} THEN -1L WHEN i <= {64 * k} THEN 0L ELSE ~shiftleft(-1L, i - {64 * k}) END") for k in parts])
+    bits = own.join(numbers, "word").groupBy("name").agg(F.array(*[F.expr(f"bit_or(CASE WHEN i div 64 = {k} THEN shiftleft(1L, CAST(i % 64 AS INT)) ELSE 0L END)") for k in parts]).alias("bits"))
+    own = own.join(numbers, "word").join(bits, "name").join(sets.select("name", "sketch"), "name").select("word", "name", "n", "component", "bits", below.alias("below"), "sketch")
+    own = scratch.keep(own, "numbered")  # else the optimizer would join pairs first
+    x, y = (own.toDF("word", *[c + v for c in ("name", "n", "c", "bits", "below", "sketch")]) for v in "ab")
+    first = " AND ".join(f"(bitsa[{k}] & bitsb[{k}] & belowa[{k}]) = 0" for k in parts)
+    apart = " + ".join(f"bit_count(sketcha[{i}] ^ sketchb[{i}])" for i in range(SKETCH))
+    far = _far("na", "nb", percent)
+    return x.join(y, "word").where(f"namea < nameb AND ca <> cb AND abs(na - nb) <= {far} AND {first} AND {apart} <= {far}").select(F.col("namea").alias("a"), F.col("nameb").alias("b"), "ca", "cb").distinct()
+
+
+def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
     """doc_id, n_shingles, component_id for each row; documents of a component are linked through Jaccard similarities of
     ``percent`` or more. The sketch is laid out for 75 and finds all links at that or more."""
     if percent < 75:
@@ -290,10 +316,7 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 6) -> Data
             break
         last = turn == rounds or size <= 4 * rows or 20 * linked < tried  # few pairs, or most that share words aren't linked
         if last:
-            own = _uncovered(still.select("word", "name", "n", "component")).select("word", "name", "n", "component").join(sets.select("name", "sketch"), "name")
-            x, y = (own.toDF("name" + v, "word", "n" + v, "c" + v, "sketch" + v) for v in "ab")
-            apart = " + ".join(f"bit_count(sketcha[{i}] ^ sketchb[{i}])" for i in range(SKETCH))
-            pairs = x.join(y, "word").where(f"namea < nameb AND ca <> cb AND {apart} <= {_far('na', 'nb', percent)} AND abs(na - nb) <= {_far('na', 'nb', percent)}").select(F.col("namea").alias("a"), F.col("nameb").alias("b"), "ca", "cb").distinct()
+            pairs = _open_pairs(still, sets, percent, scratch)
         else:
             pairs = still.where("component <> h.component").groupBy("name", "component").agg(F.min(F.struct("c", "h")).alias("m")).select(F.col("name").alias("a"), F.col("m.h.name").alias("b"), F.col("component").alias("ca"), F.col("m.h.component").alias("cb"))
         pairs = scratch.keep(pairs, "pairs")
