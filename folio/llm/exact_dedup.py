@@ -74,7 +74,7 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -
     rows = index.runs().withColumn("sha", F.col("digest")) if digest is sha256 else digested
     plain = rows.join(level, "digest").select("doc_id", "keep_id", "group_size", "digest", "sha")
     if not other.isEmpty():  # one digest for several texts: those go by their whole text
-        by_text = members.join(other, "digest", "left_semi").groupBy("digest", sha256(F.col("text")).alias("sha"), "text").agg(F.min("doc_id").alias("keep"), F.count("*").alias("size")).drop("text")
+        by_text = scratch.keep(members.join(other, "digest", "left_semi").groupBy("digest", sha256(F.col("text")).alias("sha"), "text").agg(F.min("doc_id").alias("keep"), F.count("*").alias("size")).drop("text"), "by_text")
         plain = plain.join(by_text, ["digest", "sha"], "left").select("doc_id", F.coalesce("keep", "keep_id").alias("keep_id"), F.coalesce("size", "group_size").alias("group_size"), "sha")
     result = plain.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
     scratch.drop(members)

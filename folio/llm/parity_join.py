@@ -118,7 +118,9 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
         bucket = (word >> U(LOW)).astype(np.int64)
         for side, at in ((~known, 0), (known, buckets)):
             e, b = entry[side], bucket[side]
-            cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]]) if len(b) else []
+            if not len(b):
+                continue
+            cuts = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
             for lo, hi in zip(cuts, [*cuts[1:], len(b)], strict=True):
                 yield int(b[lo]) + at, e[lo:hi].tobytes()
 

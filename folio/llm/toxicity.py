@@ -38,6 +38,7 @@ CATEGORIES = (("low_quality", "CAST(quality = 0 AS INT)"), ("toxic", "CAST(toxic
 FOLDS = 5
 #: Letters of the beginnings of words that count as features.
 STARTS = (4, 5)
+STYLES = 4
 
 
 def features(text: str | None) -> tuple[set[str], list[float]]:
@@ -83,7 +84,7 @@ class Sample:
         encoded = pc.dictionary_encode(lists.flatten())
         self.names, self.word = encoded.dictionary, encoded.indices.to_numpy()
         self.row = np.repeat(np.arange(len(rows)), pc.list_value_length(lists).to_numpy())
-        self.dense = np.array(rows["style"].to_pylist(), float).reshape(len(rows), -1)
+        self.dense = np.array(rows["style"].to_pylist(), float).reshape(len(rows), STYLES)
         self.y = {c: rows[c].to_numpy().astype(float) for c in categories}
         self.fold = rows["fold"].to_numpy()
 
