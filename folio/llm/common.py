@@ -34,6 +34,8 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a written table's shuffle is of no more use
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts: ten thousand are too many for a Python worker
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:

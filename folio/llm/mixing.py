@@ -97,7 +97,8 @@ def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     spans = mix(docs, seed).where("taken > 0").select("doc_id", "size", "taken", "spans")
     whole = "taken = size AND size(filter(spans, s -> s.round <> spans[0].round)) = 0"
     words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
-    cut = F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(words, (s.lo + 1).cast("int"), (s.hi - s.lo).cast("int")))), " ")
+    # The words are bound once, not split anew for each span.
+    cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s.lo + 1).cast("int"), (s.hi - s.lo).cast("int")))), " "))[0]
     out = docs.join(spans.hint("merge"), "doc_id").withColumn("text", F.when(F.expr(whole), F.col("text")).otherwise(cut))
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
 

@@ -55,7 +55,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 400_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -145,7 +145,7 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
                     continue
                 name = set_name(s)
                 if name not in seen:
-                    if len(seen) > 200_000:
+                    if len(seen) > 50_000:
                         seen.clear()
                     n, own = len(s), []
                     band = n.bit_length() - 1
@@ -157,7 +157,7 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
                         size += len(w)
                     seen[name] = (n, name, *own, *[None] * (4 - len(own)))
                 rows.append((-1 - i % 997, doc_id, *seen[name], None))
-                if size >= 1 << 21:
+                if size >= 1 << 19:
                     yield batch_of(rows + flush())
                     rows, size = [], 0
             rows += flush()

@@ -150,7 +150,7 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, st
     return found.sort_by("doc_id")
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = 6000) -> tuple[list[tuple[str, Linear]], float]:
+def toxicity_model(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = 4000) -> tuple[list[tuple[str, Linear]], float]:
     return fit_chain(labelled(docs, labels, categories, sample), [c for c, _ in categories])[:2]
 
 
