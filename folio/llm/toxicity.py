@@ -18,6 +18,7 @@ the same names as the probabilities are replaced; others pass through.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -150,8 +151,11 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, st
     return found.sort_by("doc_id")
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = 4000) -> tuple[list[tuple[str, Linear]], float]:
-    return fit_chain(labelled(docs, labels, categories, sample), [c for c, _ in categories])[:2]
+def toxicity_model(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = 3000) -> tuple[list[tuple[str, Linear]], float]:
+    model = fit_chain(labelled(docs, labels, categories, sample), [c for c, _ in categories])[:2]
+    gc.collect()
+    pa.default_memory_pool().release_unused()  # the driver keeps the model only
+    return model
 
 
 def probabilities(chain: list[tuple[str, Linear]], text: str | None) -> list[float]:
