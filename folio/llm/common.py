@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,8 +36,9 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, name: str) -> None:
         spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")  # a written table's shuffle is of no more use
-        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")  # whole texts: ten thousand are too many for a Python worker
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 500:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")  # whole texts: ten thousand are too many for a Python worker
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
     def path(self, name: str) -> str:
@@ -62,6 +65,14 @@ class Scratch:
                 delete(self.spark, str(status.getPath()))
 
 
+def give_back() -> None:
+    """Returns a Python worker's free memory to the system, as the worker waits for the next stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def delete(spark: SparkSession, at: str) -> None:
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

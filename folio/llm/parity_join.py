@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, give_back, table
 from .graph import components
 
 U = np.uint64
@@ -55,7 +55,7 @@ class WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
-        if len(self) > 150_000:
+        if len(self) > 60_000:
             self.clear()
         self[word] = value = xxhash.xxh3_64_intdigest(word)
         return value
@@ -145,7 +145,7 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
                     continue
                 name = set_name(s)
                 if name not in seen:
-                    if len(seen) > 50_000:
+                    if len(seen) > 20_000:
                         seen.clear()
                     n, own = len(s), []
                     band = n.bit_length() - 1
@@ -163,6 +163,7 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
             rows += flush()
             if rows:
                 yield batch_of(rows)
+        give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = pa.schema([*list(types)[1:8], ("word", pa.int64()), ("id", pa.int64())])
@@ -197,6 +198,7 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
                     data.append(blob.as_py())
         if data:
             yield shared(at, data)
+        give_back()
 
     dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, schema).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(meet, schema.replace("bucket int, ", "").replace("blob binary", "word long, id long"))
@@ -212,6 +214,7 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 part = batch.slice(lo, 500)
                 found = [shingles(t.as_py(), hashes) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bit_sketch(s) for s in found], pa.list_(pa.int64()))], ["name", "shingles", "sketch"])
+        give_back()
 
     return docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("name", "text").mapInArrow(of, "name long, shingles binary, sketch array<long>")
 

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, give_back, table
 
 MAGIC, END, VERSION = b"TOKSHARD", b"TOKINDEX", 1
 HEADER, HEADER_BYTES = "<8sBB32s", struct.calcsize("<8sBB32s")
@@ -99,7 +99,7 @@ def _strung(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 @functools.cache  # a worker's later tasks find the pieces of the earlier ones
-def encoder(tokenizer_path: str, width: int, held: int = 100_000) -> Callable[[pa.Array], list[bytes]]:
+def encoder(tokenizer_path: str, width: int, held: int = 40_000) -> Callable[[pa.Array], list[bytes]]:
     """Whole texts to ids as little-endian bytes, ``width`` for each id, without special tokens. A tokenizer that drops
     white space gets each distinct piece of a batch's distinct words once, and its ids are remembered; any other gets
     whole texts."""
@@ -131,7 +131,7 @@ def encoder(tokenizer_path: str, width: int, held: int = 100_000) -> Callable[[p
     return encode
 
 
-def _groups(texts: pa.Array, chars: int = 3_000_000) -> Iterator[slice]:
+def _groups(texts: pa.Array, chars: int = 1_500_000) -> Iterator[slice]:
     """Runs of texts of about so many characters together."""
     upto = np.cumsum(pc.utf8_length(texts).fill_null(0).to_numpy(zero_copy_only=False)) // chars
     cuts = [0, *(np.flatnonzero(np.diff(upto)) + 1).tolist(), len(texts)]
@@ -182,6 +182,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, l
         if index:
             rows = zstandard.compress(array("q", [x for row in index for x in row]).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([rows + struct.pack("<Q8s", len(rows), END)], pa.binary())], ["record"])
+        give_back()
 
     ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     # The text sink writes a string's bytes as they are: Spark's committer thereby covers binary files on any file system.

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import table
+from .common import give_back, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 UPPER, SYMBOLS = bytes(range(65, 91)), bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
@@ -154,7 +154,7 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, st
 def toxicity_model(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = 3000) -> tuple[list[tuple[str, Linear]], float]:
     model = fit_chain(labelled(docs, labels, categories, sample), [c for c, _ in categories])[:2]
     gc.collect()
-    pa.default_memory_pool().release_unused()  # the driver keeps the model only
+    give_back()  # the driver keeps the model only
     return model
 
 
@@ -176,6 +176,7 @@ def scored(docs: DataFrame, chain: list[tuple[str, Linear]]) -> DataFrame:
         for batch in batches:
             p = np.array([probabilities(chain, t.as_py()) for t in batch.column(at)]).reshape(batch.num_rows, len(chain))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(p[:, k]) for k in range(len(chain))]], [*columns, *names])
+        give_back()
 
     schema = StructType([*docs.schema.fields, *[StructField(n, DoubleType()) for n in names]])
     return docs.mapInArrow(run, schema)
