@@ -14,7 +14,7 @@ that no other document has is rarest of all, so a document with n//3 + 1 such wo
 alone and leaves at once: what is left is little more than the true near-copies.
 
 Candidates are verified on whole sets. Links are found by rounds of one candidate a
-document against a document that shares a word with it; then all candidates that are
+document, the nearest by sketch of those that lead its words; then all candidates that are
 still in different components are tested, those with too distant sketches excepted.
 
 Null or empty text has an empty set and no links. Repeated rows and texts link like
@@ -225,6 +225,11 @@ def bit_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def apart(a: str, b: str) -> str:
+    """The Hamming distance of two sketches, in SQL."""
+    return " + ".join(f"bit_count({a}[{i}] ^ {b}[{i}])" for i in range(SKETCH))
+
+
 def _far(a: str, b: str, percent: int) -> str:
     """The largest symmetric difference of a link between sets of a and b shingles, in SQL."""
     return f"({100 - percent} * ({a} + {b}) div {100 + percent})"
@@ -290,9 +295,8 @@ def _open_pairs(still: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     own = scratch.keep(own, "numbered")  # else the optimizer would join pairs first
     x, y = (own.toDF("word", *[c + v for c in ("name", "n", "c", "bits", "below", "sketch")]) for v in "ab")
     first = " AND ".join(f"(bitsa[{k}] & bitsb[{k}] & belowa[{k}]) = 0" for k in parts)
-    apart = " + ".join(f"bit_count(sketcha[{i}] ^ sketchb[{i}])" for i in range(SKETCH))
     far = _far("na", "nb", percent)
-    return x.join(y, "word").where(f"namea < nameb AND ca <> cb AND abs(na - nb) <= {far} AND {first} AND {apart} <= {far}").select(F.col("namea").alias("a"), F.col("nameb").alias("b"), "ca", "cb").distinct()
+    return x.join(y, "word").where(f"namea < nameb AND ca <> cb AND abs(na - nb) <= {far} AND {first} AND {apart('sketcha', 'sketchb')} <= {far}").select(F.col("namea").alias("a"), F.col("nameb").alias("b"), "ca", "cb").distinct()
 
 
 def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
@@ -323,7 +327,11 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
         if last:
             pairs = _open_pairs(still, sets, percent, scratch)
         else:
-            pairs = still.where("component <> h.component").groupBy("name", "component").agg(F.min(F.struct("c", "h")).alias("m")).select(F.col("name").alias("a"), F.col("m.h.name").alias("b"), F.col("component").alias("ca"), F.col("m.h.component").alias("cb"))
+            # each set tries the head whose sketch is nearest to its own
+            own, other = sets.select("name", F.col("sketch").alias("x")), sets.select(F.col("name").alias("head"), F.col("sketch").alias("y"))
+            met = still.where("component <> h.component").select("name", "component", "c", "h", F.col("h.name").alias("head")).join(own, "name").join(other, "head")
+            nearest = met.groupBy("name", "component").agg(F.min(F.struct(F.expr(apart("x", "y")).alias("d"), "c", "h")).alias("m"))
+            pairs = nearest.select(F.col("name").alias("a"), F.col("m.h.name").alias("b"), F.col("component").alias("ca"), F.col("m.h.component").alias("cb"))
         pairs = scratch.keep(pairs, "pairs")
         links = scratch.keep(_verified(pairs, sets, percent), "links")
         tried, linked = pairs.count(), links.count()
