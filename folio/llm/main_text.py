@@ -4,11 +4,14 @@ Markup is read by its roles: what stands in article or main (or, without those,
 body) counts, except navigation, page headers and footers, asides, forms, scripts,
 styles, adverts, notices and reader comments. Blocks are separated by one line break.
 
-A host's wrapper comes from a few of its pages (``samples``, a bound that grows with
-nothing): their trees are aligned with the first one's by simple tree matching; text of
-aligned nodes that is the same in most of them is template, text that varies is content.
-Template text goes from pages that have no article or main; inside those it stays, since
-there a line that pages share is content for the reader.
+A host's wrapper comes from all of its different pages. Blocks are aligned by the path of
+tags and names that leads to them: any two nodes that simple tree matching aligns have
+equal paths, so this aligns each page with every other at once, in time linear in the
+page. A block that stands with the same text in most pages of the host, or of one layout
+of it, is template; a block that varies is content. A layout is the set of containers in
+the upper levels of a page, and its language. Template blocks go from pages that have no
+article or main; inside those they stay, since there a line that pages share is content
+for the reader.
 
 Null html counts as empty, and gives an empty text. A null url or one without a host is
 of the host ''. Repeated rows give repeated results. An empty table gives no rows. Other
@@ -19,10 +22,9 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
 from collections.abc import Iterator
+from hashlib import blake2b
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,10 @@ NAMES = re.compile(
 )
 #: An open tag of the first kind ends open elements of the second.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+#: What a layout is told by, down to this depth below body.
+CONTAINERS, DEPTH = frozenset("article aside center div footer form header main nav section table".split()), 2
+DIGITS = re.compile(r"\d+")
+LANG = re.compile(r"""<html\b[^>]*?\blang\s*=\s*["']?([\w-]+)""", re.I)
 SCOPES = frozenset("ul ol dl table tbody thead tfoot article section main div body nav aside footer header form".split())
 
 
@@ -93,115 +99,132 @@ def parse(html: str) -> Node:
     return root
 
 
-def blocks(root: Node) -> list[tuple[str, bool]]:
-    """Texts of blocks in page order, and whether they stand in an article or main."""
-    out: list[tuple[str, bool]] = []
+def _hash(*parts: object) -> int:
+    return int.from_bytes(blake2b("\0".join(map(str, parts)).encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+
+
+def blocks(root: Node) -> list[tuple[str, bool, int]]:
+    """Texts of blocks in page order, whether they stand in an article or main, and their keys: the same for the same text
+    at the same path. Numbers in names do not count there (post-17)."""
+    out: list[tuple[str, bool, int]] = []
     now: list[str] = []
-    todo: list[tuple[Node | None, bool]] = [(root, False)]
-    at = False
+    todo: list[tuple[Node | None, tuple[bool, int]]] = [(root, (False, 0))]
+    at = (False, 0)
+    steps: dict[tuple[int, str, str], int] = {}
 
     def flush() -> None:
         if text := " ".join("".join(now).split()):
-            out.append((text, at))
+            out.append((text, at[0], _hash(at[1], text)))
         now.clear()
 
+    def below(path: int, node: Node) -> int:
+        step = (path, node.tag, node.mark)
+        if step not in steps:
+            steps[step] = _hash(path, node.tag, DIGITS.sub("0", node.mark))
+        return steps[step]
+
     while todo:
-        node, main = todo.pop()
+        node, here = todo.pop()
         if node is None:  # a block ends
             flush()
-            at = main
-            continue
-        if node.tag == "" and main == at:
-            now.append(node.text)
+            at = here
         elif node.tag == "":
-            flush()
-            at = main
+            if here != at:
+                flush()
+                at = here
             now.append(node.text)
         elif node.tag == "/":
             flush()
         else:
-            inside = main or bool(node.kind)
+            inner = (here[0] or bool(node.kind), below(here[1], node) if node.tag in BLOCK else here[1])
             if node.tag in BLOCK or node.out:
                 flush()
-                todo.append((None, main))
+                todo.append((None, here))
             if not node.out:
-                at = inside
-                todo.extend((c, inside) for c in reversed(node.children))
+                at = inner
+                todo.extend((c, inner) for c in reversed(node.children))
     flush()
     return out
 
 
-def matching(a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-    """Simple tree matching: the largest order-preserving alignment of two trees with equal tags, and its text nodes."""
-    if a.tag != b.tag or a.mark != b.mark:
-        return 0, []
-    x, y = [c for c in a.children if c.tag != "/"], [c for c in b.children if c.tag != "/"]
-    if not x or not y:
-        return 1, [(a, b)] if not a.tag else []
-    best: list[list[tuple[int, list]]] = [[(0, [])] * (len(y) + 1)]
-    for c in x:
-        row = [(0, [])]
-        for j, d in enumerate(y):
-            n, pairs = matching(c, d) if c.tag == d.tag else (0, [])
-            both = (best[-1][j][0] + n, [best[-1][j][1], pairs])
-            row.append(max(best[-1][j + 1], row[-1], both, key=lambda t: t[0]))
-        best.append(row)
-    n, nested = best[-1][-1]
-    flat, todo = [], [nested]
+def levels(root: Node, html: str) -> list[int]:
+    """What a page is compared within: its whole host (0), its layout with and without regard to numbers in names."""
+    found: set[tuple[str, ...]] = set()
+    todo: list[tuple[Node, tuple[str, ...]]] = [(root, ())]
     while todo:
-        for item in todo.pop():
-            (todo if isinstance(item, list) else flat).append(item)
-    return n + 1, flat
-
-
-def wrapper(pages: list[str], most: float = 0.6, least: int = 3) -> list[str]:
-    """Template texts of a host: those that stay the same over aligned nodes of most of at least ``least`` different pages."""
-    trees = [parse(p) for p in dict.fromkeys(pages)]
-    if len(trees) < least:
-        return []
-    counts: Counter = Counter()
-    for tree in trees[1:]:
-        counts.update({" ".join(x.text.split()) for x, y in matching(trees[0], tree)[1] if x.text.split() == y.text.split()})
-    return sorted(t for t, n in counts.items() if t and n + 1 >= max(least, most * len(trees)))
-
-
-def main_text(html: str, template: frozenset[str] = frozenset()) -> str:
+        node, path = todo.pop()
+        for c in node.children:
+            if c.tag in ("html", "body"):
+                found.add((c.tag, c.mark))
+                todo.append((c, path))
+            elif c.tag in CONTAINERS:
+                inner = (*path, f"{c.tag} {c.mark}")
+                found.add(inner)
+                if len(inner) < DEPTH:
+                    todo.append((c, inner))
+    lang = m[1].lower() if (m := LANG.search(html, 0, 4096)) else ""
+    return [0, _hash(lang, *sorted({DIGITS.sub("0", "/".join(f)) for f in found})), _hash(lang, *sorted("/".join(f) for f in found))]
+
+
+def main_text(html: str, template: frozenset[int] = frozenset()) -> str:
     found = blocks(parse(html))
-    main = [t for t, inside in found if inside]
-    return "\n".join(main or [t for t, _ in found if t not in template])
-
+    main = [t for t, inside, _ in found if inside]
+    return "\n".join(main or [t for t, _, key in found if key not in template])
 
-def induced(pages: DataFrame, samples: int = 6) -> DataFrame:
-    """host, template: from at most ``samples`` pages of each host, the lowest by a hash in as many classes."""
-    picked = pages.where("page_id IS NOT NULL AND html IS NOT NULL").groupBy("host", F.pmod(F.xxhash64("page_id", F.lit(3)), F.lit(samples)).alias("class")).agg(F.min(F.struct(F.xxhash64("page_id").alias("h"), "page_id")).alias("p")).select("host", "p.page_id")
-    sample = pages.join(picked, ["host", "page_id"], "left_semi").where(f"length(html) <= {1 << 20}")
 
-    def of(rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"host": rows["host"].iloc[:1], "template": [wrapper(rows.sort_values("page_id")["html"].tolist())]})
+READ = "page_id long, url string, host string, same long, levels array<long>, text string, texts array<string>, keys array<long>"
+READ_TYPES = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("host", pa.string()), ("same", pa.int64()), ("levels", pa.list_(pa.int64())), ("text", pa.string()), ("texts", pa.list_(pa.string())), ("keys", pa.list_(pa.int64()))])
 
-    return sample.select("host", "page_id", "html").groupBy("host").applyInPandas(of, "host string, template array<string>").where("size(template) > 0")
 
-
-def extracted(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars for each page."""
-    scratch = Scratch(pages.sparkSession, "wrappers")
-    pages = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    wrappers = scratch.keep(induced(pages), "wrappers")
-    size = wrappers.agg(F.coalesce(F.sum(F.expr("aggregate(template, 100, (n, t) -> n + 2 * length(t))")), F.lit(0))).head()[0]
-    if size <= 64 << 20:  # about as many bytes, measured
-        joined = pages.join(F.broadcast(wrappers), "host", "left")
-    else:  # each host's wrapper goes to sixteen places, so that no host needs one task
-        dealt = wrappers.withColumn("part", F.explode(F.array(*map(F.lit, range(16)))))
-        joined = pages.withColumn("part", F.pmod(F.xxhash64("page_id"), F.lit(16)).cast("int")).join(dealt.hint("merge"), ["host", "part"], "left")
+def read_pages(pages: DataFrame) -> DataFrame:
+    """One parse of each page: ``text`` where an article or main decides, else ``texts``, the blocks; ``keys`` of the blocks
+    outside of article and main; ``same``, equal for equal html and null without html."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo in range(0, batch.num_rows, 200):
                 part = batch.slice(lo, 200)
-                text = [main_text(h or "", frozenset(t or ())) for h, t in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(text, pa.string()), pa.array(map(len, text), pa.int64())], ["page_id", "url", "text", "n_chars"])
+                same, where, text, texts, keys = [], [], [], [], []
+                for h in part.column(2).to_pylist():
+                    root = parse(h or "")
+                    found = blocks(root)
+                    main = [t for t, inside, _ in found if inside]
+                    same.append(None if h is None else _hash(h))
+                    where.append(levels(root, h or ""))
+                    text.append("\n".join(main) if main else None)
+                    texts.append(None if main else [t for t, _, _ in found])
+                    keys.append([k for _, inside, k in found if not inside])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(3), *(pa.array(v, f.type) for v, f in zip((same, where, text, texts, keys), list(READ_TYPES)[3:], strict=True))], schema=READ_TYPES)
+
+    return pages.select(F.col("page_id").cast("long"), "url", "html", host(F.col("url")).alias("host")).mapInArrow(run, READ)
+
+
+def constant(read: DataFrame, most: float = 0.6, least: int = 3) -> DataFrame:
+    """host, layout, key: blocks of at least ``least`` and a share of ``most`` of the different pages of a layout (0: of the
+    host), counted over all of them."""
+    pages = read.where("same IS NOT NULL").select("host", "same", "levels", "keys").dropDuplicates(["host", "same"])
+    pages = pages.select("host", F.explode(F.array_distinct("levels")).alias("layout"), F.array_distinct("keys").alias("keys"))
+    totals = pages.groupBy("host", "layout").agg(F.count("*").alias("pages")).where(F.col("pages") >= least)
+    counts = pages.select("host", "layout", F.explode("keys").alias("key")).groupBy("host", "layout", "key").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    return counts.join(totals, ["host", "layout"]).where(F.col("n") >= most * F.col("pages")).select("host", "layout", "key")
 
-    return joined.select(F.col("page_id").cast("long"), "url", "html", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+def extracted(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars for each page."""
+    scratch = Scratch(pages.sparkSession, "wrappers")
+    read = scratch.keep(read_pages(pages), "blocks")
+    undecided = read.where("text IS NULL").withColumn("kind", F.col("levels")[2])
+    kinds = undecided.select("host", "kind", "levels").distinct().select("host", "kind", F.explode(F.array_distinct("levels")).alias("layout"))
+    wrappers = scratch.keep(kinds.join(constant(read), ["host", "layout"]).groupBy("host", "kind").agg(F.collect_set("key").alias("template")), "wrappers")
+    size = wrappers.agg(F.coalesce(F.sum(F.size("template") * 8 + 200), F.lit(0))).head()[0]
+    if size <= 64 << 20:
+        joined = undecided.join(F.broadcast(wrappers), ["host", "kind"], "left")
+    else:  # each wrapper goes to sixteen places, so that no host needs one task
+        dealt = wrappers.withColumn("part", F.explode(F.array(*map(F.lit, range(16)))))
+        joined = undecided.withColumn("part", F.pmod(F.xxhash64("page_id", "same"), F.lit(16)).cast("int")).join(dealt.hint("merge"), ["host", "kind", "part"], "left")
+    kept = F.expr("array_join(IF(template IS NULL, texts, filter(texts, (t, i) -> NOT array_contains(template, keys[i]))), '\n')")
+    out = read.where("text IS NOT NULL").select("page_id", "url", "text").unionByName(joined.select("page_id", "url", kept.alias("text")))
+    return out.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

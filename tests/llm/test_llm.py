@@ -159,6 +159,24 @@ def test_main_text(spark):
     assert {r.page_id: r.text for r in main_text.extracted(rows).collect()} == {**{i: f"text {i}" for i in range(5)}, 9: ""}
 
 
+def test_main_text_counts_all_pages_of_a_layout(spark):
+    rows, want = [], {}
+    for i in range(60):  # three layouts of one host, none of them in most of its pages
+        k = i % 3
+        menu = (f"<div class=x>Menu <b>{k}</b></div>", f"<table><tr><td>Menu {k}</table>", f"<section><p>Menu {k}</section>")[k]
+        rows.append((i, "http://many/x", f"<body>{menu}<div><p>text {i}</p></div></body>"))
+        want[i] = f"text {i}"
+    for i in range(100, 130):  # near copies hold a third of a host
+        copy = i < 110
+        rows.append((i, "http://copies/x", f"<body><div>Menu</div><div>{'<p>shared' * copy}<p>text {i}</div></body>"))
+        want[i] = "shared\n" * copy + f"text {i}"
+    for i in range(200, 204):  # pages of over 1 MiB
+        rows.append((i, "http://large/x", f"<body><div>Menu</div><div>{i} {'long ' * 220_000}</div></body>"))
+        want[i] = f"{i} {'long ' * 220_000}".strip()
+    got = {r.page_id: r.text for r in main_text.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
