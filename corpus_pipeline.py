@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folio.llm.common import Scratch, table
+from folio.llm.common import Scratch, numbered, table
 from folio.llm.decontaminate import decontaminate
 from folio.llm.mixing import mixed_documents
 from folio.llm.parity_join import link_components
@@ -23,9 +23,12 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays."""
-    staying = link_components(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("stays")).distinct()
-    return docs.join(staying, F.col("doc_id").eqNullSafe(F.col("stays")), "left_semi")
+    """Of each component the document with the smallest doc_id stays, one row of it; a null doc_id comes last."""
+    rows = numbered(docs, Scratch(spark, "near_duplicates"))
+    linked = link_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
+    staying = linked.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(least.alias("stays")).select("stays._row")
+    return rows.join(staying, "_row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -65,6 +65,12 @@ class Scratch:
                 delete(self.spark, str(status.getPath()))
 
 
+def numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """``docs`` with a key of each row's own, ``_row``: doc_id may be null or stand on several rows. Written, so that the
+    keys hold however often the result is read."""
+    return scratch.keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+
+
 def give_back() -> None:
     """Returns a Python worker's free memory to the system, as the worker waits for the next stage."""
     pa.default_memory_pool().release_unused()

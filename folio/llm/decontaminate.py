@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_or_empty
+from .common import Scratch, numbered, table, text_or_empty
 
 #: Of each window of ten tokens the masks compare six.
 MASKS = ("1101100101", "1011010011", "1110001101")
@@ -61,9 +61,10 @@ def overlaps(docs: DataFrame, items: DataFrame, full: int = 12, broadcast_seeds:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """``docs`` without those that overlap an item."""
-    bad = overlaps(docs, items).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    """``docs`` without those that overlap an item. Each row is judged by its own text, whatever its doc_id."""
+    rows = numbered(docs, Scratch(docs.sparkSession, "decontaminate"))
+    bad = overlaps(rows.select(F.col("_row").alias("doc_id"), "text"), items).select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(bad, "_row", "left_anti").select(docs.columns)
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ order. What is taken of a document is what its two places in the stream share wi
 blocks, so no document gives more than twice its size.
 
 A null source is a source of its own and comes last. Null or empty texts have size 0 and
-give nothing. Repeated rows are documents of their own. An empty table gives no rows.
+give nothing. Repeated rows are documents of their own, and so are rows of equal or null
+doc_id. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, table, text_or_empty
+from .common import WORD, Scratch, numbered, table, text_or_empty
 
 WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 #: Documents of a source whose places one task adds up, and blocks of a shard.
@@ -60,22 +61,23 @@ def apportion(sources: DataFrame, block: int) -> DataFrame:
     return sources.join(won, "number", "left").withColumn("blocks", blocks).withColumn("quota", F.least(F.col("sure") + F.coalesce("won", F.lit(0)), blocks)).select("source", "number", "source_size", "docs", "target", "blocks", "quota")
 
 
-def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, and ``spans``: an array of (round, from, to) words to take."""
+def mix(docs: DataFrame, seed: int = 11, keys: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken, and ``spans``: an array of (round, from, to) words to take. Columns
+    ``keys`` of ``docs`` come along."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sizes = scratch.keep(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size")), "sizes")
+    sizes = scratch.keep(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text", F.lit(seed)).alias("t"), *keys), "sizes")
     total, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).head()
     block = block_words(total)
     sources = scratch.keep(apportion(source_targets(sizes), block), "sources")
 
     # Places in the stream: sums within (source, hash range), then over a source's ranges.
     bits = max(0, (rows // BUCKET).bit_length())
-    hashed = sizes.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("h", F.xxhash64("doc_id", F.lit(seed)))
+    hashed = sizes.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("h", F.when(F.col("doc_id").isNull(), F.col("t")).otherwise(F.xxhash64("doc_id", F.lit(seed))))
     hashed = hashed.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
-    inner = Window.partitionBy("number", "range").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inner = Window.partitionBy("number", "range").orderBy("h", "doc_id", "size", "t", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = hashed.groupBy("number", "range").agg(F.sum("size").alias("s")).withColumn("base", F.sum("s").over(Window.partitionBy("number").orderBy("range")) - F.col("s")).drop("s")
-    placed = hashed.withColumn("local", F.sum("size").over(inner) - F.col("size")).join(before, ["number", "range"]).withColumn("at", F.col("base") + F.col("local")).select("doc_id", "source", "number", "size", "source_size", "target", "at")
+    placed = hashed.withColumn("local", F.sum("size").over(inner) - F.col("size")).join(before, ["number", "range"]).withColumn("at", F.col("base") + F.col("local")).select("doc_id", "source", "number", "size", "source_size", "target", "at", *keys)
 
     shards = sources.where("quota > 0").select("number", "blocks", "quota", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {SHARD})")).alias("shard")).withColumn("lo", F.col("shard") * SHARD).withColumn("hi", F.least(F.col("blocks"), F.col("lo") + SHARD))
     shards = shards.withColumn("share", F.expr("quota * hi div blocks - quota * lo div blocks"))
@@ -84,22 +86,24 @@ def mix(docs: DataFrame, seed: int = 11) -> DataFrame:
 
     turns = placed.where("size > 0").select("*", F.explode(F.array(*[F.lit(r) for r in range(REPEATS)])).alias("round")).withColumn("from", F.col("at") + F.col("round") * F.col("source_size"))
     pieces = turns.select("*", F.explode(F.expr(f"sequence(from div {block}, (from + size - 1) div {block})")).alias("block"))
-    got = pieces.join(taken.hint("merge"), ["number", "block"]).select("number", "at", "doc_id", F.struct("round", (F.greatest(F.col("from"), F.col("block") * block) - F.col("from")).alias("lo"), (F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.col("from")).alias("hi")).alias("span"))
-    got = got.groupBy("number", "at", "doc_id").agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
-    none = placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast(got.schema["spans"].dataType).alias("spans"))
-    some = placed.where("size > 0").join(got, ["number", "at", "doc_id"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "spans")
+    # A place tells documents with words apart, as doc_id may not.
+    got = pieces.join(taken.hint("merge"), ["number", "block"]).select("number", "at", F.struct("round", (F.greatest(F.col("from"), F.col("block") * block) - F.col("from")).alias("lo"), (F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.col("from")).alias("hi")).alias("span"))
+    got = got.groupBy("number", "at").agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
+    none = placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast(got.schema["spans"].dataType).alias("spans"), *keys)
+    some = placed.where("size > 0").join(got, ["number", "at"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "spans", *keys)
     return some.unionByName(none)
 
 
 def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
     """The documents of the mix, with the columns of ``docs``: the words taken of each, first those of the first round. Whole
-    documents keep their white space. doc_id has to tell documents apart here."""
-    spans = mix(docs, seed).where("taken > 0").select("doc_id", "size", "taken", "spans")
+    documents keep their white space."""
+    rows = numbered(docs, Scratch(docs.sparkSession, "mixed"))
+    spans = mix(rows, seed, ("_row",)).where("taken > 0").select("_row", "size", "taken", "spans")
     whole = "taken = size AND size(filter(spans, s -> s.round <> spans[0].round)) = 0"
     words = F.split(F.trim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")), " ")
     # The words are bound once, not split anew for each span.
     cut = F.transform(F.array(words), lambda w: F.array_join(F.flatten(F.transform("spans", lambda s: F.slice(w, (s.lo + 1).cast("int"), (s.hi - s.lo).cast("int")))), " "))[0]
-    out = docs.join(spans.hint("merge"), "doc_id").withColumn("text", F.when(F.expr(whole), F.col("text")).otherwise(cut))
+    out = rows.join(spans.hint("merge"), "_row").withColumn("text", F.when(F.expr(whole), F.col("text")).otherwise(cut))
     return (out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out).select(docs.columns)
 
 

@@ -177,6 +177,39 @@ def test_main_text_counts_all_pages_of_a_layout(spark):
     assert got == want
 
 
+def test_null_and_repeated_ids(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, source string"
+
+    def text(k, n=600):
+        return " ".join(f"d{k}w{i}" for i in range(n))
+
+    # mixing: all of one source without ids, all of another with one id
+    rows = [(None, text(k), "none") for k in range(8)] + [(7, text(k), "one") for k in range(8, 16)] + [(k, text(k), "own") for k in range(100, 108)]
+    frame = spark.createDataFrame(rows, schema)
+    got = mixing.mix(frame).collect()
+    assert len(got) == len(rows)
+    for s in ("none", "one", "own"):
+        mine = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in mine) - mine[0].target) <= 256
+    out = mixing.mixed_documents(frame).collect()
+    of = [(r, Counter(w.split("w")[0] for w in r.text.split())) for r in out]
+    assert all(len(c) == 1 and sum(c.values()) <= 1200 for _, c in of) and len({next(iter(c)) for _, c in of}) == len(of)
+    assert Counter((r.doc_id, r.source, len(r.text.split())) for r in out) == Counter((r.doc_id, r.source, r.taken) for r in got if r.taken)
+
+    # decontamination: each row by its own text
+    item = text("i", 30)
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    frame = spark.createDataFrame([(None, item, "bad"), (None, text(1), "good"), (5, item, "bad"), (5, text(2), "good")], schema)
+    assert sorted(r.source for r in decontaminate.decontaminate(frame, items).collect()) == ["good", "good"]
+
+    # near duplicates: one row of each component, the smallest doc_id
+    frame = spark.createDataFrame([(None, text(1), "copy"), (3, text(1), "stays"), (3, text(1), "stays"), (3, text(2), "copy"), (2, text(2), "stays"), (None, text(3), "stays"), (4, "", "stays"), (4, "", "stays")], schema)
+    kept = Counter((r.doc_id, r.text.split("w")[0], r.source) for r in corpus_pipeline.near_duplicates(spark, frame, "").collect())
+    assert kept == Counter({(3, "d1", "stays"): 1, (2, "d2", "stays"): 1, (None, "d3", "stays"): 1, (4, "", "stays"): 2})
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
