@@ -24,9 +24,10 @@ WEIGHTS, SHARE, REPEATS = (5, 2, 1), 1.5, 2
 BUCKET, SHARD = 2000, 1024
 
 
-def block_words(total: int, least: int = 128, most_blocks: int = 1 << 30) -> int:
-    """Words of a block: 128, doubled while the whole table would have more than 2**30 blocks."""
-    block = least
+def block_words(total: int, least: int = 128, most_blocks: int = 1 << 30, smallest: float = 128) -> int:
+    """Words of a block: 128, or the smallest positive target where that is less (a source with less than half a block may
+    win no seat), doubled while the whole table would have more than 2**30 blocks."""
+    block = max(1, min(least, int(smallest)))
     while total > block * most_blocks:
         block *= 2
     return block
@@ -68,8 +69,9 @@ def mix(docs: DataFrame, seed: int = 11, keys: tuple[str, ...] = ()) -> DataFram
     scratch = Scratch(spark, "mix")
     sizes = scratch.keep(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text", F.lit(seed)).alias("t"), *keys), "sizes")
     total, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).head()
-    block = block_words(total)
-    sources = scratch.keep(apportion(source_targets(sizes), block), "sources")
+    targets = scratch.keep(source_targets(sizes), "targets")
+    block = block_words(total, smallest=targets.where("target > 0").agg(F.coalesce(F.min("target"), F.lit(128.0))).head()[0])
+    sources = scratch.keep(apportion(targets, block), "sources")
 
     # Places in the stream: sums within (source, hash range), then over a source's ranges.
     bits = max(0, (rows // BUCKET).bit_length())

@@ -177,6 +177,16 @@ def test_main_text_counts_all_pages_of_a_layout(spark):
     assert got == want
 
 
+def test_mixing_keeps_small_sources(spark):
+    rows = [(k, " ".join(f"w{i}" for i in range(500)), f"large{k % 3}") for k in range(12)] + [(100 + k, "one two three"[: 3 + 4 * (k % 2)], f"tiny{k}") for k in range(6)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    taken, target = Counter(), {}
+    for r in mixing.mix(frame).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert len(target) == 9 and all(taken[s] > 0 and abs(taken[s] - t) <= 2 for s, t in target.items())
+
+
 def test_null_and_repeated_ids(spark):
     import corpus_pipeline
 
