@@ -260,24 +260,31 @@ class Document:
         """Value and decoded stream of an object; (None, None) if there is none."""
         if number not in self.cache:
             self.cache[number] = (None, None)
-            entry = self.xref.get(number)
-            if entry and not entry[1]:
-                value, body = self._indirect(entry[0])
-                if body is not None:
-                    if self.key and number != self.crypt and value.get("/Type") != "/XRef":
-                        body = rc4(object_key(self.key, number), body)
-                    body = self._decoded(value, body)
-                self.cache[number] = (value, body)
-            elif entry:
-                header, body = self.fetch(entry[1])
-                if isinstance(header, dict) and body is not None:
-                    lex = Lexer(body, 0, refs=False)
-                    pairs = [(lex.value(), lex.value()) for _ in range(header["/N"])]
-                    for n, offset in pairs:
-                        if self.xref.get(n, (0, 0)) and self.xref[n][1] == entry[1]:
-                            self.cache[n] = (Lexer(body, header["/First"] + offset).value(), None)
+            try:
+                self._read(number)
+            except Exception:
+                self.cache.pop(number, None)  # else it would count as absent from then on
+                raise
         return self.cache[number]
 
+    def _read(self, number: int) -> None:
+        entry = self.xref.get(number)
+        if entry and not entry[1]:
+            value, body = self._indirect(entry[0])
+            if body is not None:
+                if self.key and number != self.crypt and value.get("/Type") != "/XRef":
+                    body = rc4(object_key(self.key, number), body)
+                body = self._decoded(value, body)
+            self.cache[number] = (value, body)
+        elif entry:
+            header, body = self.fetch(entry[1])
+            if isinstance(header, dict) and body is not None:
+                lex = Lexer(body, 0, refs=False)
+                pairs = [(lex.value(), lex.value()) for _ in range(header["/N"])]
+                for n, offset in pairs:
+                    if self.xref.get(n, (0, 0)) and self.xref[n][1] == entry[1]:
+                        self.cache[n] = (Lexer(body, header["/First"] + offset).value(), None)
+
     def get(self, value: object) -> object:
         """The value that a reference stands for, else the value itself."""
         for _ in range(50):

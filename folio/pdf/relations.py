@@ -1,9 +1,10 @@
 """PDF bytes as relations: each function takes a DataFrame with doc_id and content. Files that cannot be read give no
-rows, and one row with their error in ``errors``. Python only decodes; all layout is done by the DataFrame operators."""
+rows, and one row with their error in ``errors``; so do single pages and objects of a file, and the others keep their
+rows. Python only decodes; all layout is done by the DataFrame operators."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,6 +16,16 @@ from .cos import Document
 from .writer import write_pdf
 
 
+def _sound(items: Iterable, of: Callable[..., Iterable[tuple]]) -> Iterator[tuple]:
+    """The rows of each item, of a page or object, that can be read to its end."""
+    for item in items:
+        try:
+            found = list(of(item))
+        except Exception:  # noqa: BLE001
+            continue
+        yield from found
+
+
 def _decoded(files: DataFrame, rows: Callable[[int, Document], Iterator[tuple]], schema: str) -> DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -23,7 +34,7 @@ def _decoded(files: DataFrame, rows: Callable[[int, Document], Iterator[tuple]],
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
                 try:
                     found = list(rows(doc_id, Document(bytes(content))))
-                except (ValueError, KeyError, IndexError, TypeError, StopIteration, OverflowError):
+                except Exception:  # noqa: BLE001
                     found = []
                 if found:
                     yield pd.DataFrame(found, columns=names)
@@ -37,23 +48,23 @@ def xref(files: DataFrame) -> DataFrame:
 
 def objects(files: DataFrame) -> DataFrame:
     def rows(d: int, doc: Document) -> Iterator[tuple]:
-        for n in sorted(doc.xref):
+        def of(n: int) -> Iterator[tuple]:
             value, stream = doc.fetch(n)
             if value is not None:
                 yield d, n, {k: str(v) for k, v in value.items()} if isinstance(value, dict) else {"": str(value)}, stream
 
+        return _sound(sorted(doc.xref), of)
+
     return _decoded(files, rows, "doc_id long, object int, header map<string,string>, stream binary")
 
 
 def page_programs(files: DataFrame) -> DataFrame:
-    return _decoded(files, lambda d, doc: ((d, i, doc.program(p).decode("latin-1")) for i, p in enumerate(doc.pages(), 1)), "doc_id long, page int, program string")
+    return _decoded(files, lambda d, doc: _sound(enumerate(doc.pages(), 1), lambda at: [(d, at[0], doc.program(at[1]).decode("latin-1"))]), "doc_id long, page int, program string")
 
 
 def page_boxes(files: DataFrame) -> DataFrame:
     def rows(d: int, doc: Document) -> Iterator[tuple]:
-        for i, p in enumerate(doc.pages(), 1):
-            left, bottom, right, top = doc.box(p)
-            yield d, i, left, bottom, right, top
+        return _sound(enumerate(doc.pages(), 1), lambda at: [(d, at[0], *map(float, doc.box(at[1])))])
 
     return _decoded(files, rows, "doc_id long, page int, left double, bottom double, right double, top double")
 
@@ -63,10 +74,8 @@ def glyphs(files: DataFrame, pages: list[int] | None = None) -> DataFrame:
     programs are run."""
     def rows(d: int, doc: Document) -> Iterator[tuple]:
         fonts: dict = {}
-        for i, p in enumerate(doc.pages(), 1):
-            if pages is None or i in pages:
-                for seq, g in enumerate(interpret(doc, p, fonts)[0]):
-                    yield d, i, seq, *g
+        wanted = [(i, p) for i, p in enumerate(doc.pages(), 1) if pages is None or i in pages]
+        return _sound(wanted, lambda at: ((d, at[0], seq, *g) for seq, g in enumerate(interpret(doc, at[1], fonts)[0])))
 
     return _decoded(files, rows, "doc_id long, page long, seq long, text string, left double, right double, bottom double, top double, font string, size double")
 
@@ -76,7 +85,10 @@ def glyph_map(files: DataFrame) -> DataFrame:
     def rows(d: int, doc: Document) -> Iterator[tuple]:
         fonts: dict = {}
         for p in doc.pages():
-            interpret(doc, p, fonts)
+            try:
+                interpret(doc, p, fonts)
+            except Exception:  # noqa: BLE001, PERF203
+                continue
         for (_, name), font in fonts.items():
             for code, char in sorted(font.unicode.items() if font else ()):
                 yield d, name, code, ord(char[0]) if char else None, font.widths.get(code, font.missing)
@@ -87,24 +99,43 @@ def glyph_map(files: DataFrame) -> DataFrame:
 def paths(files: DataFrame) -> DataFrame:
     """Painted vector paths of each page."""
     def rows(d: int, doc: Document) -> Iterator[tuple]:
-        for i, p in enumerate(doc.pages(), 1):
-            for n, g in enumerate(interpret(doc, p)[1]):
-                yield d, i, n, g["x"], g["y"], g["subpath"], g["filled"], g["stroked"], g["colour"], g["fill"], g["size"]
+        def of(at: tuple[int, dict]) -> Iterator[tuple]:
+            for n, g in enumerate(interpret(doc, at[1])[1]):
+                yield d, at[0], n, g["x"], g["y"], g["subpath"], g["filled"], g["stroked"], g["colour"], g["fill"], g["size"]
+
+        return _sound(enumerate(doc.pages(), 1), of)
 
     return _decoded(files, rows, "doc_id long, page int, path int, x array<double>, y array<double>, subpath array<int>, filled boolean, stroked boolean, colour array<double>, fill array<double>, size double")
 
 
 def errors(files: DataFrame) -> DataFrame:
-    """doc_id and error of the files that cannot be read."""
+    """doc_id, page and error of the files, pages and objects that cannot be read; page is null for what is no page."""
+    def found(content: bytes) -> Iterator[tuple[int | None, str]]:
+        def tried(page: int | None, what: str, run: Callable[[], object]) -> Iterator[tuple[int | None, str]]:
+            try:
+                run()
+            except Exception as e:  # noqa: BLE001
+                yield page, f"{what}{type(e).__name__}: {e}"
+
+        try:
+            doc = Document(content)
+            pages = doc.pages()
+        except Exception as e:  # noqa: BLE001
+            yield None, f"{type(e).__name__}: {e}"
+            return
+        fonts: dict = {}
+        for i, p in enumerate(pages, 1):
+            yield from tried(i, "", lambda p=p: (doc.box(p), doc.program(p), interpret(doc, p, fonts)))
+        for n in sorted(doc.xref):
+            yield from tried(None, f"object {n}: ", lambda n=n: doc.fetch(n))
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
-                try:
-                    Document(bytes(content)).pages()
-                except Exception as e:  # noqa: BLE001
-                    yield pd.DataFrame({"doc_id": [doc_id], "error": [f"{type(e).__name__}: {e}"]})
+                if rows := [(doc_id, *r) for r in found(bytes(content) if content is not None else b"")]:
+                    yield pd.DataFrame(rows, columns=["doc_id", "page", "error"]).astype({"page": "Int64"})
 
-    return files.select("doc_id", "content").mapInPandas(run, "doc_id long, error string")
+    return files.select("doc_id", "content").mapInPandas(run, "doc_id long, page int, error string")
 
 
 def document_text(files: DataFrame) -> DataFrame:

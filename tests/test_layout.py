@@ -56,6 +56,16 @@ def test_relations(spark):
     assert rel.glyph_map(files).where("codepoint = 32").head().width == 300
 
 
+def test_one_bad_page(spark):
+    data = write_pdf([[("one", 10.0, 10.0)], [("two", 10.0, 10.0)]], 10, True)
+    i = data.index(b"stream\n") + 7
+    files = spark.createDataFrame([(1, bytearray(data[:i] + b"\xff" * 8 + data[i + 8 :])), (2, bytearray(data))], "doc_id long, content binary")
+    assert sorted((r.doc_id, r.page, r.text) for r in rel.document_text(files).collect()) == [(1, 2, "two"), (2, 1, "one"), (2, 2, "two")]
+    assert rel.objects(files).where("doc_id = 1").count() == rel.objects(files).where("doc_id = 2").count() - 1
+    assert [(r.doc_id, r.page) for r in rel.page_programs(files).orderBy("doc_id", "page").collect()] == [(1, 2), (2, 1), (2, 2)]
+    assert {(r.doc_id, r.page, r.error.startswith("object 5")) for r in rel.errors(files).collect()} == {(1, 1, False), (1, None, True)}
+
+
 def test_engulfed(spark):
     b = spark.createDataFrame([(1, 1, 0, 10, 0, 10), (1, 1, 2, 8, 2, 8), (1, 1, 20, 30, 0, 10)], "doc_id long, page long, left int, right int, bottom int, top int")
     assert sorted(r.left for r in op.engulfed(b).collect()) == [0, 20]
