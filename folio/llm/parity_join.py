@@ -17,8 +17,12 @@ Candidates are verified on whole sets. Links are found by rounds of one candidat
 document, the nearest by sketch of those that lead its words; then all candidates that are
 still in different components are tested, those with too distant sketches excepted.
 
-Null or empty text has an empty set and no links. Repeated rows and texts link like
-others (equal sets link). An empty table gives no rows. Other columns are ignored.
+Null or empty text has an empty set and no links: its component is its own doc_id. Each
+row is linked by its own text, whatever its doc_id: rows of a null doc_id link like others
+and repeated rows and texts too (equal sets link). A component's id is the smallest doc_id
+in it, null if all of them are. Texts of any length are read whole; documents of equal
+distance are taken in order of their hashes, which does not change components. An empty
+table gives no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, give_back, table
@@ -102,8 +106,10 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
     """One pass and one shuffle: rows for documents (doc_id, n, name, and the id and words of each band),
     and rows (word, id) for each sketch word that several sets have."""
     bits = buckets.bit_length() - 1
-    schema = "bucket int, doc_id long, n long, name long, id1 long, words1 int, id2 long, words2 int, blob binary"
-    types = pa.schema([("bucket", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("name", pa.int64()), ("id1", pa.int64()), ("words1", pa.int32()), ("id2", pa.int64()), ("words2", pa.int32()), ("blob", pa.binary())])
+    schema = "bucket int, doc_id long, key long, n long, name long, id1 long, words1 int, id2 long, words2 int, blob binary"
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    types = pa.schema([(name, kinds[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+    about = list(types)[1:9]
 
     def blobs(words: list[np.ndarray], ids: list[tuple[int, int]]) -> Iterator[tuple[int, bytes]]:
         word = np.concatenate(words) >> U(64 - LOW - bits)
@@ -128,7 +134,7 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
         hashes, seen, words, ids = WordHashes(), {}, [], []
 
         def flush() -> list[tuple]:
-            rows = [(b, *[None] * 7, blob) for b, blob in blobs(words, ids)] if words else []
+            rows = [(b, *[None] * len(about), blob) for b, blob in blobs(words, ids)] if words else []
             words.clear()
             ids.clear()
             return rows
@@ -138,10 +144,10 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
 
         for batch in batches:
             rows, size = [], 0
-            for i, (doc_id, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1), strict=True)):
+            for i, (doc_id, key, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True)):
                 s = shingles(text.as_py(), hashes)
                 if not len(s):
-                    rows.append((-1 - i % 997, doc_id, 0, *[None] * 6))
+                    rows.append((-1 - i % 997, doc_id, key, 0, *[None] * 6))
                     continue
                 name = set_name(s)
                 if name not in seen:
@@ -156,7 +162,7 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
                         ids.append((own[-2], len(w)))
                         size += len(w)
                     seen[name] = (n, name, *own, *[None] * (4 - len(own)))
-                rows.append((-1 - i % 997, doc_id, *seen[name], None))
+                rows.append((-1 - i % 997, doc_id, key, *seen[name], None))
                 if size >= 1 << 19:
                     yield batch_of(rows + flush())
                     rows, size = [], 0
@@ -166,7 +172,7 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
         give_back()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = pa.schema([*list(types)[1:8], ("word", pa.int64()), ("id", pa.int64())])
+        out = pa.schema([*about, ("word", pa.int64()), ("id", pa.int64())])
 
         def shared(bucket: int, data: list[bytes]) -> pa.RecordBatch:
             e = np.frombuffer(b"".join(data), ENTRY)
@@ -181,15 +187,15 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
                 size = np.diff(np.r_[first, len(word)])
                 kept = np.repeat(size > 1, size)
                 word, own = word[kept], own[kept]
-            return pa.RecordBatch.from_arrays([*[pa.nulls(len(word), t) for t in types.types[1:8]], pa.array(word), pa.array(own)], schema=out)
+            return pa.RecordBatch.from_arrays([*[pa.nulls(len(word), f.type) for f in about], pa.array(word), pa.array(own)], schema=out)
 
         at, data = None, []
         for batch in batches:
             docs_here = batch.filter(pa.compute.less(batch.column(0), 0))
             if docs_here.num_rows:
                 nothing = pa.nulls(docs_here.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([*docs_here.columns[1:8], nothing, nothing], schema=out)
-            for b, blob in zip(batch.column(0).to_pylist(), batch.column(8), strict=True):
+                yield pa.RecordBatch.from_arrays([*docs_here.columns[1:9], nothing, nothing], schema=out)
+            for b, blob in zip(batch.column(0).to_pylist(), batch.column(9), strict=True):
                 if b >= 0:
                     if b != at and data:
                         yield shared(at, data)
@@ -200,23 +206,28 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
             yield shared(at, data)
         give_back()
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, schema).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = docs.select(F.col("doc_id").cast("long"), "text", text_key()).mapInArrow(sketch, schema).repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(meet, schema.replace("bucket int, ", "").replace("blob binary", "word long, id long"))
 
 
+def text_key() -> Column:
+    """Tells the texts of a doc_id apart; texts that share a key by accident are only read in vain."""
+    return F.xxhash64("text", F.col("doc_id").cast("long")).alias("key")
+
+
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """name, whole set and bit sketch of the wanted (doc_id, name)."""
+    """name, whole set and bit sketch of the texts with the wanted keys. Names come from the texts themselves."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 part = batch.slice(lo, 500)
-                found = [shingles(t.as_py(), hashes) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bit_sketch(s) for s in found], pa.list_(pa.int64()))], ["name", "shingles", "sketch"])
+                found = [s for t in part.column(0) if len(s := shingles(t.as_py(), hashes))]
+                yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bit_sketch(s) for s in found], pa.list_(pa.int64()))], ["name", "shingles", "sketch"])
         give_back()
 
-    return docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id").select("name", "text").mapInArrow(of, "name long, shingles binary, sketch array<long>")
+    return docs.select("text", text_key()).join(wanted.select("key").distinct().hint("merge"), "key").select("text").mapInArrow(of, "name long, shingles binary, sketch array<long>")
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
@@ -306,14 +317,16 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
         raise ValueError("sketch words are laid out for similarities of 75 percent and more")
     spark = docs.sparkSession
     scratch = Scratch(spark, "parity")
-    buckets = 1 << min(16, max(8, (docs.count() // 1000).bit_length()))
+    # A task holds the words of one bucket, so of some ten thousand documents however many there are.
+    buckets = 1 << min(64 - LOW, max(8, (docs.count() // 8192).bit_length()))
     found = scratch.keep(_shared_words(docs, buckets), "found")
-    base = scratch.keep(found.where("n IS NOT NULL").select("doc_id", "n", "name"), "base")
+    base = scratch.keep(found.where("n IS NOT NULL").select("doc_id", "key", "n", "name"), "base")
     prefixes = scratch.keep(_candidates(found), "prefixes")
     scratch.drop(found)
     words = scratch.keep(_uncovered(prefixes).withColumn("component", F.col("name")), "words")
     scratch.drop(prefixes)
-    first = base.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"))
+    # Of each set its smallest doc_id (null if there is none), and a text that has it.
+    first = base.where("name IS NOT NULL").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min("key").alias("key"))
     sets = scratch.keep(_sets(docs, words.select("name").distinct().join(first, "name")).dropDuplicates(["name"]), "sets")
     merges, tried, linked = [], 0, 0
     for turn in range(rounds + 1):
@@ -346,7 +359,7 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
         names = names.join(merge.toDF("component", "to"), "component", "left").select("name", "doc_id", F.coalesce("to", "component").alias("component"))
     least = names.groupBy("component").agg(F.min("doc_id").alias("least"))
     names = names.join(least, "component").select("name", "least")
-    result = scratch.keep(base.join(names, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id")), "result")
+    result = scratch.keep(base.join(names, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")), "result")
     scratch.keep_only(result)
     return result
 
