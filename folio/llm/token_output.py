@@ -9,9 +9,13 @@ A shard is a binary file::
 An index row is (doc_id, offset, length, ids); any document is one seek and one
 small decompression away. ``dictionary/`` beside ``shards/`` holds the dictionary.
 
+The number of shards follows the bytes of text, so that a shard stays far below what one
+file row may hold however large the corpus is.
+
 Null text counts as empty and gives the end id alone. A null doc_id sorts first
-and is kept. Rows with equal doc_id are all kept, ordered by text. An empty
-table gives no shards and no rows. Other columns are ignored.
+and is kept. Rows with equal (or null) doc_id are all kept, in order of a hash of
+their text, and may spread over several shards. Texts of any length are one frame.
+An empty table gives no shards and no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,41 +59,41 @@ PLAIN = r"^[\x21-\x7E\x{A1}-\x{AC}\x{AE}-\x{FF}]*$"
 LATIN = r"'(?:s|t|re|ve|m|ll|d)|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^\sa-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
 
 
-class _Held(dict):
-    """Values made once and remembered; of two generations, the older one goes when the younger is full."""
-
-    def __init__(self, held: int) -> None:
-        self.held, self.old = held, {}
-
-    def __missing__(self, key: str) -> bytes:
-        value = self.old.get(key)
-        if value is None:
-            value = self.make(key)
-        if len(self) >= self.held:
-            self.old = self.copy()
-            self.clear()
-        self[key] = value
-        return value
-
+class _Pieces(dict):
+    """Ids of pieces as bytes: of what the pre-tokeniser leaves whole by the tokenizer's own model, of anything odd by the
+    whole tokenizer. They are made once and remembered; of two generations, the older one goes when the younger is full."""
 
-class _Pieces(_Held):
-    """Ids of what the pre-tokeniser leaves whole, by the tokenizer's own model; of anything odd, by the whole tokenizer."""
-
-    def __init__(self, tokenizer: object, kind: str, held: int) -> None:
-        super().__init__(held)
+    def __init__(self, tokenizer: object, width: int, held: int) -> None:
+        super().__init__()
         keep = {*range(33, 127), *range(161, 173), *range(174, 256)}
         spare = iter(range(256, 512))
         byte = {b: chr(b if b in keep else next(spare)) for b in range(256)}
-        self.tokenizer, self.model, self.kind, self.bytes = tokenizer, tokenizer.model, kind, {c: "".join(byte[b] for b in chr(c).encode()) for c in range(128, 256)}
+        self.tokenizer, self.model, self.held, self.old = tokenizer, tokenizer.model, held, {}
+        self.bytes = {c: "".join(byte[b] for b in chr(c).encode()) for c in range(128, 256)}
+        self.of_id = [i.to_bytes(width, "little") for i in range(tokenizer.get_vocab_size())]
 
     def make(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isprintable() and "<|" not in piece:
-            ids = [t.id for t in self.model.tokenize(piece)]
-        elif piece.isprintable() and max(piece) <= "ÿ" and "<|" not in piece:
-            ids = [t.id for t in self.model.tokenize(piece.translate(self.bytes))]
-        else:
-            ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-        return array(self.kind, ids).tobytes()
+        of_id, odd = self.of_id, "<|" in piece or not piece.isprintable()
+        if not odd and piece.isascii():
+            return b"".join([of_id[t.id] for t in self.model.tokenize(piece)])
+        if not odd and max(piece) <= "ÿ":
+            return b"".join([of_id[t.id] for t in self.model.tokenize(piece.translate(self.bytes))])
+        return b"".join([of_id[i] for i in self.tokenizer.encode(piece, add_special_tokens=False).ids])
+
+    def all(self, pieces: list[str]) -> list[bytes]:
+        young, old, of_id, tokenize, out = self, self.old, self.of_id, self.model.tokenize, []
+        for p in pieces:
+            ids = young.get(p)
+            if ids is None:
+                ids = old.get(p)
+                if ids is None:  # letters and digits alone are the common case
+                    ids = b"".join([of_id[t.id] for t in tokenize(p)]) if p.isascii() and p.isalnum() else self.make(p) if p else b""
+                young[p] = ids
+            out.append(ids)
+        if len(young) >= self.held:
+            self.old = young.copy()
+            young.clear()
+        return out
 
 
 def _strung(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +103,7 @@ def _strung(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 @functools.cache  # a worker's later tasks find the pieces of the earlier ones
-def encoder(tokenizer_path: str, width: int, held: int = 40_000) -> Callable[[pa.Array], list[bytes]]:
+def encoder(tokenizer_path: str, width: int, held: int = 120_000) -> Callable[[pa.Array], list[bytes]]:
     """Whole texts to ids as little-endian bytes, ``width`` for each id, without special tokens. A tokenizer that drops
     white space gets each distinct piece of a batch's distinct words once, and its ids are remembered; any other gets
     whole texts."""
@@ -110,7 +114,7 @@ def encoder(tokenizer_path: str, width: int, held: int = 40_000) -> Callable[[pa
     made = json.loads(tokenizer.to_str())
     if (made["normalizer"], made["pre_tokenizer"]) != BY_WORD or any(t["lstrip"] or t["rstrip"] or t["single_word"] or not t["content"].startswith("<|") for t in made["added_tokens"]):
         return lambda texts: [array(kind, e.ids).tobytes() for e in tokenizer.encode_batch(texts.fill_null("").to_pylist(), add_special_tokens=False)]
-    known = _Pieces(tokenizer, kind, held)
+    known = _Pieces(tokenizer, width, held)
 
     def encode(texts: pa.Array) -> list[bytes]:
         rows = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " "), " ")
@@ -118,7 +122,7 @@ def encoder(tokenizer_path: str, width: int, held: int = 40_000) -> Callable[[pa
         plain = pc.and_(pc.match_substring_regex(words.dictionary, PLAIN), pc.invert(pc.match_substring(words.dictionary, "<|")))
         split = pc.split_pattern(pc.if_else(plain, pc.replace_substring_regex(pc.utf8_lower(words.dictionary), LATIN, r"\0 "), words.dictionary), " ")
         pieces = pc.dictionary_encode(split.flatten())
-        ids = [known[p] if p else b"" for p in pieces.dictionary.to_pylist()]
+        ids = known.all(pieces.dictionary.to_pylist())
         size = np.fromiter(map(len, ids), np.int64, len(ids)) // width
         which = pieces.indices.to_numpy()
         of_words, upto = _strung(np.frombuffer(b"".join(ids), f"<u{width}"), (np.cumsum(size) - size)[which], size[which])
@@ -155,8 +159,14 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(data, dict_type=kind) if data else None
 
 
-def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, level: int = 1) -> None:
-    """Writes ``docs`` (doc_id, text) under ``path``. One range shuffle orders them; AQE sizes the shards."""
+def shard_count(docs: DataFrame, shard_bytes: int, least_bytes: int = 4 << 20) -> int:
+    """Shards of at most about ``shard_bytes`` of text; of less, while there are fewer than four for each core."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    return max(1, -(-size // shard_bytes), min(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // least_bytes)))
+
+
+def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, level: int = 1, shard_bytes: int = 256 << 20) -> None:
+    """Writes ``docs`` (doc_id, text) under ``path``. One range shuffle orders them."""
     from tokenizers import Tokenizer
 
     spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long"), "text")
@@ -184,7 +194,8 @@ def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, l
             yield pa.RecordBatch.from_arrays([pa.array([rows + struct.pack("<Q8s", len(rows), END)], pa.binary())], ["record"])
         give_back()
 
-    ordered = docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    tie = F.xxhash64("text")
+    ordered = docs.repartitionByRange(shard_count(docs, shard_bytes), "doc_id", tie).sortWithinPartitions("doc_id", tie)
     # The text sink writes a string's bytes as they are: Spark's committer thereby covers binary files on any file system.
     ordered.mapInArrow(records, "record binary").select(F.col("record").cast("string")).write.option("lineSep", "\n").text(f"{path}/shards")
 
