@@ -4,19 +4,33 @@ A value that passes its format's check is read as a number within its format's d
 permuted there by an alternating Feistel network under a key, and written back in its own
 layout: equal values get equal pseudonyms in all documents, different values different
 ones, and every pseudonym passes the same check. Formats: payment cards (Luhn), IBAN
-(mod 97), IPv4 addresses, telephone numbers, social security numbers, calendar dates,
-e-mail addresses (the part before the @), access keys and hexadecimal secrets.
-
-Null text stays null, and counts as without values. Repeated rows give repeated results.
-An empty table gives no rows. Other columns are ignored.
+(mod 97), IPv4 and IPv6 addresses (the latter written in their shortest form), telephone
+numbers, social security numbers, calendar dates, e-mail addresses (the part before the
+@), access keys and hexadecimal secrets.
+
+A date's layout is its order, its separator and the digits of day and month, or the form
+of the month's name. The domain is the set of dates that the layout can write, so that
+length and validity stay; layouts that can write all dates share one permutation, so that
+a date stays linked between them. A date that is valid as day-month is read as that, one
+that is valid as month-day alone is permuted among its like.
+
+The key is the caller's secret: there is no default in ``pseudonymised``. Where formats
+overlap, the earlier in FORMATS takes the place. Null text stays null, and counts as
+without values; so does a null doc_id, which passes through. Empty texts stay empty, texts
+of any length are read whole. Repeated rows give repeated results. An empty table gives no
+rows. Other columns are ignored, also those of the same names as results.
 """
 
 from __future__ import annotations
 
+import bisect
+import calendar
 import datetime
 import functools
 import hashlib
+import ipaddress
 import re
+import warnings
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -126,22 +140,68 @@ def ssn(m: str, key: bytes) -> str | None:
     return f"{areas[x // 99]:03d}-{x % 99 + 1:02d}-{serial + 1:04d}"
 
 
-def date(m: str, key: bytes) -> str | None:
-    a, sep, b, _, c = re.match(r"(\d+)(\D)(\d+)(\D)(\d+)", m).groups()
-    year_first = len(a) == 4
-    y, mo, d = (a, b, c) if year_first else (c, b, a)
-    order = "dmy"
-    if not year_first and (sep == "/" and int(b) > 12 or sep == "-" and int(b) > 12):
-        mo, d, order = a, b, "mdy"
+@functools.cache
+def _writable(day_digits: int, month_digits: int, past_twelve: bool) -> list[int]:
+    """Ordinals of the dates that a layout can write, ascending; ``past_twelve``: those of days after the twelfth."""
+    days = map(datetime.date.fromordinal, range(*DAYS))
+    return [d.toordinal() for d in days if d.day < 10**day_digits and d.month < 10**month_digits and (d.day > 12 or not past_twelve)]
+
+
+def _other_date(day: datetime.date, digits: tuple[int, int], past_twelve: bool, key: bytes) -> datetime.date | None:
+    domain = _writable(*digits, past_twelve)
+    at = bisect.bisect_left(domain, day.toordinal())
+    if at == len(domain) or domain[at] != day.toordinal():
+        return None
+    kind = f"date{digits}{past_twelve}"
+    return datetime.date.fromordinal(domain[permuted(at, len(domain), _key(key, kind))])
+
+
+def _calendar(year: str, month: int, day: str) -> datetime.date | None:
     try:
-        day = datetime.date(int(y), int(mo), int(d)).toordinal()
+        return datetime.date(int(year), month, int(day))
     except ValueError:
         return None
-    if not DAYS[0] <= day < DAYS[1]:
+
+
+def date(m: str, key: bytes) -> str | None:
+    a, sep, b, same, c = re.match(r"(\d+)(\D)(\d+)(\D)(\d+)", m).groups()
+    if sep != same:
+        return None
+    year_first, past_twelve = len(a) == 4, False
+    year, month, day = (a, b, c) if year_first else (c, b, a)
+    found = _calendar(year, int(month), day)
+    if found is None and not year_first:
+        month, day, past_twelve = a, b, True
+        found = _calendar(year, int(month), day)
+    new = found and _other_date(found, (len(day), len(month)), past_twelve, key)
+    if not new:
         return None
-    new = datetime.date.fromordinal(DAYS[0] + permuted(day - DAYS[0], DAYS[1] - DAYS[0], _key(key, "date")))
-    parts = {"d": f"{new.day:02d}", "m": f"{new.month:02d}", "y": f"{new.year:04d}"}
-    return sep.join(parts[k] for k in ("ymd" if year_first else order))
+    y, mo, d = f"{new.year:04d}", f"{new.month:0{len(month)}d}", f"{new.day:0{len(day)}d}"
+    return sep.join((y, mo, d) if year_first else (mo, d, y) if past_twelve else (d, mo, y))
+
+
+MONTHS = {name.lower(): i for names in (calendar.month_name, calendar.month_abbr) for i, name in enumerate(names) if i}
+
+
+def named_date(m: str, key: bytes) -> str | None:
+    """12 March 2020, March 12, 2020 and the like, with the month's name in full or as three letters."""
+    (day,), (name,), (year,) = re.findall(r"(?<!\d)\d{1,2}(?!\d)", m), re.findall("[A-Za-z]{3,}", m), re.findall(r"\d{4}", m)
+    found = _calendar(year, MONTHS[name.lower()], day)
+    new = found and _other_date(found, (2, 2), False, key)
+    if not new:
+        return None
+    full = (calendar.month_name if len(name) > 3 or name.lower() == "may" else calendar.month_abbr)[new.month]
+    full = full.upper() if name.isupper() else full.lower() if name.islower() else full
+    spelt = f"{new.day:02d}" if day.startswith("0") else str(new.day)
+    return re.sub(r"\d{4}|\d{1,2}|[A-Za-z]{3,}", lambda x: full if x[0].isalpha() else f"{new.year:04d}" if len(x[0]) == 4 else spelt, m)
+
+
+def ipv6(m: str, key: bytes) -> str | None:
+    try:
+        x = int(ipaddress.IPv6Address(m))
+    except ValueError:
+        return None
+    return str(ipaddress.IPv6Address(permuted(x, 1 << 128, _key(key, "ipv6"))))
 
 
 def email(m: str, key: bytes) -> str | None:
@@ -162,11 +222,13 @@ FORMATS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("email", r"(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", email),
     ("access_key", r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b", access_key),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b", iban),
+    ("ipv6", r"(?<![\w:.])(?=[0-9A-Fa-f:]*[0-9A-Fa-f]:[0-9A-Fa-f:]*[0-9A-Fa-f])(?=[A-Fa-f:]*\d)(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:]|\.\d)", ipv6),
     ("ip", r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?![\w]|\.\d)", ip),
     ("date", r"(?<![\w.])(?:\d{4}[-/.]\d{1,2}[-/.]\d{1,2}|\d{1,2}[-/.]\d{1,2}[-/.]\d{4})(?!\w|[.]\d)", date),
+    ("date", rf"(?i)(?<!\w)(?:\d{{1,2}} (?:{'|'.join(MONTHS)})\.? \d{{4}}|(?:{'|'.join(MONTHS)})\.? \d{{1,2}}, ?\d{{4}})(?!\w)", named_date),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])", ssn),
     ("card", r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)", card),
-    ("phone", r"(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d){4,12}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])", phone),
+    ("phone", r"(?<!\w)\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d){4,12}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}-\d{4}(?!\w)|(?<![\w-])\d{3}-\d{3}-\d{4}(?![\w-])|(?<![\w.])\d{3}\.\d{3}\.\d{4}(?![\w.])", phone),
     ("secret", r"(?<![0-9A-Za-z])(?=[a-f]*\d)[0-9a-f]{32,}(?![0-9A-Za-z])|(?<=password=)[0-9a-f]{12,}", secret),
 )
 
@@ -211,6 +273,14 @@ def pseudonymised(docs: DataFrame, key: bytes) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, text string, n_values long, kinds string")
 
 
+def secret_key(spark: SparkSession) -> bytes:
+    """From the setting spark.folio.pii.key. Without one, a key that everyone knows serves the given synthetic tables only."""
+    key = spark.conf.get("spark.folio.pii.key", None)
+    if key is None:
+        warnings.warn("spark.folio.pii.key is not set: these pseudonyms can be inverted by anyone", stacklevel=2)
+        key = "synthetic tables only"
+    return hashlib.blake2b(key.encode(), digest_size=32).digest()
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = spark.conf.get("spark.folio.pii.key", "folio: set spark.folio.pii.key to a secret of your own")
-    return pseudonymised(table(spark, sf_dir, "documents"), hashlib.blake2b(key.encode(), digest_size=32).digest())
+    return pseudonymised(table(spark, sf_dir, "documents"), secret_key(spark))
