@@ -14,7 +14,7 @@ from .mixing import op10_mixing
 from .parity_join import op3_jaccard_join
 from .pii import op4_pii
 from .token_output import op2_token_output
-from .tool_calls import op5_tool_calls
+from .tool_calls import OP5_SQL, op5_tool_calls
 from .toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_mixing": op10_mixing,
 }
 
-ORACLE_SQL: dict[str, str] = {"op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_tool_calls": OP5_SQL, "op6_exact_dedup": OP6_SQL, "op7_line_dedup": OP7_SQL}
