@@ -6,14 +6,20 @@ While a model is trained, those are out-of-fold: no row sees a prediction of a m
 its own label went into. The labels at hand name two categories, low quality and toxic.
 
 The models are fitted on at most ``sample`` labelled rows (a parameter, the lowest by a
-hash of doc_id); whole texts of all documents are scored. A document is rejected when its
-last category's probability reaches the threshold that was best (F1) on out-of-fold
-predictions, half at least.
-
-Null text counts as empty. Null labels are left out; a doc_id with several labels has the
-highest. Without labels of both kinds a category's probability is its share and rejects
-nothing. Repeated rows give repeated results. An empty table gives no rows. Columns of
-the same names as the probabilities are replaced; others pass through.
+hash of doc_id); whole texts of all documents are scored. Which words tell is found from
+counts that are added up in Spark, for each category without each fold and with all; only
+those words' places in the labelled rows come to the driver, so that its memory is bounded
+by the sample and not by the texts. A document is rejected when its last category's
+probability reaches the threshold that was best (F1) on out-of-fold predictions, half at
+least.
+
+Null text counts as empty, texts of any length are read whole. Null labels and labels of a
+null doc_id are left out; a doc_id with several labels has the highest, and if several rows
+have it, all of them are fitted on. Documents without a label, or with a null doc_id, are
+scored like others. Without labels of both kinds a category's probability is its share and
+rejects nothing. Of words that tell equally the first in order counts. Repeated rows give
+repeated results. An empty table gives no rows. Columns of the same names as the
+probabilities are replaced; others pass through.
 """
 
 from __future__ import annotations
@@ -26,11 +32,11 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from .common import give_back, table
+from .common import Scratch, give_back, table
 
 WORDS = re.compile(r"[^\W\d_]+")
 UPPER, SYMBOLS = bytes(range(65, 91)), bytes([*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
@@ -78,25 +84,20 @@ def newton(x: np.ndarray, y: np.ndarray, l2: float = 1.0, steps: int = 30) -> np
 
 
 class Sample:
-    """The labelled rows: presence of words as (row, word) pairs, figures of style, labels and folds."""
+    """The labelled rows: places of the words that tell for some category, figures of style, labels and folds."""
 
-    def __init__(self, rows: pa.Table, categories: list[str]) -> None:
-        lists = rows["words"].combine_chunks()
-        encoded = pc.dictionary_encode(lists.flatten())
-        self.names, self.word = encoded.dictionary, encoded.indices.to_numpy()
+    def __init__(self, rows: pa.Table, names: list[str], told: dict[tuple[str, int], list[str]], categories: list[str]) -> None:
+        self.names, self.told = np.array(names, object), told
+        lists = rows["places"].combine_chunks()
+        self.word = lists.flatten().to_numpy()
         self.row = np.repeat(np.arange(len(rows)), pc.list_value_length(lists).to_numpy())
         self.dense = np.array(rows["style"].to_pylist(), float).reshape(len(rows), STYLES)
         self.y = {c: rows[c].to_numpy().astype(float) for c in categories}
         self.fold = rows["fold"].to_numpy()
+        self.place = {w: i for i, w in enumerate(names)}
 
-    def telling(self, y: np.ndarray, at: np.ndarray, most: int = 256, least: int = 4) -> np.ndarray:
-        """The words whose presence tells most (chi square) about y in the rows ``at``."""
-        here = at[self.row]
-        n, pos = np.bincount(self.word[here], minlength=len(self.names)), np.bincount(self.word[here], weights=y[self.row[here]], minlength=len(self.names))
-        share = y[at].mean()
-        gain = np.where(n >= least, (pos - n * share) ** 2 / np.maximum(n * share * (1 - share), 1e-9), 0)
-        best = np.lexsort((np.arange(len(gain)), -gain))[:most]
-        return best[gain[best] > 6]
+    def telling(self, category: str, without: int) -> np.ndarray:
+        return np.array([self.place[w] for w in self.told.get((category, without), [])], int)
 
     def matrix(self, words: np.ndarray, more: np.ndarray) -> np.ndarray:
         place = np.full(len(self.names), -1)
@@ -107,39 +108,61 @@ class Sample:
         return np.c_[x, self.dense, more]
 
 
-def fit_chain(rows: pa.Table, categories: list[str]) -> tuple[list[tuple[str, Linear]], float, dict[str, np.ndarray]]:
+#: Stands for no fold: the words that tell in all rows.
+NONE = -1
+
+
+def fit_chain(sample: Sample, categories: list[str]) -> tuple[list[tuple[str, Linear]], float, dict[str, np.ndarray]]:
     """The models in order, the last one's threshold, and out-of-fold probabilities."""
-    sample, chain, held = Sample(rows, categories), [], {}
+    chain, held, n = [], {}, len(sample.dense)
     for c in categories:
-        y, more = sample.y[c], np.column_stack(list(held.values())) if held else np.empty((len(rows), 0))
-        if len(y) < 2 * FOLDS or y.min() == y.max():
-            share = float(y.mean()) if len(y) else 0.0
+        y, more = sample.y[c], np.column_stack(list(held.values())) if held else np.empty((n, 0))
+        if n < 2 * FOLDS or y.min() == y.max():
+            share = float(y.mean()) if n else 0.0
             chain.append((c, Linear(bias=float(np.log((share + 1e-9) / (1 - share + 1e-9))))))
-            held[c] = np.full(len(rows), share)
+            held[c] = np.full(n, share)
             continue
-        guess = np.zeros(len(rows))
+        guess = np.zeros(n)
         for k in range(FOLDS):
             train = sample.fold != k
-            if y[train].min() == y[train].max():
-                guess[~train] = y[train].mean()
+            if train.all() or not train.any() or y[train].min() == y[train].max():
+                guess[~train] = y[train].mean() if train.any() else y.mean()
                 continue
-            x = sample.matrix(sample.telling(y, train), more)
+            x = sample.matrix(sample.telling(c, k), more)
             w = newton(x[train], y[train])
             guess[~train] = 1 / (1 + np.exp(-np.clip(x[~train] @ w[:-1] + w[-1], -30, 30)))
-        words = sample.telling(y, np.ones(len(rows), bool))
+        words = sample.telling(c, NONE)
         w = newton(sample.matrix(words, more), y)
-        names = sample.names.take(pa.array(words)).to_pylist()
-        chain.append((c, Linear(dict(zip(names, w[: len(words)].tolist(), strict=True)), w[len(words) : -1].tolist(), float(w[-1]))))
+        chain.append((c, Linear(dict(zip(sample.names[words].tolist(), w[: len(words)].tolist(), strict=True)), w[len(words) : -1].tolist(), float(w[-1]))))
         held[c] = guess
     y, p = sample.y[categories[-1]], held[categories[-1]]
-    best = max((2 * (y * (p >= t)).sum() / max(1, y.sum() + (p >= t).sum()), -abs(t - 0.5), t) for t in np.arange(0.5, 0.96, 0.05)) if len(y) else (0, 0, 0.5)
+    best = max((2 * (y * (p >= t)).sum() / max(1, y.sum() + (p >= t).sum()), -abs(t - 0.5), t) for t in np.arange(0.5, 0.96, 0.05)) if n else (0, 0, 0.5)
     return chain, float(best[2]) if best[0] else 1.1, held
 
 
-def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...], sample: int) -> pa.Table:
+def _telling(rows: DataFrame, categories: list[str], most: int = 256, least: int = 4) -> DataFrame:
+    """category, without, words: those whose presence tells most (chi square) about a category in the rows of other folds."""
+    folds = [NONE, *range(FOLDS)]
+    sizes = rows.agg(*[F.count_if(F.col("fold") != k).alias(f"n{k}") for k in folds], *[F.sum(F.when(F.col("fold") != k, F.col(c))).alias(f"y{k}_{c}") for k in folds for c in categories]).head().asDict()
+    # One more pass of numbers: for each word the rows and positive rows of each training set.
+    words = rows.select(F.explode("words").alias("word"), "fold", *categories)
+    counts = words.groupBy("word").agg(*[F.count_if(F.col("fold") != k).alias(f"n{k}") for k in folds], *[F.sum(F.when(F.col("fold") != k, F.col(c))).alias(f"y{k}_{c}") for k in folds for c in categories])
+    gains = []
+    for c in categories:
+        for k in folds:
+            share = (sizes[f"y{k}_{c}"] or 0) / max(1, sizes[f"n{k}"] or 0)
+            n, positive = F.col(f"n{k}"), F.coalesce(F.col(f"y{k}_{c}"), F.lit(0))
+            gain = F.when(n >= least, F.pow(positive - n * share, 2) / F.greatest(n * (share * (1 - share)), F.lit(1e-9)))
+            gains.append(F.struct(F.lit(c).alias("category"), F.lit(k).alias("without"), gain.alias("gain")))
+    each = counts.select("word", F.explode(F.array(*gains)).alias("g")).select("word", "g.*").where("gain > 6")
+    first = Window.partitionBy("category", "without").orderBy(F.desc("gain"), "word")  # kept first by each task, so little is shuffled
+    return each.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).groupBy("category", "without").agg(F.sort_array(F.collect_list("word")).alias("words"))
+
+
+def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...], sample: int) -> Sample:
     ids = labels.select("doc_id", *[F.expr(sql).alias(c) for c, sql in categories]).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c, _ in categories])
     ids = F.broadcast(ids.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample))  # bound: ``sample`` rows of numbers
-    names = [c for c, _ in categories]
+    names, scratch = [c for c, _ in categories], Scratch(docs.sparkSession, "labelled")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -147,11 +170,22 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, st
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(w) for w, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.float64())), *batch.columns[2:]], ["doc_id", "words", "style", *names, "fold"])
 
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id").select("doc_id", "text", *names, F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)).cast("int").alias("fold"))
-    found = rows.mapInArrow(read, f"doc_id long, words array<string>, style array<double>, {', '.join(c + ' int' for c in names)}, fold int").toArrow()
-    return found.sort_by("doc_id")
+    rows = scratch.keep(rows.mapInArrow(read, f"doc_id long, words array<string>, style array<double>, {', '.join(c + ' int' for c in names)}, fold int"), "rows")
+    told = {(r.category, r.without): r.words for r in _telling(rows, names).collect()}  # 256 words of each of a dozen sets at most
+    words = sorted({w for found in told.values() for w in found})
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = {w: i for i, w in enumerate(words)}
+        for batch in batches:
+            places = [[index[w] for w in found if w in index] for found in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(places, pa.list_(pa.int16())), *batch.columns[2:]], ["doc_id", "places", "style", *names, "fold"])
+
+    found = rows.mapInArrow(placed, f"doc_id long, places array<short>, style array<double>, {', '.join(c + ' int' for c in names)}, fold int").toArrow()
+    scratch.drop(rows)
+    return Sample(found.sort_by("doc_id"), words, told, names)
 
 
-def toxicity_model(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = 3000) -> tuple[list[tuple[str, Linear]], float]:
+def toxicity_model(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...] = CATEGORIES, sample: int = 6000) -> tuple[list[tuple[str, Linear]], float]:
     model = fit_chain(labelled(docs, labels, categories, sample), [c for c, _ in categories])[:2]
     gc.collect()
     give_back()  # the driver keeps the model only
