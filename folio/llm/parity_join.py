@@ -300,14 +300,18 @@ def _open_pairs(still: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     numbers = heads.join(family.toDF("head", "family"), "head", "left").select("word", "c", F.coalesce("family", "head").alias("family"))
     numbers = scratch.keep(numbers.select("word", (F.row_number().over(order) - 1).alias("i")), "numbers")
     parts = range(WORD_BITS // 64)
-    below = F.array(*[F.expr(f"CASE WHEN i >= {64 * k + 64} THEN -1L WHEN i <= {64 * k} THEN 0L ELSE ~shiftleft(-1L, i - {64 * k}) END") for k in parts])
-    bits = own.join(numbers, "word").groupBy("name").agg(F.array(*[F.expr(f"bit_or(CASE WHEN i div 64 = {k} THEN shiftleft(1L, CAST(i % 64 AS INT)) ELSE 0L END)") for k in parts]).alias("bits"))
-    own = own.join(numbers, "word").join(bits, "name").join(sets.select("name", "sketch"), "name").select("word", "name", "n", "component", "bits", below.alias("below"), "sketch")
+    # Every long has a column of its own: the test of a pair then reads no arrays.
+    below = [F.expr(f"CASE WHEN i >= {64 * k + 64} THEN -1L WHEN i <= {64 * k} THEN 0L ELSE ~shiftleft(-1L, i - {64 * k}) END").alias(f"below{k}") for k in parts]
+    bits = own.join(numbers, "word").groupBy("name").agg(*[F.expr(f"bit_or(CASE WHEN i div 64 = {k} THEN shiftleft(1L, CAST(i % 64 AS INT)) ELSE 0L END)").alias(f"bits{k}") for k in parts])
+    sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
+    own = own.join(numbers, "word").join(bits, "name").join(sets.select("name", "sketch"), "name").select("word", "name", "n", "component", *[f"bits{k}" for k in parts], *below, *sketch)
     own = scratch.keep(own, "numbered")  # else the optimizer would join pairs first
-    x, y = (own.toDF("word", *[c + v for c in ("name", "n", "c", "bits", "below", "sketch")]) for v in "ab")
-    first = " AND ".join(f"(bitsa[{k}] & bitsb[{k}] & belowa[{k}]) = 0" for k in parts)
-    far = _far("na", "nb", percent)
-    return x.join(y, "word").where(f"namea < nameb AND ca <> cb AND abs(na - nb) <= {far} AND {first} AND {apart('sketcha', 'sketchb')} <= {far}").select(F.col("namea").alias("a"), F.col("nameb").alias("b"), "ca", "cb").distinct()
+    x, y = (own.toDF("word", *[c + v for c in own.columns[1:]]) for v in "ab")
+    first = " AND ".join(f"(bits{k}a & bits{k}b & below{k}a) = 0" for k in parts)
+    # The distance of the first longs is at most that of all: most pairs are told apart by few of them.
+    near = " AND ".join("(" + " + ".join(f"bit_count(s{k}a ^ s{k}b)" for k in range(upto)) + f") <= {_far('na', 'nb', percent)}" for upto in (SKETCH // 4, SKETCH))
+    pairs = x.join(y.select("word", *[c for c in y.columns if not c.startswith("below")]), "word").where(f"namea < nameb AND componenta <> componentb AND abs(na - nb) <= {_far('na', 'nb', percent)} AND {first} AND {near}")
+    return pairs.select(F.col("namea").alias("a"), F.col("nameb").alias("b"), F.col("componenta").alias("ca"), F.col("componentb").alias("cb")).distinct()
 
 
 def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
