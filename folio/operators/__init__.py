@@ -31,28 +31,42 @@ def edge_flags(words: DataFrame) -> DataFrame:
     return words.withColumn("mid_edge", mid).withColumn("left_edge", often(F.col("left")) | F.col("mid_edge")).withColumn("right_edge", often(F.col("right")) | F.col("mid_edge")).drop("mid_edge")
 
 
+def baselines(elements: DataFrame, apart: float) -> DataFrame:
+    """Adds ``line``: elements whose bottoms differ by less than ``apart`` of their size, from one to the next, share one."""
+    order = Window.partitionBy(*PAGE).orderBy("bottom")
+    new = F.when(F.col("bottom") - F.lag("bottom").over(order) < apart * F.col("size"), 0).otherwise(1)
+    return elements.withColumn("new", new).withColumn("line", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
+
+
 def words_from_letters(glyphs: DataFrame) -> DataFrame:
-    """Adjoining letters of a line as words: a gap of a hundredth of the size or more begins a new one."""
-    line = Window.partitionBy(*PAGE, "bottom").orderBy("left", "i")
+    """Adjoining letters of a line as words: a gap of a hundredth of the size or more begins a new one. Bottoms may differ by
+    less than a tenth of the size."""
+    line = Window.partitionBy(*PAGE, "line").orderBy("left", "i")
     new = F.when(F.col("left") - F.lag("right").over(line) < 0.01 * F.col("size"), 0).otherwise(1)
-    marked = glyphs.withColumn("new", new).withColumn("word", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return _merged(marked, "word", "")
+    marked = baselines(glyphs, 0.1).withColumn("new", new).withColumn("word", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return _merged(marked, "")
 
 
 def lines_from_words(flagged: DataFrame) -> DataFrame:
-    """Words of a baseline joined from left to right while they do not overlap, are at most half the size apart, and no
-    edge forbids it: a right or middle edge of the left word, a left edge of the right one."""
-    line = Window.partitionBy(*PAGE, "bottom").orderBy("left", "row", "k")
+    """Words of a line (bottoms less than 0.7 of the size apart) joined from left to right while they do not overlap, are at
+    most half the size apart, and no edge forbids it: a right or middle edge of the left word, a left edge of the right one.
+    ``blocks.greedy_lines`` has the rule that decides where lines overlap."""
+    line = Window.partitionBy(*PAGE, "line").orderBy("left", "row", "k")
     gap = F.col("left") - F.lag("right").over(line)
-    joins = (gap > 0) & (gap <= 0.5 * F.col("size")) & ~F.col("left_edge") & ~F.lag("right_edge").over(line)
-    marked = flagged.withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("word", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return _merged(marked, "word", " ")
+    joins = (gap > 0) & (gap <= 0.5 * F.lag("size").over(line)) & ~F.col("left_edge") & ~F.lag("right_edge").over(line)
+    marked = baselines(flagged, 0.7).withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("word", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return _merged(marked, " ")
 
 
-def _merged(marked: DataFrame, key: str, between: str) -> DataFrame:
-    """Left of the first, right and size of the last, lowest bottom; texts in order."""
+def _merged(marked: DataFrame, between: str) -> DataFrame:
+    """Left of the first, right of the last, lowest bottom, largest size above it; texts in order, and the font, if there is
+    one, and size of the rightmost letter or of the leftmost word."""
+    of = F.max_by if between == "" else F.min_by
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "text"))), lambda s: s["text"]), between)
-    return marked.groupBy(*PAGE, "bottom", key).agg(texts.alias("text"), F.min("left").alias("left"), F.max("right").alias("right"), F.max_by("size", "left").alias("size")).select(*PAGE, "text", "left", "right", "bottom", (F.col("bottom") + F.col("size")).alias("top"), "size")
+    font = [of("font", "left").alias("font")] if "font" in marked.columns else []
+    merged = marked.groupBy(*PAGE, "line", "word").agg(texts.alias("text"), F.min("left").alias("left"), F.max("right").alias("right"), F.min("bottom").alias("bottom"), of("size", "left").alias("size"), F.max("size").alias("tallest"), *font)
+    top = F.col("bottom") + F.col("size" if between == "" else "tallest")
+    return merged.select(*PAGE, "text", "left", "right", "bottom", top.alias("top"), "size", *(["font"] if font else []))
 
 
 def upper_median_size(words: DataFrame) -> DataFrame:
@@ -67,16 +81,16 @@ def page_bounds(words: DataFrame, width: int = 612, height: int = 792) -> DataFr
 
 
 def strip_gaps(words: DataFrame, width: int = 612, height: int = 792) -> DataFrame:
-    """White space of each of 200 vertical strips: strip, top, bottom. Words are dealt to strips by number, not compared."""
+    """White space of each of 200 vertical strips that have words: strip, top, bottom. Words are dealt to strips by number,
+    not compared; one window gives the gap above each word and, below the last one, that down to the page's end."""
     w = width / STRIPS
-    inside = words.where((F.col("right") > 0) & (F.col("left") < width)).select(*PAGE, "top", "bottom", F.explode(F.sequence(F.greatest(F.floor(F.col("left") / w), F.lit(0)), F.least(F.ceil(F.col("right") / w) - 1, F.lit(STRIPS - 1)))).alias("strip"))
-    tops = inside.select(*PAGE, "strip", F.col("top").alias("t"), F.col("bottom").alias("b"))
+    strip = F.sequence(F.greatest(F.floor(F.col("left") / w), F.lit(0)), F.least(F.ceil(F.col("right") / w) - 1, F.lit(STRIPS - 1)))
+    inside = words.where((F.col("right") > 0) & (F.col("left") < width)).select(*PAGE, F.col("top").alias("t"), F.col("bottom").alias("b"), F.explode(strip).alias("strip"))
     order = Window.partitionBy(*PAGE, "strip").orderBy(F.col("b").desc(), F.col("t").desc())
-    low = F.lag("low").over(order)
-    marked = tops.withColumn("low", F.min("b").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    gaps = marked.select(*PAGE, "strip", F.coalesce(low, F.lit(height)).alias("top"), F.col("t").alias("bottom")).where("top > bottom")
-    last = inside.groupBy(*PAGE, "strip").agg(F.min("bottom").alias("top")).where("top > 0").select(*PAGE, "strip", "top", F.lit(0).cast("long").alias("bottom"))
-    return gaps.unionByName(last)
+    marked = inside.withColumn("low", F.min("b").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    marked = marked.withColumn("above", F.coalesce(F.lag("low").over(order), F.lit(height)).cast("long")).withColumn("last", F.lead("b").over(order).isNull())
+    gaps = F.array(F.struct(F.col("above").alias("top"), F.col("t").cast("long").alias("bottom")), F.when(F.col("last"), F.struct(F.col("low").cast("long").alias("top"), F.lit(0).cast("long").alias("bottom"))))
+    return marked.select(*PAGE, "strip", F.explode(gaps).alias("g")).select(*PAGE, "strip", "g.top", "g.bottom").where("top > bottom")
 
 
 def strip_islands(gaps: DataFrame) -> DataFrame:

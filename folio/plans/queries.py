@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import operators as op
+from ..operators import blocks
 from ..pdf.relations import roundtrip
 from ..sources import glyphs_of, words_of
 
@@ -132,6 +133,87 @@ def paste_lines(x):
     return op.paste_lines(x)
 
 
+#: The same documents in two columns of up to 40 characters, without words of more than 12 letters.
+WORDS2 = WORDS.replace("// 90", "// 40").replace("WHERE text <> ''", "WHERE text <> '' AND length(text) <= 12").replace("(row // 60 + 1)", "(row // 120 + 1)").replace("(36 + 5 * letters", "(36 + 270 * (row % 120 // 60) + 5 * letters")
+BOXES = f"""{WORDS2},
+strips AS (SELECT doc_id, page, strip, top::BIGINT AS top, bottom::BIGINT AS bottom FROM gaps UNION ALL SELECT doc_id, page, strip, 792, 0 FROM (SELECT DISTINCT doc_id, page FROM words), range(200) s(strip) WHERE (doc_id, page, strip) NOT IN (SELECT DISTINCT doc_id, page, strip FROM covered)),
+runs AS (SELECT doc_id, page, top, bottom, min(strip) AS l, max(strip) + 1 AS r FROM (SELECT *, strip - row_number() OVER (PARTITION BY doc_id, page, top, bottom ORDER BY strip) AS run FROM strips) GROUP BY doc_id, page, top, bottom, run),
+white AS MATERIALIZED (SELECT runs.* FROM runs JOIN (SELECT doc_id, page, list_sort(list(size))[count(*) // 2 + 1] AS median FROM words GROUP BY ALL) USING (doc_id, page) WHERE l = 0 OR r = 200 OR top = 792 OR bottom = 0 OR top - bottom >= 0.3::DOUBLE * median),
+points AS (SELECT DISTINCT * FROM (SELECT doc_id, page, unnest([l, l, r, r]) AS x, unnest([top, bottom, top, bottom]) AS y FROM white)),
+flagged2 AS MATERIALIZED (SELECT p.doc_id, p.page, x, y, bit_or(CASE WHEN x > l AND y < top THEN 8 ELSE 0 END + CASE WHEN x < r AND y < top THEN 4 ELSE 0 END + CASE WHEN x < r AND y > bottom THEN 2 ELSE 0 END + CASE WHEN x > l AND y > bottom THEN 1 ELSE 0 END) AS flags
+  FROM points p JOIN white w ON p.doc_id = w.doc_id AND p.page = w.page AND x BETWEEN l AND r AND y BETWEEN bottom AND top GROUP BY ALL),
+turns AS MATERIALIZED (SELECT *, row_number() OVER () AS id, substr(way, 1, 1) AS ins, substr(way, 2, 1) AS outs FROM (SELECT *, CASE f WHEN 1 THEN 'NW' WHEN 2 THEN 'WS' WHEN 4 THEN 'SE' WHEN 7 THEN 'SW' WHEN 8 THEN 'EN' WHEN 11 THEN 'WN' WHEN 13 THEN 'NE' WHEN 14 THEN 'ES' END AS way
+  FROM (SELECT doc_id, page, x, y, unnest(CASE flags WHEN 5 THEN [4, 1] WHEN 10 THEN [8, 2] ELSE [flags] END) AS f FROM flagged2 WHERE flags % 3 <> 0))),
+nexts AS (SELECT t.id, arg_min(o.id, abs(o.y - t.y)) AS nxt FROM turns t JOIN turns o ON t.doc_id = o.doc_id AND t.page = o.page AND t.x = o.x AND t.outs = o.ins AND ((t.outs = 'N' AND o.y > t.y) OR (t.outs = 'S' AND o.y < t.y)) GROUP BY t.id
+  UNION ALL SELECT t.id, arg_min(o.id, abs(o.x - t.x)) FROM turns t JOIN turns o ON t.doc_id = o.doc_id AND t.page = o.page AND t.y = o.y AND t.outs = o.ins AND ((t.outs = 'E' AND o.x > t.x) OR (t.outs = 'W' AND o.x < t.x)) GROUP BY t.id)
+"""
+LABELS = ", p0 AS MATERIALIZED (SELECT id, nxt, id AS least FROM turns LEFT JOIN nexts USING (id))" + "".join(f", p{k + 1} AS MATERIALIZED (SELECT a.id, b.nxt, least(a.least, coalesce(b.least, a.least)) AS least FROM p{k} a LEFT JOIN p{k} b ON a.nxt = b.id)" for k in range(12))
+ENCLOSED = f"""{BOXES}{LABELS},
+poly AS MATERIALIZED (SELECT doc_id, page, min(x) AS l, max(x) AS r, max(y) AS top, min(y) AS bottom FROM turns JOIN p12 USING (id) GROUP BY doc_id, page, least),
+inner_ AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page ORDER BY l, top DESC, r, bottom) AS n FROM poly WHERE NOT (l = 0 AND r = 200 AND top = 792 AND bottom = 0)),
+boxed AS (SELECT doc_id, page, l * (612 / 200::DOUBLE) AS xmin, bottom::DOUBLE AS ymin, r * (612 / 200::DOUBLE) AS xmax, top::DOUBLE AS ymax, row_number() OVER (PARTITION BY doc_id, page ORDER BY l, top DESC, r, bottom) - 1 AS box
+  FROM inner_ i WHERE NOT EXISTS (FROM inner_ o WHERE o.doc_id = i.doc_id AND o.page = i.page AND o.n < i.n AND o.l <= i.l AND o.r >= i.r AND o.top >= i.top AND o.bottom <= i.bottom))
+"""
+HELD = '"left" > xmin - 0.1::DOUBLE AND "right" < xmax + 0.1::DOUBLE AND top < ymax + 0.1::DOUBLE AND bottom > ymin - 0.1::DOUBLE AND NOT ("left" = xmin AND "right" = xmax AND top = ymax AND bottom = ymin)'
+
+
+def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return words_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), wrap=40, columns=2, longest=12)
+
+
+@query(f'{BOXES} SELECT doc_id, page, l AS "left", r AS "right", top, bottom FROM white', columns)
+def white_boxes(w):
+    return blocks.white_boxes(w)
+
+
+@query(f"{BOXES} SELECT doc_id, page, x, y, flags FROM flagged2", columns)
+def vertex_flags(w):
+    return blocks.vertices(blocks.white_boxes(w))
+
+
+@query(f"{BOXES} SELECT t.doc_id, t.page, t.x, t.y, t.f AS flags, t.ins, t.outs, o.x AS next_x, o.y AS next_y, o.f AS next_flags FROM turns t LEFT JOIN nexts USING (id) LEFT JOIN turns o ON o.id = nxt", columns)
+def vertex_next(w):
+    return blocks.next_corners(blocks.corners(blocks.vertices(blocks.white_boxes(w))))
+
+
+@query(f'{ENCLOSED} SELECT doc_id, page, l AS "left", r AS "right", top, bottom FROM poly', columns)
+def polygon_boxes(w):
+    return blocks.polygon_boxes(blocks.polygons(blocks.next_corners(blocks.corners(blocks.vertices(blocks.white_boxes(w)))))).drop("polygon")
+
+
+@query(f"{ENCLOSED} SELECT * FROM boxed", columns)
+def text_boxes(w):
+    return blocks.text_boxes(w)
+
+
+@query(f"{ENCLOSED} SELECT doc_id, page, row, k, box FROM words JOIN boxed USING (doc_id, page) WHERE {HELD}", columns)
+def assign_text(w):
+    return blocks.assign_boxes(w, blocks.text_boxes(w)).select("doc_id", "page", "row", "k", "box")
+
+
+@query(f"""{ENCLOSED},
+held AS (SELECT * FROM lines JOIN boxed USING (doc_id, page) WHERE {HELD}),
+parted AS (SELECT *, sum(coalesce(bottom < above AND "left" - side > 0.1::DOUBLE AND top < above, false)::INT) OVER (PARTITION BY doc_id, page, box ORDER BY bottom DESC, "left", text ROWS UNBOUNDED PRECEDING)::BIGINT AS part
+  FROM (SELECT *, lag(bottom) OVER o AS above, lag("left") OVER o AS side FROM held WINDOW o AS (PARTITION BY doc_id, page, box ORDER BY bottom DESC, "left", text))),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY doc_id, page, box, part ORDER BY bottom DESC, "left", text) AS i, count(*) OVER (PARTITION BY doc_id, page, box, part) AS n, max(part) OVER (PARTITION BY doc_id, page, box) AS parts FROM parted)
+SELECT doc_id, page, box, part, string_agg(CASE WHEN i = n THEN text WHEN right(text, 1) IN ('-','‐','‑','‒','–','—','―') THEN left(text, length(text) - 1) WHEN right(text, 1) IN (' ', chr(160)) THEN text ELSE text || ' ' END, '' ORDER BY i) AS text,
+  any_value(xmin) AS "left", any_value(xmax) AS "right", CASE WHEN part = any_value(parts) THEN any_value(ymin) ELSE min(bottom) END::DOUBLE AS bottom, CASE WHEN part = 0 THEN any_value(ymax) ELSE max(top) END::DOUBLE AS top, min(size) FILTER (i = 1) AS size
+FROM numbered GROUP BY doc_id, page, box, part""", columns)
+def text_blocks(w):
+    return blocks.text_blocks(op.lines_from_words(op.edge_flags(w)), blocks.text_boxes(w))
+
+
+@query(f'{WORDS} SELECT doc_id, page, text, "left"::DOUBLE AS "left", "right"::DOUBLE AS "right", bottom::DOUBLE AS bottom, top::DOUBLE AS top, size::DOUBLE AS size FROM lines')
+def greedy_lines(w):
+    return blocks.greedy_lines(op.edge_flags(w))
+
+
+@query(f"""{WORDS}, g AS (SELECT doc_id, page, ((row * 1000 + k) * 1000 + i)::BIGINT AS seq, "left" + 5 * i AS l, bottom, row FROM words, range(1000) r(i) WHERE i < length(text))
+SELECT a.doc_id, a.page, a.seq, b.seq AS next_seq FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.page = b.page AND a.bottom = b.bottom AND b.l = a.l + 5""")
+def adjacent_letters(w):
+    return blocks.adjacent_letters(glyphs_of(w).withColumn("seq", (F.col("row") * 1000 + F.col("k")) * 1000 + F.col("i")))
+
+
 CARVE = "CASE WHEN instr({r}, '{b}') > 0 THEN left({r}, instr({r}, '{b}') - 1) ELSE {r} END"
 REST = "(CASE WHEN instr(html, '<h1>') > 0 THEN substr(html, instr(html, '<h1>') + 4) ELSE html END)"
 

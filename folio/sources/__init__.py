@@ -13,18 +13,24 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
-def words_of(docs: DataFrame) -> DataFrame:
-    """doc_id, page, row, k, text, left, right, bottom, top, size of each word, in whole numbers. One shuffle by document."""
+def words_of(docs: DataFrame, wrap: int = WRAP, columns: int = 1, longest: int | None = None) -> DataFrame:
+    """doc_id, page, row, k, text, left, right, bottom, top, size of each word, in whole numbers. One shuffle by document.
+    With several ``columns`` a page has as many times ROWS rows; words of more than ``longest`` letters are left out."""
     lines = docs.where("text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
-    words = lines.select("doc_id", "line", F.posexplode(F.split("t", " ")).alias("w", "text")).where("text <> ''").repartition("doc_id")
+    words = lines.select("doc_id", "line", F.posexplode(F.split("t", " ")).alias("w", "text")).where("text <> ''")
+    words = (words.where(F.length("text") <= longest) if longest else words).repartition("doc_id")
     before = Window.partitionBy("doc_id", "line").orderBy("w").rowsBetween(Window.unboundedPreceding, -1)
-    words = words.withColumn("vrow", F.floor(F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)) / WRAP).cast("long"))
+    words = words.withColumn("vrow", F.floor(F.coalesce(F.sum(F.length("text") + 1).over(before), F.lit(0)) / wrap).cast("long"))
     words = words.withColumn("row", (F.dense_rank().over(Window.partitionBy("doc_id").orderBy("line", "vrow")) - 1).cast("long"))
     here = Window.partitionBy("doc_id", "row").orderBy("w")
-    words = words.withColumn("k", (F.row_number().over(here) - 1).cast("long")).withColumn("letters", F.coalesce(F.sum(F.length("text")).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    left = 36 + GLYPH * F.col("letters") + SPACE * F.col("k")
+    letters = F.coalesce(F.sum(F.length("text")).over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    words = words.withColumn("k", (F.row_number().over(here) - 1).cast("long")).withColumn("letters", letters)
+    column = F.floor(F.col("row") % (columns * ROWS) / ROWS).cast("long")
+    left = 36 + GLYPH * F.col("letters") + SPACE * F.col("k") + 270 * column
     bottom = 770 - 12 * (F.col("row") % ROWS)
-    return words.select("doc_id", (F.floor(F.col("row") / ROWS) + 1).alias("page"), "row", "k", "text", left.alias("left"), (left + GLYPH * F.length("text")).alias("right"), bottom.alias("bottom"), (bottom + SIZE).alias("top"), F.lit(SIZE).cast("long").alias("size"))
+    page = (F.floor(F.col("row") / (columns * ROWS)) + 1).alias("page")
+    right, size = left + GLYPH * F.length("text"), F.lit(SIZE).cast("long")
+    return words.select("doc_id", page, "row", "k", "text", left.alias("left"), right.alias("right"), bottom.alias("bottom"), (bottom + SIZE).alias("top"), size.alias("size"))
 
 
 def glyphs_of(words: DataFrame) -> DataFrame:
