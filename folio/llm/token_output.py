@@ -103,7 +103,7 @@ def _strung(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np
 
 
 @functools.cache  # a worker's later tasks find the pieces of the earlier ones
-def encoder(tokenizer_path: str, width: int, held: int = 120_000) -> Callable[[pa.Array], list[bytes]]:
+def encoder(tokenizer_path: str, width: int, held: int = 60_000) -> Callable[[pa.Array], list[bytes]]:
     """Whole texts to ids as little-endian bytes, ``width`` for each id, without special tokens. A tokenizer that drops
     white space gets each distinct piece of a batch's distinct words once, and its ids are remembered; any other gets
     whole texts."""
@@ -160,9 +160,9 @@ def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
 
 
 def shard_count(docs: DataFrame, shard_bytes: int, least_bytes: int = 4 << 20) -> int:
-    """Shards of at most about ``shard_bytes`` of text; of less, while there are fewer than four for each core."""
+    """Shards of at most about ``shard_bytes`` of text; of less, while there are fewer than eight for each core."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
-    return max(1, -(-size // shard_bytes), min(4 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // least_bytes)))
+    return max(1, -(-size // shard_bytes), min(8 * docs.sparkSession.sparkContext.defaultParallelism, -(-size // least_bytes)))
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, level: int = 1, shard_bytes: int = 256 << 20) -> None:
