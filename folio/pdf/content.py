@@ -6,26 +6,14 @@ import re
 from collections.abc import Iterator
 
 from .cos import Document, Lexer, Name, Word
+from .encodings import core_widths, encoding, glyph_unicode, type1_encoding
 
 IDENTITY = (1.0, 0.0, 0.0, 1.0, 0.0, 0.0)
-#: cp1252 leaves these codes undefined; they stand for themselves.
-ENCODINGS = {"/WinAnsiEncoding": "cp1252", "/MacRomanEncoding": "mac_roman"}
-#: Names of glyphs besides single letters (fixed values).
-GLYPHS = dict(zip("space exclam quotedbl numbersign dollar percent ampersand quotesingle parenleft parenright asterisk plus comma hyphen period slash zero one two three four five six seven eight nine colon semicolon less equal greater question at bracketleft backslash bracketright asciicircum underscore grave braceleft bar braceright asciitilde bullet endash emdash quoteleft quoteright quotedblleft quotedblright ellipsis fi fl ff ffi ffl Euro germandbls".split(), " !\"#$%&'()*+,-./0123456789:;<=>?@[\\]^_`{|}~•–—‘’“”…ﬁﬂﬀﬃﬄ€ß", strict=True))
-
 
 def times(p: tuple, q: tuple) -> tuple:
     return (p[0] * q[0] + p[1] * q[2], p[0] * q[1] + p[1] * q[3], p[2] * q[0] + p[3] * q[2], p[2] * q[1] + p[3] * q[3], p[4] * q[0] + p[5] * q[2] + q[4], p[4] * q[1] + p[5] * q[3] + q[5])
 
 
-def glyph_unicode(name: str) -> str | None:
-    name = name.lstrip("/")
-    if len(name) == 1 or name in GLYPHS:
-        return GLYPHS.get(name, name)
-    m = re.fullmatch(r"uni([0-9A-Fa-f]{4})|G([0-9A-Fa-f]{2})|u([0-9A-Fa-f]{4,6})", name)
-    return chr(int(m[1] or m[2] or m[3], 16)) if m else None
-
-
 class Font:
     """Codes to (unicode, width in thousandths)."""
 
@@ -34,14 +22,16 @@ class Font:
         self.name = re.sub(r"^/?(?:[A-Z]{6}\+)?", "", str(get(font.get("/BaseFont")) or "/unknown"))
         self.wide = get(font.get("/Subtype")) == "/Type0"
         self.missing, self.widths, self.unicode = 500.0, {}, {}
-        encoding = get(font.get("/Encoding"))
-        base = encoding if isinstance(encoding, Name) else (encoding or {}).get("/BaseEncoding")
-        codec = ENCODINGS.get(base, "latin-1")
+        given, core = get(font.get("/Encoding")), core_widths(self.name)
+        base = given if isinstance(given, Name) else (given or {}).get("/BaseEncoding")
         if not self.wide:
-            self.unicode = {c: bytes([c]).decode(codec, "ignore") or chr(c) for c in range(256)}
-        if isinstance(encoding, dict):
+            self.unicode = encoding(base, self.name in ("Symbol", "ZapfDingbats"))
+            descriptor = get(font.get("/FontDescriptor"))
+            if given is None and isinstance(descriptor, dict) and "/FontFile" in descriptor:
+                self.unicode |= type1_encoding(doc.stream(descriptor["/FontFile"]))
+        if isinstance(given, dict):
             code = 0
-            for x in get(encoding.get("/Differences")) or []:
+            for x in get(given.get("/Differences")) or []:
                 if isinstance(x, int):
                     code = x
                 else:
@@ -61,8 +51,8 @@ class Font:
                 else:
                     self.widths |= dict.fromkeys(range(w[0], w[1] + 1), float(w[2]))
                     del w[:3]
-        if "courier" in self.name.lower() and not self.widths:
-            self.missing = 600.0
+        if core and not self.widths and not self.wide:
+            self.widths = {code: core[char] for code, char in self.unicode.items() if char in core}
 
     def _cmap(self, data: bytes) -> None:
         text = lambda b: b.decode("utf-16-be", "ignore") if len(b) > 1 else b.decode("latin-1")
@@ -135,7 +125,7 @@ def interpret(doc: Document, page: dict, fonts: dict | None = None) -> tuple[lis
             c = [(1 - t) ** 3, 3 * (1 - t) ** 2 * t, 3 * (1 - t) * t * t, t**3]
             add(*(c[0] * inverse[k] + c[1] * a[k] + c[2] * a[2 + k] + c[3] * a[4 + k] for k in (0, 1)))
 
-    def run(program: bytes, resources: dict, depth: int) -> None:
+    def run(program: bytes, resources: dict, within: tuple) -> None:
         nonlocal state
         lex, args, here = Lexer(program, 0, refs=False), [], (0.0, 0.0)
         while True:
@@ -153,8 +143,9 @@ def interpret(doc: Document, page: dict, fonts: dict | None = None) -> tuple[lis
                 state = stack.pop() if stack else state
             elif v == "cm" and len(n) == 6:
                 state["ctm"] = times(tuple(n), state["ctm"])
-            elif v == "BT":
+            elif v in ("BT", "ET"):
                 text["tm"] = text["line"] = IDENTITY
+                state |= {"tc": 0.0, "tw": 0.0, "th": 100.0}
             elif v == "Tf" and args:
                 name = str(args[0])
                 font = (doc.get(resources.get("/Font")) or {}).get(name)
@@ -213,15 +204,15 @@ def interpret(doc: Document, page: dict, fonts: dict | None = None) -> tuple[lis
                 if len(n) == 4:
                     n = [(1 - c) * (1 - n[3]) for c in n[:3]]
                 state["stroke" if v[0].isupper() else "fill"] = tuple(n) if n else (0.0,)
-            elif v == "Do" and args and depth < 8:
+            elif v == "Do" and args:
                 ref = (doc.get(resources.get("/XObject")) or {}).get(str(args[0]))
                 form = doc.get(ref)
-                if isinstance(form, dict) and form.get("/Subtype") == "/Form":
-                    run(doc.stream(ref), doc.get(form.get("/Resources")) or resources, depth + 1)
+                if isinstance(form, dict) and form.get("/Subtype") == "/Form" and ref not in within:  # a form within itself is cut
+                    run(doc.stream(ref), doc.get(form.get("/Resources")) or resources, (*within, ref))
             elif v == "ID":
                 end = re.compile(rb"\sEI(?=[\s]|\Z)").search(program, lex.at)
                 lex.at = end.end() if end else len(program)
             args = []
 
-    run(doc.program(page), doc.get(page.get("/Resources")) or {}, 0)
+    run(doc.program(page), doc.get(page.get("/Resources")) or {}, ())
     return out, paths

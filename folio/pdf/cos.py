@@ -7,6 +7,9 @@ import re
 import zlib
 from dataclasses import dataclass
 
+import numpy as np
+
+#: The padding of passwords (fixed value).
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 SPACE, DELIMITERS = b"\x00\t\n\x0c\r ", b"()<>[]{}/%"
 REGULAR = re.compile(rb"[^\x00\t\n\x0c\r ()<>\[\]{}/%]+")
@@ -118,18 +121,39 @@ class Lexer:
             out[str(key)] = self.value()
 
 
+def inflated(body: bytes) -> bytes:
+    """A zlib stream's bytes. One that is cut short gives what it has; one that is damaged from its start raises ValueError."""
+    inflate = zlib.decompressobj()
+    try:
+        return inflate.decompress(body) + inflate.flush()
+    except zlib.error as e:
+        out, inflate = bytearray(), zlib.decompressobj()
+        try:
+            for i in range(len(body)):
+                out += inflate.decompress(body[i : i + 1])
+        except zlib.error:
+            pass
+        if not out:
+            raise ValueError(f"damaged stream: {e}") from e
+        return bytes(out)
+
+
 def rc4(key: bytes, data: bytes) -> bytes:
-    s, j = list(range(256)), 0
+    s, j, k = list(range(256)), 0, len(key)
     for i in range(256):
-        j = (j + s[i] + key[i % len(key)]) & 255
-        s[i], s[j] = s[j], s[i]
-    out, i, j = bytearray(), 0, 0
-    for c in data:
+        x = s[i]
+        j = (j + x + key[i % k]) & 255
+        s[i], s[j] = s[j], x
+    # Two bytes are swapped for each that comes out; the stream of these is laid over the data at once.
+    out, i, j = bytearray(len(data)), 0, 0
+    for n in range(len(data)):
         i = (i + 1) & 255
-        j = (j + s[i]) & 255
-        s[i], s[j] = s[j], s[i]
-        out.append(c ^ s[(s[i] + s[j]) & 255])
-    return bytes(out)
+        x = s[i]
+        j = (j + x) & 255
+        s[i] = y = s[j]
+        s[j] = x
+        out[n] = s[(x + y) & 255]
+    return (int.from_bytes(out) ^ int.from_bytes(data)).to_bytes(len(data))
 
 
 def file_key(encrypt: dict, file_id: bytes, password: bytes = b"") -> bytes:
@@ -165,6 +189,9 @@ def unpredicted(data: bytes, parms: dict) -> bytes:
         return data
     size = max(1, parms.get("/Colors", 1) * parms.get("/BitsPerComponent", 8) // 8)
     width = (parms.get("/Columns", 1) * parms.get("/Colors", 1) * parms.get("/BitsPerComponent", 8) + 7) // 8
+    if len(data) % (width + 1) == 0 and not set(data[:: width + 1]) - {2}:  # all rows differ from the one above: running sums
+        rows = np.frombuffer(data, np.uint8).reshape(-1, width + 1)[:, 1:]
+        return np.cumsum(rows, axis=0, dtype=np.uint8).tobytes()
     out, above = bytearray(), bytes(width)
     for i in range(0, len(data) - width, width + 1):
         kind, row = data[i], bytearray(data[i + 1 : i + 1 + width])
@@ -249,8 +276,7 @@ class Document:
         filters, parms = (x if isinstance(x, list) else [x] for x in (filters, parms))
         for i, f in enumerate(filters):
             if f in ("/FlateDecode", "/Fl"):
-                inflate = zlib.decompressobj()
-                body = inflate.decompress(body) + inflate.flush()
+                body = inflated(body)
                 body = unpredicted(body, (self.get(parms[i]) if i < len(parms) else None) or {})
             else:
                 break  # image filters and others stay as they are
@@ -310,7 +336,7 @@ class Document:
             if "/Kids" in node:
                 for kid in self.get(node["/Kids"]) or []:
                     walk(kid, own)
-            else:
+            elif self.get(node.get("/Type")) in ("/Page", None):
                 out.append(own | node)
 
         walk((self.get(self.trailer.get("/Root")) or {}).get("/Pages"), {})
