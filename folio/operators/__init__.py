@@ -83,13 +83,13 @@ def page_bounds(words: DataFrame, width: int = 612, height: int = 792) -> DataFr
 def strip_gaps(words: DataFrame, width: int = 612, height: int = 792) -> DataFrame:
     """White space of each of 200 vertical strips that have words: strip, top, bottom. Words are dealt to strips by number,
     not compared; one window gives the gap above each word and, below the last one, that down to the page's end."""
-    w = width / STRIPS
+    w, kind = width / STRIPS, words.schema["bottom"].dataType
     strip = F.sequence(F.greatest(F.floor(F.col("left") / w), F.lit(0)), F.least(F.ceil(F.col("right") / w) - 1, F.lit(STRIPS - 1)))
     inside = words.where((F.col("right") > 0) & (F.col("left") < width)).select(*PAGE, F.col("top").alias("t"), F.col("bottom").alias("b"), F.explode(strip).alias("strip"))
     order = Window.partitionBy(*PAGE, "strip").orderBy(F.col("b").desc(), F.col("t").desc())
     marked = inside.withColumn("low", F.min("b").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    marked = marked.withColumn("above", F.coalesce(F.lag("low").over(order), F.lit(height)).cast("long")).withColumn("last", F.lead("b").over(order).isNull())
-    gaps = F.array(F.struct(F.col("above").alias("top"), F.col("t").cast("long").alias("bottom")), F.when(F.col("last"), F.struct(F.col("low").cast("long").alias("top"), F.lit(0).cast("long").alias("bottom"))))
+    marked = marked.withColumn("above", F.coalesce(F.lag("low").over(order), F.lit(height).cast(kind))).withColumn("last", F.lead("b").over(order).isNull())
+    gaps = F.array(F.struct(F.col("above").alias("top"), F.col("t").alias("bottom")), F.when(F.col("last"), F.struct(F.col("low").alias("top"), F.lit(0).cast(kind).alias("bottom"))))
     return marked.select(*PAGE, "strip", F.explode(gaps).alias("g")).select(*PAGE, "strip", "g.top", "g.bottom").where("top > bottom")
 
 

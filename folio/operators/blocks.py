@@ -31,7 +31,8 @@ def white_strips(words: DataFrame, width: int = 612, height: int = 792) -> DataF
     inside = F.when((F.col("right") > 0) & (F.col("left") < width), strips).otherwise(F.array().cast("array<int>"))
     used = words.select(*PAGE, F.explode_outer(inside).alias("strip")).groupBy(*PAGE).agg(F.collect_set("strip").alias("used"))
     empty = used.select(*PAGE, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(STRIPS - 1)), "used")).alias("strip")).withColumn("strip", F.col("strip").cast("long"))
-    return gaps.unionByName(empty.withColumn("top", F.lit(height).cast("long")).withColumn("bottom", F.lit(0).cast("long")))
+    kind = words.schema["bottom"].dataType
+    return gaps.unionByName(empty.withColumn("top", F.lit(height).cast(kind)).withColumn("bottom", F.lit(0).cast(kind)))
 
 
 def white_boxes(words: DataFrame, width: int = 612, height: int = 792, least: float = 0.3) -> DataFrame:

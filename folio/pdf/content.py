@@ -75,8 +75,9 @@ class Font:
             yield code, self.unicode.get(code, chr(code)), self.widths.get(code, self.missing)
 
 
-def interpret(doc: Document, page: dict, fonts: dict | None = None) -> tuple[list[tuple], list[dict]]:
-    """(text, left, right, bottom, top, font, size) of each glyph but spaces, in order, and the painted paths."""
+def interpret(doc: Document, page: dict, fonts: dict | None = None, marks: list | None = None) -> tuple[list[tuple], list[dict]]:
+    """(text, left, right, bottom, top, font, size) of each glyph but spaces, in order, and the painted paths. ``marks`` is
+    given (place in painting order, colour, fill) of each glyph."""
     out: list[tuple] = []
     paths: list[dict] = []
     fonts = {} if fonts is None else fonts
@@ -92,8 +93,10 @@ def interpret(doc: Document, page: dict, fonts: dict | None = None) -> tuple[lis
         for _, char, width in font.glyphs(data):
             m = times(text["tm"], state["ctm"])
             scale = state["size"] * (m[0] ** 2 + m[1] ** 2) ** 0.5
-            wide = scale * width / 1000 * state["th"] / 100
+            wide = (scale * width / 1000 + state["tc"] * scale / (state["size"] or 1)) * state["th"] / 100
             if char.strip():
+                if marks is not None:
+                    marks.append((len(out) + len(paths), list(state["stroke"]), list(state["fill"])))
                 out.append((char, m[4], m[4] + wide, m[5], m[5] + scale, font.name, scale))
             step = (state["size"] * width / 1000 + state["tc"] + (state["tw"] if char == " " else 0)) * state["th"] / 100
             text["tm"] = times((1, 0, 0, 1, step, 0), text["tm"])
@@ -108,7 +111,8 @@ def interpret(doc: Document, page: dict, fonts: dict | None = None) -> tuple[lis
 
     def paint(stroked: bool, filled: bool) -> None:
         if points and (stroked or filled):
-            paths.append({"x": [p[1] for p in points], "y": [p[2] for p in points], "subpath": [p[0] for p in points], "filled": filled, "stroked": stroked, "colour": list(state["stroke"]), "fill": list(state["fill"]), "size": state["lw"] * state["ctm"][0]})
+            place = {"place": len(out) + len(paths), "x": [p[1] for p in points], "y": [p[2] for p in points], "subpath": [p[0] for p in points]}
+            paths.append(place | {"filled": filled, "stroked": stroked, "colour": list(state["stroke"]), "fill": list(state["fill"]), "size": state["lw"] * state["ctm"][0]})
         points.clear()
 
     def close() -> None:

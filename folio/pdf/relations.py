@@ -7,9 +7,10 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import functions as fn
 from .. import operators as op
 from .content import interpret
 from .cos import Document
@@ -108,6 +109,64 @@ def paths(files: DataFrame) -> DataFrame:
     return _decoded(files, rows, "doc_id long, page int, path int, x array<double>, y array<double>, subpath array<int>, filled boolean, stroked boolean, colour array<double>, fill array<double>, size double")
 
 
+def graphic_objects(files: DataFrame) -> DataFrame:
+    """Painted paths and glyphs of each page in the order of painting: place, kind (path or text), x, y, subpath, filled,
+    stroked, colour, fill, size, text, and the page's box."""
+    def rows(d: int, doc: Document) -> Iterator[tuple]:
+        fonts: dict = {}
+
+        def of(at: tuple[int, dict]) -> Iterator[tuple]:
+            marks: list = []
+            found, drawn = interpret(doc, at[1], fonts, marks)
+            box = doc.box(at[1])
+            size = box[2] - box[0], box[3] - box[1]
+            for g in drawn:
+                yield d, at[0], g["place"], "path", g["x"], g["y"], g["subpath"], g["filled"], g["stroked"], g["colour"], g["fill"], g["size"], "", *size
+            for (text, left, _, bottom, _, _, scale), (place, colour, fill) in zip(found, marks, strict=True):
+                yield d, at[0], place, "text", [left], [bottom], [0], False, True, colour, fill, scale, text, *size
+
+        return _sound(enumerate(doc.pages(), 1), of)
+
+    return _decoded(files, rows, "doc_id long, page int, place int, kind string, x array<double>, y array<double>, subpath array<int>, filled boolean, stroked boolean, colour array<double>, fill array<double>, size double, text string, width double, height double")
+
+
+def _hex(colour: str) -> Column:
+    """#rrggbb of one, three or no components (black)."""
+    c = F.col(colour)
+    rgb = [F.coalesce(F.get(c, F.when(F.size(c) >= 3, F.lit(i)).otherwise(F.lit(0))), F.lit(0.0)) for i in range(3)]
+    return fn.rgb_hex(*rgb)
+
+
+def drawables(files: DataFrame) -> DataFrame:
+    """What each page draws, in order: kind (polyline, polygon or text), x and y as shares of the page, subpath numbers, fill,
+    col, lwd (2 at most), fontsize, label. A fill or colour that is not used is null."""
+    g = graphic_objects(files)
+    text = F.col("kind") == "text"
+    kind = F.when(text, "text").when(F.col("filled"), "polygon").otherwise("polyline")
+    share = lambda c, whole: F.transform(c, lambda v: v / F.col(whole))
+    return g.select(
+        "doc_id", "page", F.col("place").alias("shape"), kind.alias("kind"), share("x", "width").alias("x"), share("y", "height").alias("y"), "subpath",
+        F.when(F.col("filled"), _hex("fill")).alias("fill"), F.least(F.abs(F.when(text, F.lit(1.0)).otherwise(F.col("size"))), F.lit(2.0)).alias("lwd"),
+        F.when(F.col("stroked") | text, _hex("colour")).alias("col"), F.when(text, F.col("size")).alias("fontsize"), F.when(text, F.col("text")).alias("label"),
+    )
+
+
+def graphics(files: DataFrame, scale: float = 1.0, furthest: float = 800.0) -> DataFrame:
+    """The points of all shapes that stay on the page (no x or y beyond ``furthest``): poly, seq, x, y, stroke, fill, size,
+    filled, has_text, text, text_size."""
+    g = graphic_objects(files).where(~F.exists("x", lambda v: v > furthest) & ~F.exists("y", lambda v: v > furthest))
+    has_text = F.length("text") > 0
+    g = g.withColumn("poly", F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("place")))
+    each = g.select("doc_id", "page", "poly", F.posexplode(F.arrays_zip("x", "y")).alias("seq", "p"), _hex("colour").alias("stroke"), _hex("fill").alias("fill"), F.abs("size").alias("size"), "filled", has_text.alias("has_text"), "text")
+    return each.select("doc_id", "page", "poly", "seq", "p.x", "p.y", "stroke", "fill", "size", "filled", "has_text", "text", F.when(F.col("has_text"), scale * F.col("size") / 3).alias("text_size"))
+
+
+def path_boxes(paths_: DataFrame) -> DataFrame:
+    """left, right, top, bottom of each path."""
+    sides = [F.array_min("x").alias("left"), F.array_max("x").alias("right"), F.array_max("y").alias("top"), F.array_min("y").alias("bottom")]
+    return paths_.select("doc_id", "page", "path", *sides)
+
+
 def errors(files: DataFrame) -> DataFrame:
     """doc_id, page and error of the files, pages and objects that cannot be read; page is null for what is no page."""
     def found(content: bytes) -> Iterator[tuple[int | None, str]]:

@@ -72,15 +72,18 @@ def word_elements(w):
     return w.select("doc_id", "page", "text", "left", "right", "bottom", "top", "size")
 
 
-@query(f"{WORDS} SELECT doc_id, page, bottom, sum(length(text))::BIGINT AS letters, sum(5 * (36 * 0) + \"left\" * length(text) + 5 * (length(text) * (length(text) - 1)) // 2)::BIGINT AS lefts FROM words GROUP BY ALL")
+LETTERS = 'SELECT doc_id, page, row, k, i, text[(i + 1)::INT] AS text, "left" + 5 * i AS "left", "left" + 5 * i + 5 AS "right", bottom, top, size FROM words, range(1000) r(i) WHERE i < length(text)'
+
+
+@query(f"{WORDS} {LETTERS}")
 def atomic_letters(w):
-    return glyphs_of(w).groupBy("doc_id", "page", "bottom").agg(F.count("*").alias("letters"), F.sum("left").alias("lefts"))
+    return glyphs_of(w)
 
 
-@query(f"{WORDS} SELECT doc_id, page, sum(length(text))::BIGINT AS letters FROM words GROUP BY ALL")
+@query(f"{WORDS} {LETTERS}")
 def dedupe_letters(w):
     g = glyphs_of(w)
-    return op.dedupe_letters(g.unionByName(g.where("text = 'e'").withColumn("i", F.col("i") + 1000))).groupBy("doc_id", "page").agg(F.count("*").alias("letters"))
+    return op.dedupe_letters(g.unionByName(g.where("text = 'e'").withColumn("i", F.col("i") + 1000)))
 
 
 for side, x in (("left", '"left"::DOUBLE'), ("right", '"right"::DOUBLE'), ("mid", '("left" + "right") / 2.0::DOUBLE')):
@@ -238,14 +241,18 @@ def parse_ints(d):
     return d.select("doc_id", F.array_join(fn.parse_ints(F.col("text")), ",").alias("ints"))
 
 
-@query("SELECT p_partkey, array_to_string([p_partkey::VARCHAR, (p_partkey + 7)::VARCHAR], ',') AS refs FROM part", tables("part"))
+@query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN p_partkey || ',' || (p_partkey + 7) WHEN 1 THEN p_partkey || '' WHEN 2 THEN '' ELSE p_size || ',' || p_partkey || ',' || p_size END AS refs FROM part""", tables("part"))
 def parse_refs(p):
-    return p.select("p_partkey", F.array_join(fn.parse_refs(F.format_string("[%d 0 R %d 5 R]", F.col("p_partkey"), F.col("p_partkey") + 7)), ",").alias("refs"))
+    n, size = F.col("p_partkey"), F.col("p_size")
+    whole, broken = F.format_string("[%d 0 R %d 5 R]", n, n + 7), F.format_string("<< /A 1 /B %d 0 R /C 3 0 RG 1.5 0 R 4 R >>", n)
+    none, nested = F.format_string("[%d 0 S R 12 0]", n), F.format_string("<< /K [<< /P %d 1 R >> [%d 0 R]] /L %d 0 R>>", size, n, size)
+    text = F.when(n % 4 == 0, whole).when(n % 4 == 1, broken).when(n % 4 == 2, none).otherwise(nested)
+    return p.select("p_partkey", F.array_join(fn.parse_refs(text), ",").alias("refs"))
 
 
-@query("SELECT doc_id, upper(md5(text)) AS bytes FROM documents", docs)
+@query("SELECT doc_id, h || CASE WHEN length(h) % 2 = 1 THEN '0' ELSE '' END AS bytes FROM (SELECT doc_id, upper(regexp_replace(substr(text, 1, 200), '[^0-9A-Fa-f]', '', 'g')) AS h FROM documents)", docs)
 def hex_to_bytes(d):
-    return d.select("doc_id", F.hex(fn.hex_to_bytes(F.concat_ws(" ", F.lit("x"), F.md5("text")))).alias("bytes"))
+    return d.select("doc_id", F.hex(fn.hex_to_bytes(F.substring("text", 1, 200))).alias("bytes"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_partkey * 5 > 65535 THEN 'FFFF' ELSE lpad(printf('%X', p_partkey * 5), 4, '0') END AS h FROM part", tables("part"))
@@ -253,9 +260,11 @@ def int_to_hex(p):
     return p.select("p_partkey", fn.int_to_hex(F.col("p_partkey") * 5).alias("h"))
 
 
-@query("SELECT p_partkey, p_brand AS font FROM part", tables("part"))
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 2 THEN 'ABCDE+' ELSE '' END || CASE p_partkey % 4 WHEN 3 THEN 'AbCDEF+' ELSE '' END || p_brand AS font FROM part", tables("part"))
 def font_name(p):
-    return p.select("p_partkey", fn.font_name(F.concat(F.lit("/ABCDEF+"), "p_brand")).alias("font"))
+    n = F.col("p_partkey") % 4
+    prefix = F.when(n == 0, "/ABCDEF+").when(n == 1, "/").when(n == 2, "/ABCDE+").otherwise("/AbCDEF+")
+    return p.select("p_partkey", fn.font_name(F.concat(prefix, "p_brand")).alias("font"))
 
 
 @query("SELECT doc_id, CASE WHEN right(text, 1) IN ('-','‐','‑','‒','–','—','―') THEN left(text, length(text) - 1) WHEN right(text, 1) IN (' ', chr(160)) THEN text ELSE text || ' ' END AS line FROM documents", docs)
@@ -268,10 +277,10 @@ def rgb_hex(x):
     return x.select("l_orderkey", "l_linenumber", fn.rgb_hex(F.col("l_discount"), F.col("l_tax"), F.lit(1.0)).alias("colour"))
 
 
-@query("SELECT l_orderkey, l_linenumber, (1 - l_discount) * (1 - l_tax) AS r, 1 - l_tax AS b FROM lineitem", tables("lineitem"))
+@query("SELECT l_orderkey, l_linenumber, (1 - l_discount) * (1 - l_tax) AS r, (1 - l_quantity / 64.0::DOUBLE) * (1 - l_tax) AS g, 1 - l_tax AS b FROM lineitem", tables("lineitem"))
 def cmyk_rgb(x):
-    c = fn.cmyk_rgb(F.col("l_discount"), F.lit(0.5), F.lit(0.0), F.col("l_tax"))
-    return x.select("l_orderkey", "l_linenumber", c[0].alias("r"), c[2].alias("b"))
+    c = fn.cmyk_rgb(F.col("l_discount"), F.col("l_quantity") / 64, F.lit(0.0), F.col("l_tax"))
+    return x.select("l_orderkey", "l_linenumber", *[c[i].alias(v) for i, v in enumerate("rgb")])
 
 
 @query("SELECT l_orderkey, l_linenumber, l_quantity * 2 + l_partkey * 3 + 5 AS x, l_quantity * 7 + l_partkey * 11 + 13 AS y FROM lineitem", tables("lineitem"))
