@@ -21,6 +21,8 @@ POST = "version:l italic_angle:l UnderlinePosition:h UnderlineThickness:h IsFixe
 #: Seconds from the fonts' epoch (1904) to that of Unix (fixed value), and steps of a curve.
 EPOCH, STEPS = 2082844800, 10
 FIXED = ("version", "fontRevision", "italic_angle")
+#: What reading a damaged or cut table may raise.
+UNREADABLE = (ValueError, IndexError, TypeError, struct.error)
 
 
 def record(layout: str, data: bytes) -> dict:
@@ -280,7 +282,7 @@ def _read(fonts: DataFrame, rows: Callable[[object, TrueType], Iterable[tuple]],
             for font_id, content in zip(batch["font_id"], batch["content"], strict=True):
                 try:
                     found = list(rows(font_id, TrueType(bytes(content or b""))))
-                except (ValueError, IndexError, struct.error):
+                except UNREADABLE:
                     found = []
                 if found:
                     yield pd.DataFrame(found, columns=names)
@@ -380,7 +382,7 @@ def font_errors(fonts: DataFrame) -> DataFrame:
                     font = TrueType(bytes(content or b""))
                     for part in (font.head, font.maxp, font.loca, lambda: list(font.cmaps()), font.post_names, lambda: list(font.names()), lambda: [font.outline(g) for g in range(len(font.loca()) - 1)]):
                         part()
-                except (ValueError, IndexError, struct.error) as e:
+                except UNREADABLE as e:
                     found.append((font_id, f"{type(e).__name__}: {e}"))
             if found:
                 yield pd.DataFrame(found, columns=["font_id", "error"])
