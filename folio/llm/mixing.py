@@ -9,7 +9,12 @@ blocks, so no document gives more than twice its size.
 
 A null source is a source of its own and comes last. Null or empty texts have size 0 and
 give nothing. Repeated rows are documents of their own, and so are rows of equal or null
-doc_id. An empty table gives no rows.
+doc_id. Sources of equal quotients win seats in order of their code points. A document of
+any length is cut into as many blocks as it fills. An empty table gives no rows. Blocks
+have 128 words, or as many as the smallest positive target where that is less, and double
+while the table would have more than 2**30 of them (137 billion words): a source's words
+come within about a block of its target whatever the size. Other columns are ignored, also
+those of the same names as results, but in ``mixed_documents``, which returns them all.
 """
 
 from __future__ import annotations

@@ -367,3 +367,15 @@ def test_pipeline_stages(spark):
     ids = [(r[0], tokenizer.encode(r[1], add_special_tokens=False).ids + [2]) for r in mixed]
     assert Counter((r[0], r[2], r[3]) for r in coded) == Counter((i, len(x), zlib.crc32(array("I", x).tobytes())) for i, x in ids)
     assert [r[1] for r in sorted(coded, key=lambda r: r[1])] == list(itertools.accumulate((r[2] for r in sorted(coded, key=lambda r: r[1])), initial=0))[:-1]
+
+
+def test_lines_of_odd_pages(spark):
+    from folio.llm import line_dedup
+
+    long = "".join(f"<p>line {k}" for k in range(20_000))
+    rows = [(i, "http://h/", f"<p>menu<p>own {i}<p>own {i}") for i in range(4)] + [(0, "http://h/", "<p>menu<p>own 0<p>own 0"), (None, "http://h/", "<p>menu<p>none"), (9, None, None), (10, "http://one/", long)]
+    frame = spark.createDataFrame([(*r, "x", 1) for r in rows], "page_id long, url string, html string, host string, lines int")
+    got = Counter((r.page_id, r.text if len(r.text) < 99 else len(r.text.split("\n")), r.n_lines, r.n_dropped) for r in line_dedup.without_boilerplate(frame).collect())
+    assert got == Counter([*((i, f"own {i}\nown {i}", 3, 1) for i in range(4)), (0, "own 0\nown 0", 3, 1), (None, "none", 2, 1), (9, "", 0, 0), (10, 20_000, 20_000, 0)])
+    assert {r.page_id: r.n_dropped for r in line_dedup.without_boilerplate(frame, least_pages=1).collect()}[10] == 20_000
+    assert line_dedup.without_boilerplate(frame.limit(0)).count() == 0
