@@ -101,10 +101,11 @@ def strip_islands(gaps: DataFrame) -> DataFrame:
 
 def engulfed(boxes: DataFrame, slack: float = 0.1) -> DataFrame:
     """Boxes that no other box of the page holds within itself (an equal, earlier one does)."""
-    b = boxes.withColumn("id", F.row_number().over(Window.partitionBy(*PAGE).orderBy("left", F.desc("top"), "right", "bottom")))
-    o = b.select(*PAGE, *[F.col(c).alias("o_" + c) for c in ("left", "right", "top", "bottom", "id")])
-    holds = (F.col("o_left") <= F.col("left") + slack) & (F.col("o_right") >= F.col("right") - slack) & (F.col("o_top") >= F.col("top") - slack) & (F.col("o_bottom") <= F.col("bottom") + slack) & (F.col("o_id") < F.col("id"))
-    return b.join(o, [b.doc_id == o.doc_id, b.page == o.page, holds], "left_anti").drop("id")
+    b = boxes.withColumn("_n", F.row_number().over(Window.partitionBy(*PAGE).orderBy("left", F.desc("top"), "right", "bottom")))
+    o = b.select(*PAGE, *[F.col(c).alias("o_" + c) for c in ("left", "right", "top", "bottom", "_n")])
+    wide = (F.col("o_left") <= F.col("left") + slack) & (F.col("o_right") >= F.col("right") - slack)
+    tall = (F.col("o_top") >= F.col("top") - slack) & (F.col("o_bottom") <= F.col("bottom") + slack)
+    return b.join(o, [b.doc_id == o.doc_id, b.page == o.page, wide & tall & (F.col("o__n") < F.col("_n"))], "left_anti").drop("_n")
 
 
 def reading_order(words: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ class Font:
 
     def __init__(self, doc: Document, font: dict) -> None:
         get = doc.get
+        self.known: dict[int, tuple[int, str, float]] = {}
         self.name = re.sub(r"^/?(?:[A-Z]{6}\+)?", "", str(get(font.get("/BaseFont")) or "/unknown"))
         self.wide = get(font.get("/Subtype")) == "/Type0"
         self.missing, self.widths, self.unicode = 500.0, {}, {}
@@ -70,9 +71,11 @@ class Font:
                     for i, code in enumerate(range(int.from_bytes(lo), int.from_bytes(hi) + 1)):
                         self.unicode[code] = text(to[i]) if isinstance(to, list) else text(to)[:-1] + chr(ord(text(to)[-1]) + i)
 
-    def glyphs(self, data: bytes) -> Iterator[tuple[int, str, float]]:
-        for code in (int.from_bytes(data[i : i + 2]) for i in range(0, len(data), 2)) if self.wide else data:
-            yield code, self.unicode.get(code, chr(code)), self.widths.get(code, self.missing)
+    def glyphs(self, data: bytes) -> list[tuple[int, str, float]]:
+        known, codes = self.known, [int.from_bytes(data[i : i + 2]) for i in range(0, len(data), 2)] if self.wide else data
+        for code in set(codes).difference(known):
+            known[code] = (code, self.unicode.get(code, chr(code)), self.widths.get(code, self.missing))
+        return [known[code] for code in codes]
 
 
 def interpret(doc: Document, page: dict, fonts: dict | None = None, marks: list | None = None) -> tuple[list[tuple], list[dict]]:
@@ -90,16 +93,18 @@ def interpret(doc: Document, page: dict, fonts: dict | None = None, marks: list
         font: Font | None = state["font"]
         if font is None:
             return
+        # Within one string only the place changes, along the text's own direction.
+        m, th, size, tc = times(text["tm"], state["ctm"]), state["th"] / 100, state["size"], state["tc"]
+        scale = size * (m[0] ** 2 + m[1] ** 2) ** 0.5
+        spacing, moved, name = tc * scale / (size or 1), 0.0, font.name
         for _, char, width in font.glyphs(data):
-            m = times(text["tm"], state["ctm"])
-            scale = state["size"] * (m[0] ** 2 + m[1] ** 2) ** 0.5
-            wide = (scale * width / 1000 + state["tc"] * scale / (state["size"] or 1)) * state["th"] / 100
             if char.strip():
                 if marks is not None:
                     marks.append((len(out) + len(paths), list(state["stroke"]), list(state["fill"])))
-                out.append((char, m[4], m[4] + wide, m[5], m[5] + scale, font.name, scale))
-            step = (state["size"] * width / 1000 + state["tc"] + (state["tw"] if char == " " else 0)) * state["th"] / 100
-            text["tm"] = times((1, 0, 0, 1, step, 0), text["tm"])
+                x, y = m[4] + moved * m[0], m[5] + moved * m[1]
+                out.append((char, x, x + (scale * width / 1000 + spacing) * th, y, y + scale, name, scale))
+            moved += (size * width / 1000 + tc + (state["tw"] if char == " " else 0)) * th
+        text["tm"] = times((1, 0, 0, 1, moved, 0), text["tm"])
 
     def at(x: float, y: float) -> tuple[float, float]:
         m = state["ctm"]
@@ -220,3 +225,27 @@ def interpret(doc: Document, page: dict, fonts: dict | None = None, marks: list
 
     run(doc.program(page), doc.get(page.get("/Resources")) or {}, ())
     return out, paths
+
+
+def content_tokens(program: bytes) -> Iterator[tuple[str, str]]:
+    """Tokens of a program and what they are."""
+    lex, todo = Lexer(program, 0, refs=False), []
+    while True:
+        if todo:
+            v = todo.pop()
+        else:
+            try:
+                v = lex.value()
+            except StopIteration:
+                return
+        if isinstance(v, list):
+            todo += [Word("]"), *reversed(v), Word("[")]
+        elif isinstance(v, Word):
+            yield str(v), "bracket" if v in ("[", "]") else "operator"
+            if v == "ID":
+                end = re.compile(rb"\sEI(?=[\s]|\Z)").search(program, lex.at)
+                lex.at = end.end() if end else len(program)
+        elif isinstance(v, dict):
+            todo += [x for k, w in reversed(v.items()) for x in (w, Name(k))]
+        else:
+            yield (v.decode("latin-1") if isinstance(v, bytes) else f"{v:g}" if isinstance(v, float) else str(v)), ("name" if isinstance(v, Name) else "string" if isinstance(v, bytes) else "number" if isinstance(v, (int, float)) and not isinstance(v, bool) else "value")

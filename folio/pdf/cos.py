@@ -9,6 +9,19 @@ from dataclasses import dataclass
 
 import numpy as np
 
+def spelt(value: object) -> str:
+    """A value as a file spells it."""
+    if isinstance(value, dict):
+        return f"<< {' '.join(f'{k} {spelt(v)}' for k, v in value.items())} >>"
+    if isinstance(value, list):
+        return f"[{' '.join(map(spelt, value))}]"
+    if isinstance(value, Ref):
+        return f"{value.number} {value.generation} R"
+    if isinstance(value, bytes):
+        return "(" + value.decode("latin-1").replace("\\", "\\\\").replace("(", "\\(").replace(")", "\\)") + ")"
+    return {True: "true", False: "false", None: "null"}[value] if value is None or isinstance(value, bool) else f"{value:g}" if isinstance(value, float) else str(value)
+
+
 #: The padding of passwords (fixed value).
 PAD = bytes.fromhex("28BF4E5E4E758A4164004E56FFFA01082E2E00B6D0683E802F0CA9FE6453697A")
 SPACE, DELIMITERS = b"\x00\t\n\x0c\r ", b"()<>[]{}/%"

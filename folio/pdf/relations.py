@@ -7,13 +7,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import operators as op
-from .content import interpret
-from .cos import Document
+from .content import content_tokens, interpret
+from .cos import Document, spelt
 from .writer import write_pdf
 
 
@@ -27,20 +28,31 @@ def _sound(items: Iterable, of: Callable[..., Iterable[tuple]]) -> Iterator[tupl
         yield from found
 
 
-def _decoded(files: DataFrame, rows: Callable[[int, Document], Iterator[tuple]], schema: str) -> DataFrame:
-    names = [c.split()[0] for c in schema.split(", ")]
+KINDS = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64()), "array<int>": pa.list_(pa.int32()), "map<string,string>": pa.map_(pa.string(), pa.string())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _decoded(files: DataFrame, rows: Callable[[int, Document], Iterator[tuple]], schema: str, at_once: int = 50_000) -> DataFrame:
+    fields = pa.schema([(name, KINDS[kind]) for name, kind in (c.split() for c in schema.split(", "))])
+
+    def batch_of(found: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), fields.types, strict=True)], schema=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple] = []
         for batch in batches:
-            for doc_id, content in zip(batch["doc_id"], batch["content"], strict=True):
+            for doc_id, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 try:
-                    found = list(rows(doc_id, Document(bytes(content))))
-                except Exception:  # noqa: BLE001
-                    found = []
-                if found:
-                    yield pd.DataFrame(found, columns=names)
+                    for row in rows(doc_id, Document(content.as_py() or b"")):
+                        found.append(row)
+                        if len(found) >= at_once:
+                            yield batch_of(found)
+                            found = []
+                except Exception:  # noqa: BLE001, S112
+                    continue
+        if found:
+            yield batch_of(found)
 
-    return files.select("doc_id", "content").mapInPandas(run, schema)
+    return files.select("doc_id", "content").mapInArrow(run, schema)
 
 
 def xref(files: DataFrame) -> DataFrame:
@@ -48,11 +60,14 @@ def xref(files: DataFrame) -> DataFrame:
 
 
 def objects(files: DataFrame) -> DataFrame:
+    """The dictionary of each object, its values as a file spells them (parse_refs, parse_ints and the like read them), and
+    its decoded stream. What is no dictionary stands under an empty key."""
     def rows(d: int, doc: Document) -> Iterator[tuple]:
         def of(n: int) -> Iterator[tuple]:
             value, stream = doc.fetch(n)
             if value is not None:
-                yield d, n, {k: str(v) for k, v in value.items()} if isinstance(value, dict) else {"": str(value)}, stream
+                header = value.items() if isinstance(value, dict) else [("", value)]
+                yield d, n, [(k, spelt(v)) for k, v in header], stream
 
         return _sound(sorted(doc.xref), of)
 
@@ -63,6 +78,19 @@ def page_programs(files: DataFrame) -> DataFrame:
     return _decoded(files, lambda d, doc: _sound(enumerate(doc.pages(), 1), lambda at: [(d, at[0], doc.program(at[1]).decode("latin-1"))]), "doc_id long, page int, program string")
 
 
+def tokens(files: DataFrame) -> DataFrame:
+    """The tokens of each page's program in order, with their kinds: number, string, name or operator. Brackets of arrays
+    stand for themselves; inline images have none."""
+    def rows(d: int, doc: Document) -> Iterator[tuple]:
+        def of(at: tuple[int, dict]) -> Iterator[tuple]:
+            for seq, (token, kind) in enumerate(content_tokens(doc.program(at[1]))):
+                yield d, at[0], seq, token, kind
+
+        return _sound(enumerate(doc.pages(), 1), of)
+
+    return _decoded(files, rows, "doc_id long, page int, seq int, token string, type string")
+
+
 def page_boxes(files: DataFrame) -> DataFrame:
     def rows(d: int, doc: Document) -> Iterator[tuple]:
         return _sound(enumerate(doc.pages(), 1), lambda at: [(d, at[0], *map(float, doc.box(at[1])))])
@@ -216,9 +244,10 @@ def as_files(words: DataFrame, flate: bool = True, stream_xref: bool = True, enc
     return words.groupBy("doc_id").applyInPandas(write, "doc_id long, content binary")
 
 
-def roundtrip(words: DataFrame) -> DataFrame:
-    """Words written as encrypted, compressed files, read back as glyphs, and joined to rows: one for each written line."""
-    back = glyphs(as_files(words)).withColumn("row", F.lit(0)).withColumn("k", F.lit(0)).withColumn("i", F.col("seq"))
+def roundtrip(words: DataFrame, flate: bool = True, stream_xref: bool = True, encrypt: int = 3) -> DataFrame:
+    """Words written as files (compressed and encrypted or not), read back as glyphs, and joined to rows: one for each
+    written line. Files are written in cp1252: other characters come back as question marks."""
+    back = glyphs(as_files(words, flate, stream_xref, encrypt)).withColumn("row", F.lit(0)).withColumn("k", F.lit(0)).withColumn("i", F.col("seq"))
     found = op.words_from_letters(back.withColumn("left", F.round("left", 3)).withColumn("right", F.round("right", 3)))
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "text"))), lambda s: s["text"]), " ")
     return found.groupBy("doc_id", "page", "bottom").agg(texts.alias("text"), F.min("left").alias("left"), F.max("right").alias("right"), F.max("top").alias("top"), F.max("size").alias("size")).select("doc_id", "page", "text", "left", "right", "bottom", "top", "size")

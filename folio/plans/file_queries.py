@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import documents
+from .. import functions as fn
+from .. import operators as op
+from ..operators.lookups import live
 from ..pdf import relations as rel
 from ..pdf.samples import damaged, packed, sample, updated
-from .queries import query
+from .queries import ORACLE_SQL, QUERIES, query, words
 
 K = "(SELECT n_nationkey::BIGINT AS k FROM nation)"
 
@@ -116,3 +119,38 @@ def pdf_blocks(f):
 @query(f"SELECT k AS doc_id, text, x::DOUBLE AS x, y::DOUBLE AS y FROM {K}, LATERAL (VALUES ('α', k + 3, 705), ('€', k + 9.5, 705), ('A', k + 17, 705)) m(text, x, y)", files(sample))
 def pdf_midpoints(f):
     return documents.plotted(f, [2], atomic=True).select("doc_id", "text", "x", "y")
+
+
+TOKENS = "(VALUES (0, 'BT', 'operator'), (1, '/F1', 'name'), (2, '10', 'number'), (3, 'Tf', 'operator'), (4, NULL, 'number'), (5, '700', 'number'), (6, 'Td', 'operator'), (7, 'AB', 'string'), (8, 'Tj', 'operator'), (9, 'ET', 'operator')) t(seq, token, type)"
+
+
+@query(f"SELECT k AS doc_id, seq::INT AS seq, coalesce(token, k::VARCHAR) AS token, type FROM {K}, {TOKENS}", files(sample))
+def page_tokens(f):
+    return rel.tokens(f).where("page = 8").select("doc_id", "seq", "token", "type")
+
+
+@query(f"SELECT k AS doc_id, n::INT AS object, 'Contents,Parent,Resources,Type' AS keys, (n + 1)::INT AS contents, 2 AS parent FROM {K}, (VALUES (7), (9), (11), (13)) p(n)", files(lambda k: sample(k, False, True)))
+def dictionary_views(f):
+    """Keys, and the first reference of a value."""
+    o = rel.objects(f).where("header['/Type'] = '/Page' AND object <= 13")
+    first = lambda key: F.get(fn.parse_refs(F.col("header")[key]), 0)
+    keys = F.regexp_replace(F.array_join(F.array_sort(F.map_keys("header")), ","), "/", "")
+    return o.select("doc_id", "object", keys.alias("keys"), first("/Contents").alias("contents"), first("/Parent").alias("parent"))
+
+
+@query("""WITH b AS (SELECT p_partkey // 50 AS doc_id, p_partkey AS id, p_partkey % 37 AS l, p_partkey % 37 + p_size AS r, p_partkey % 11 AS b, p_partkey % 11 + p_size % 13 + 1 AS t FROM part),
+n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY l, t DESC, r, b) AS n FROM b)
+SELECT doc_id, id FROM n i WHERE NOT EXISTS (FROM n o WHERE o.doc_id = i.doc_id AND o.n < i.n AND o.l <= i.l AND o.r >= i.r AND o.t >= i.t AND o.b <= i.b)""", lambda spark, d: spark.read.parquet(f"{d}/part.parquet"))
+def engulfed_boxes(p):
+    left, bottom = F.col("p_partkey") % 37, F.col("p_partkey") % 11
+    boxes = p.select(F.floor(F.col("p_partkey") / 50).alias("doc_id"), F.lit(1).alias("page"), F.col("p_partkey").alias("id"), left.alias("left"), (left + F.col("p_size")).alias("right"), bottom.alias("bottom"), (bottom + F.col("p_size") % 13 + 1).alias("top"))
+    return op.engulfed(boxes).select("doc_id", "id")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_returnflag <> 'R'", lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet"))
+def live_elements(x):
+    return live(x.withColumn("consumed", F.col("l_returnflag") == "R")).select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+QUERIES["roundtrip_plain"] = lambda spark, d: rel.roundtrip(words(spark, d), flate=False, stream_xref=False, encrypt=2)
+ORACLE_SQL["roundtrip_plain"] = ORACLE_SQL["roundtrip_text"]
