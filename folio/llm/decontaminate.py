@@ -144,6 +144,7 @@ def overlaps(docs: DataFrame, items: DataFrame, full: int = 12, broadcast_seeds:
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without those that overlap an item."""
     bad = _found(docs, items, 12, BROADCAST_SEEDS).select(*[F.col(k).alias("bad_" + k) for k in KEYS]).distinct()
+    bad = Scratch(docs.sparkSession, "contaminated").keep(bad, "bad")  # its size is known to the join, which spares texts a shuffle
     mine = [F.xxhash64(F.lit(3), "doc_id", "text"), F.xxhash64(F.lit(5), "text", "doc_id")]
     return docs.join(bad, (mine[0] == F.col("bad_key")) & (mine[1] == F.col("bad_check")), "left_anti")
 
