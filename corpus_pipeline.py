@@ -1,4 +1,8 @@
-"""The corpus pipeline: five stages, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages, each written as Parquet and read again by the next.
+
+All stages take rows as they are: texts may be null, empty or very long, doc_ids null or repeated, and rows may stand several
+times. Each row is judged by its own text; an empty table gives no rows. Other columns pass through, but for the last stage.
+"""
 
 from __future__ import annotations
 
@@ -19,27 +23,34 @@ ORACLE_SQL = None
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain does not reject; null text counts as empty and stays."""
     return without_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component the document with the smallest doc_id stays, one row of it; a null doc_id comes last."""
-    rows = numbered(docs, Scratch(spark, "near_duplicates"))
+    """Of each component the document with the smallest doc_id stays, one row of it; a null doc_id comes last. Rows without
+    words have no links and all stay."""
+    scratch = Scratch(spark, "near_duplicates")
+    rows = numbered(docs, scratch)
     linked = link_components(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     staying = linked.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(least.alias("stays")).select("stays._row")
+    staying = scratch.keep(staying, "staying")  # its size is known to the join: texts are shuffled only if it is large
     return rows.join(staying, "_row", "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that overlap no benchmark item."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; rows without words give nothing."""
     return mixed_documents(docs)
 
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 of each document, read back from the files that are written."""
     import public_tokenizers
 
     return token_digest(docs, public_tokenizers.path("word_bpe_49k.json")).drop("shard", "seq")
