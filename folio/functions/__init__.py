@@ -26,6 +26,13 @@ def multi_carve(text: Column, left: str, right: str) -> Column:
     return F.regexp_extract_all(text, F.lit(f"(?s){quoted[0]}(.*?){quoted[1]}"), 1)
 
 
+def byte_range(text: Column) -> Column:
+    """The least and the greatest byte of a text, null if it has none."""
+    codes = F.transform(F.sequence(F.lit(1), F.octet_length(text)), lambda i: F.conv(F.hex(F.substring(text.cast("binary"), i, F.lit(1))), 16, 10).cast("int"))
+    codes = F.when(F.octet_length(text) > 0, codes)
+    return F.struct(F.array_min(codes).alias("least"), F.array_max(codes).alias("greatest"))
+
+
 def is_ascii(text: Column) -> Column:
     """True if all characters are between backspace and tilde and there is one."""
     return text.rlike(r"\A[\x08-\x7e]+\z")

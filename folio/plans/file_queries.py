@@ -14,6 +14,7 @@ from .. import operators as op
 from ..operators.lookups import live
 from ..pdf import relations as rel
 from ..pdf.samples import damaged, packed, sample, updated
+from ..sources import sample_files
 from .queries import ORACLE_SQL, QUERIES, query, words
 
 K = "(SELECT n_nationkey::BIGINT AS k FROM nation)"
@@ -154,3 +155,14 @@ def live_elements(x):
 
 QUERIES["roundtrip_plain"] = lambda spark, d: rel.roundtrip(words(spark, d), flate=False, stream_xref=False, encrypt=2)
 ORACLE_SQL["roundtrip_plain"] = ORACLE_SQL["roundtrip_text"]
+
+
+@query("SELECT 'sample' || k AS name, page::INT AS page FROM range(9) s(k), range(1, 9) p(page)", lambda spark, d: documents.numbered(sample_files(spark)).join(sample_files(spark).select("name", "path"), "path"))
+def sample_pages(f):
+    return rel.page_boxes(f).join(f.select("doc_id", "name"), "doc_id").select("name", "page")
+
+
+@query("SELECT p_partkey, list_min(b)::INT AS least, list_max(b)::INT AS greatest FROM (SELECT p_partkey, list_transform(string_split(p_name || CASE WHEN p_partkey % 2 = 0 THEN '~' ELSE '!' END, ''), lambda c: ascii(c)) AS b FROM part)", lambda spark, d: spark.read.parquet(f"{d}/part.parquet"))
+def byte_range(p):
+    text = F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, "~").otherwise("!"))
+    return p.select("p_partkey", fn.byte_range(text).alias("b")).select("p_partkey", "b.least", "b.greatest")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +16,17 @@ def pdf_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.[pP][dD][fF]").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
 
+def sample_files(spark: SparkSession, count: int = 9) -> DataFrame:
+    """(name, path, content) of sample files, one for each number: pages of fonts, forms, paths and the like."""
+    from ..pdf.samples import sample
+
+    def run(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in rows:
+            yield pd.DataFrame({"name": [f"sample{k}" for k in b["id"]], "path": [f"memory:/sample{k}.pdf" for k in b["id"]], "content": [sample(int(k)) for k in b["id"]]})
+
+    return spark.range(count).mapInPandas(run, "name string, path string, content binary")
+
+
 def words_of(docs: DataFrame, wrap: int = WRAP, columns: int = 1, longest: int | None = None) -> DataFrame:
     """doc_id, page, row, k, text, left, right, bottom, top, size of each word, in whole numbers. One shuffle by document.
     With several ``columns`` a page has as many times ROWS rows; words of more than ``longest`` letters are left out."""
