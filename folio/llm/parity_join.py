@@ -370,3 +370,13 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
 
 def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(table(spark, sf_dir, "documents"))
+
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(t[i:i + 4], ' ') AS g FROM w, unnest(range(1, greatest(len(t) - 4, 1) + 1)) r(i) WHERE len(t) > 0),
+n AS MATERIALIZED (SELECT w.doc_id, count(g) AS n FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
+links AS MATERIALIZED (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL) JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * c >= 75 * (p.n + q.n - c)),
+reach AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
+SELECT n.doc_id, n.n AS n_shingles, least_ AS component_id FROM n JOIN (SELECT x, min(y) AS least_ FROM reach GROUP BY x) ON x = n.doc_id
+"""
