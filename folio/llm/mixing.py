@@ -19,7 +19,7 @@ those of the same names as results, but in ``mixed_documents``, which returns th
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, Scratch, numbered, table, text_or_empty
@@ -38,6 +38,11 @@ def block_words(total: int, least: int = 128, most_blocks: int = 1 << 30, smalle
     return block
 
 
+def seeded_hash(seed: int, *of: str | Column) -> Column:
+    """60 bits that seed and values fix; other engines compute them alike."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), *of)), 1, 15), 16, 10).cast("long")
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """source, source_size, docs, weight, target. Sources in order of source_size / weight are filled to twice their size as
     long as the level that the rest would share is above that (one row for each source in these windows)."""
@@ -72,7 +77,7 @@ def mix(docs: DataFrame, seed: int = 11, keys: tuple[str, ...] = ()) -> DataFram
     ``keys`` of ``docs`` come along."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    sizes = scratch.keep(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text", F.lit(seed)).alias("t"), *keys), "sizes")
+    sizes = scratch.keep(docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"), F.xxhash64("text").alias("t"), *keys), "sizes")
     total, rows = sizes.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).head()
     targets = scratch.keep(source_targets(sizes), "targets")
     block = block_words(total, smallest=targets.where("target > 0").agg(F.coalesce(F.min("target"), F.lit(128.0))).head()[0])
@@ -80,15 +85,15 @@ def mix(docs: DataFrame, seed: int = 11, keys: tuple[str, ...] = ()) -> DataFram
 
     # Places in the stream: sums within (source, hash range), then over a source's ranges.
     bits = max(0, (rows // BUCKET).bit_length())
-    hashed = sizes.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("h", F.when(F.col("doc_id").isNull(), F.col("t")).otherwise(F.xxhash64("doc_id", F.lit(seed))))
-    hashed = hashed.withColumn("range", F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long"))
+    hashed = sizes.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("h", seeded_hash(seed, F.coalesce("doc_id", "t")))
+    hashed = hashed.withColumn("range", F.shiftright("h", 60 - bits) if bits else F.lit(0).cast("long"))
     inner = Window.partitionBy("number", "range").orderBy("h", "doc_id", "size", "t", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = hashed.groupBy("number", "range").agg(F.sum("size").alias("s")).withColumn("base", F.sum("s").over(Window.partitionBy("number").orderBy("range")) - F.col("s")).drop("s")
     placed = hashed.withColumn("local", F.sum("size").over(inner) - F.col("size")).join(before, ["number", "range"]).withColumn("at", F.col("base") + F.col("local")).select("doc_id", "source", "number", "size", "source_size", "target", "at", *keys)
 
     shards = sources.where("quota > 0").select("number", "blocks", "quota", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {SHARD})")).alias("shard")).withColumn("lo", F.col("shard") * SHARD).withColumn("hi", F.least(F.col("blocks"), F.col("lo") + SHARD))
     shards = shards.withColumn("share", F.expr("quota * hi div blocks - quota * lo div blocks"))
-    seeded = Window.partitionBy("number", "shard").orderBy(F.xxhash64(F.lit(seed), "number", "block"), "block")
+    seeded = Window.partitionBy("number", "shard").orderBy(seeded_hash(seed, "number", "block"), "block")
     taken = shards.select("number", "shard", "share", F.explode(F.expr("sequence(lo, hi - 1)")).alias("block")).withColumn("r", F.row_number().over(seeded)).where("r <= share").select("number", "block")
 
     turns = placed.where("size > 0").select("*", F.explode(F.array(*[F.lit(r) for r in range(REPEATS)])).alias("round")).withColumn("from", F.col("at") + F.col("round") * F.col("source_size"))
@@ -116,3 +121,23 @@ def mixed_documents(docs: DataFrame, seed: int = 11) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
+#: Seats are dealt to the highest of all quotients, and words are placed and cut in one window; no shortcut is shared with the above.
+OP10_SQL = r"""
+WITH z AS MATERIALIZED (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || substr(md5('11:' || doc_id), 1, 15))::BIGINT AS h FROM documents),
+s AS (SELECT *, [5, 2, 1][number % 3 + 1] AS weight FROM (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number FROM z GROUP BY source)),
+o AS (SELECT *, sum(source_size) OVER ()::DOUBLE * 1.5::DOUBLE - coalesce(sum(2 * source_size) OVER w, 0)::DOUBLE AS rest, sum(weight) OVER () - coalesce(sum(weight) OVER w, 0) AS open_
+  FROM s WINDOW w AS (ORDER BY source_size::DOUBLE / weight, number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, 2 * source_size <= weight * rest / open_ AS full_ FROM o),
+t AS MATERIALIZED (SELECT source, number, source_size, CASE WHEN full_ THEN 2.0::DOUBLE * source_size ELSE weight * (SELECT rest / open_ FROM f WHERE NOT full_ ORDER BY source_size::DOUBLE / weight, number LIMIT 1) END AS target FROM f),
+b AS MATERIALIZED (SELECT greatest(1, least(128, floor(min(target))))::BIGINT AS b FROM t WHERE target > 0),
+q AS (SELECT number, row_number() OVER (ORDER BY target / (2 * k + 1) DESC, number) AS r FROM t, b, LATERAL (SELECT unnest(range(0, (target / b)::BIGINT + 100)) AS k) WHERE target > 0),
+c AS MATERIALIZED (SELECT t.*, b, ceil(2 * source_size / b)::BIGINT AS blocks, least(ceil(2 * source_size / b)::BIGINT, coalesce(won, 0)) AS quota FROM t, b LEFT JOIN (SELECT number AS n, count(*) AS won FROM q WHERE r <= (SELECT floor(sum(target) / any_value(b) + 0.5) FROM t, b) GROUP BY n) ON n = t.number),
+every AS (SELECT number, block, block // 1024 AS shard, blocks, quota, ('0x' || substr(md5('11:' || number || ':' || block), 1, 15))::BIGINT AS h FROM c, LATERAL (SELECT unnest(range(0, blocks)) AS block) WHERE quota > 0),
+taken AS MATERIALIZED (SELECT number, block FROM (SELECT *, row_number() OVER (PARTITION BY number, shard ORDER BY h, block) AS r FROM every) WHERE r <= quota * least(blocks, shard * 1024 + 1024) // blocks - quota * (shard * 1024) // blocks),
+placed AS MATERIALIZED (SELECT doc_id, size, number, source_size, target, b, sum(size) OVER (PARTITION BY number ORDER BY h, doc_id ROWS UNBOUNDED PRECEDING) - size AS at_ FROM z JOIN c ON z.source IS NOT DISTINCT FROM c.source),
+spans AS (SELECT doc_id, number, b, size, (at_ + turn * source_size)::BIGINT AS lo FROM placed, (VALUES (0), (1)) v(turn) WHERE size > 0),
+cut AS (SELECT doc_id, sum(least(lo + size, (p.block + 1) * b) - greatest(lo, p.block * b)) AS words FROM (SELECT *, unnest(range(lo // b, (lo + size - 1) // b + 1)) AS block FROM spans) p JOIN taken USING (number, block) GROUP BY doc_id)
+SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(words, 0)::BIGINT AS taken FROM placed p LEFT JOIN cut USING (doc_id)
+"""
