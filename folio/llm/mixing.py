@@ -51,25 +51,48 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     sources = sources.withColumn("number", rank).withColumn("weight", F.element_at(F.array(*map(F.lit, WEIGHTS)), F.col("number") % len(WEIGHTS) + 1))
     every, order = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.orderBy(F.col("source_size") / F.col("weight"), "number").rowsBetween(Window.unboundedPreceding, -1)
     cap = F.col("source_size") * REPEATS
-    sources = sources.withColumn("rest", F.sum("source_size").over(every) * SHARE - F.coalesce(F.sum(cap).over(order), F.lit(0))).withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(order), F.lit(0)))
+    sources = (
+        sources.withColumn("rest", F.sum("source_size").over(every) * SHARE - F.coalesce(F.sum(cap).over(order), F.lit(0)))
+        .withColumn("open", F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(order), F.lit(0)))
+    )
     sources = sources.withColumn("full", cap <= F.col("weight") * F.col("rest") / F.col("open"))
     # 'full' holds for a prefix of the order; the level of the others is that of the first of them.
-    level = F.max(F.when(~F.col("full"), F.struct((-F.col("source_size") / F.col("weight")).alias("k"), (-F.col("number")).alias("n"), (F.col("rest") / F.col("open")).alias("level")))).over(every)["level"]
-    return sources.withColumn("target", F.when(F.col("full"), cap.cast("double")).otherwise(F.col("weight") * level)).select("source", "number", "source_size", "docs", "weight", "target")
+    level = (
+        F.max(F.when(~F.col("full"), F.struct((-F.col("source_size") / F.col("weight")).alias("k"), (-F.col("number")).alias("n"), (F.col("rest") / F.col("open")).alias("level"))))
+        .over(every)["level"]
+    )
+    return (
+        sources.withColumn("target", F.when(F.col("full"), cap.cast("double")).otherwise(F.col("weight") * level))
+        .select("source", "number", "source_size", "docs", "weight", "target")
+    )
 
 
 def apportion(sources: DataFrame, block: int) -> DataFrame:
     """Adds ``blocks`` (of the source's stream) and ``quota`` (seats of highest quotients)."""
     every = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sources = sources.withColumn("all", F.sum("target").over(every)).withColumn("n", F.sum(F.when(F.col("target") > 0, 1).otherwise(0)).over(every)).withColumn("seats", F.floor(F.col("all") / block + 0.5))
+    sources = (
+        sources.withColumn("all", F.sum("target").over(every))
+        .withColumn("n", F.sum(F.when(F.col("target") > 0, 1).otherwise(0)).over(every))
+        .withColumn("seats", F.floor(F.col("all") / block + 0.5))
+    )
     # The first seats of each source are certain: at a divisor that seats fewer than all, n below the total.
     sure = F.when((F.col("seats") > F.col("n")) & (F.col("target") > 0), F.floor(F.col("target") * (F.col("seats") - F.col("n")) / F.col("all") + 0.5)).otherwise(0).cast("long")
     sources = sources.withColumn("sure", sure).withColumn("open", F.col("seats") - F.sum("sure").over(every))
     more = F.ceil(F.col("n") * 1.5 * F.col("target") / F.col("all")) + 2
     quotients = sources.where("target > 0").select("number", "open", F.explode(F.sequence("sure", F.col("sure") + more)).alias("k"), "target")
-    won = quotients.withColumn("r", F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "number"))).where("r <= open").groupBy("number").agg(F.count("*").alias("won"))
+    won = (
+        quotients.withColumn("r", F.row_number().over(Window.orderBy((F.col("target") / (2 * F.col("k") + 1)).desc(), "number")))
+        .where("r <= open")
+        .groupBy("number")
+        .agg(F.count("*").alias("won"))
+    )
     blocks = F.ceil(F.col("source_size") * REPEATS / block)
-    return sources.join(won, "number", "left").withColumn("blocks", blocks).withColumn("quota", F.least(F.col("sure") + F.coalesce("won", F.lit(0)), blocks)).select("source", "number", "source_size", "docs", "target", "blocks", "quota")
+    return (
+        sources.join(won, "number", "left")
+        .withColumn("blocks", blocks)
+        .withColumn("quota", F.least(F.col("sure") + F.coalesce("won", F.lit(0)), blocks))
+        .select("source", "number", "source_size", "docs", "target", "blocks", "quota")
+    )
 
 
 def mix(docs: DataFrame, seed: int = 11, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -85,24 +108,65 @@ def mix(docs: DataFrame, seed: int = 11, keys: tuple[str, ...] = ()) -> DataFram
 
     # Places in the stream: sums within (source, hash range), then over a source's ranges.
     bits = max(0, (rows // BUCKET).bit_length())
-    hashed = sizes.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("h", seeded_hash(seed, F.coalesce("doc_id", "t")))
+    hashed = (
+        sizes.join(sources.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s")))
+        .drop("s")
+        .withColumn("h", seeded_hash(seed, F.coalesce("doc_id", "t")))
+    )
     hashed = hashed.withColumn("range", F.shiftright("h", 60 - bits) if bits else F.lit(0).cast("long"))
     inner = Window.partitionBy("number", "range").orderBy("h", "doc_id", "size", "t", *keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    before = hashed.groupBy("number", "range").agg(F.sum("size").alias("s")).withColumn("base", F.sum("s").over(Window.partitionBy("number").orderBy("range")) - F.col("s")).drop("s")
-    placed = hashed.withColumn("local", F.sum("size").over(inner) - F.col("size")).join(before, ["number", "range"]).withColumn("at", F.col("base") + F.col("local")).select("doc_id", "source", "number", "size", "source_size", "target", "at", *keys)
-
-    shards = sources.where("quota > 0").select("number", "blocks", "quota", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {SHARD})")).alias("shard")).withColumn("lo", F.col("shard") * SHARD).withColumn("hi", F.least(F.col("blocks"), F.col("lo") + SHARD))
+    before = (
+        hashed.groupBy("number", "range")
+        .agg(F.sum("size").alias("s"))
+        .withColumn("base", F.sum("s").over(Window.partitionBy("number").orderBy("range")) - F.col("s"))
+        .drop("s")
+    )
+    placed = (
+        hashed.withColumn("local", F.sum("size").over(inner) - F.col("size"))
+        .join(before, ["number", "range"])
+        .withColumn("at", F.col("base") + F.col("local"))
+        .select("doc_id", "source", "number", "size", "source_size", "target", "at", *keys)
+    )
+
+    shards = (
+        sources.where("quota > 0")
+        .select("number", "blocks", "quota", F.explode(F.expr(f"sequence(0L, (blocks - 1) div {SHARD})")).alias("shard"))
+        .withColumn("lo", F.col("shard") * SHARD)
+        .withColumn("hi", F.least(F.col("blocks"), F.col("lo") + SHARD))
+    )
     shards = shards.withColumn("share", F.expr("quota * hi div blocks - quota * lo div blocks"))
     seeded = Window.partitionBy("number", "shard").orderBy(seeded_hash(seed, "number", "block"), "block")
-    taken = shards.select("number", "shard", "share", F.explode(F.expr("sequence(lo, hi - 1)")).alias("block")).withColumn("r", F.row_number().over(seeded)).where("r <= share").select("number", "block")
-
-    turns = placed.where("size > 0").select("*", F.explode(F.array(*[F.lit(r) for r in range(REPEATS)])).alias("round")).withColumn("from", F.col("at") + F.col("round") * F.col("source_size"))
+    taken = (
+        shards.select("number", "shard", "share", F.explode(F.expr("sequence(lo, hi - 1)")).alias("block"))
+        .withColumn("r", F.row_number().over(seeded))
+        .where("r <= share")
+        .select("number", "block")
+    )
+
+    turns = (
+        placed.where("size > 0")
+        .select("*", F.explode(F.array(*[F.lit(r) for r in range(REPEATS)])).alias("round"))
+        .withColumn("from", F.col("at") + F.col("round") * F.col("source_size"))
+    )
     pieces = turns.select("*", F.explode(F.expr(f"sequence(from div {block}, (from + size - 1) div {block})")).alias("block"))
     # A place tells documents with words apart, as doc_id may not.
-    got = pieces.join(taken.hint("merge"), ["number", "block"]).select("number", "at", F.struct("round", (F.greatest(F.col("from"), F.col("block") * block) - F.col("from")).alias("lo"), (F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.col("from")).alias("hi")).alias("span"))
-    got = got.groupBy("number", "at").agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
-    none = placed.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast(got.schema["spans"].dataType).alias("spans"), *keys)
-    some = placed.where("size > 0").join(got, ["number", "at"], "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "spans", *keys)
+    got = (
+        pieces.join(taken.hint("merge"), ["number", "block"])
+        .select("number", "at", F.struct("round", (F.greatest(F.col("from"), F.col("block") * block) - F.col("from")).alias("lo"), (F.least(F.col("from") + F.col("size"), (F.col("block") + 1) * block) - F.col("from")).alias("hi")).alias("span"))
+    )
+    got = (
+        got.groupBy("number", "at")
+        .agg(F.sum(F.col("span.hi") - F.col("span.lo")).alias("taken"), F.sort_array(F.collect_list("span")).alias("spans"))
+    )
+    none = (
+        placed.where("size = 0")
+        .select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"), F.lit(None).cast(got.schema["spans"].dataType).alias("spans"), *keys)
+    )
+    some = (
+        placed.where("size > 0")
+        .join(got, ["number", "at"], "left")
+        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"), "spans", *keys)
+    )
     return some.unionByName(none)
 
 

@@ -206,7 +206,11 @@ def _shared_words(docs: DataFrame, buckets: int) -> DataFrame:
             yield shared(at, data)
         give_back()
 
-    dealt = docs.select(F.col("doc_id").cast("long"), "text", text_key()).mapInArrow(sketch, schema).repartition("bucket").sortWithinPartitions("bucket")
+    dealt = (
+        docs.select(F.col("doc_id").cast("long"), "text", text_key())
+        .mapInArrow(sketch, schema).repartition("bucket")
+        .sortWithinPartitions("bucket")
+    )
     return dealt.mapInArrow(meet, schema.replace("bucket int, ", "").replace("blob binary", "word long, id long"))
 
 
@@ -227,7 +231,12 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([set_name(s) for s in found], pa.int64()), pa.array([s.tobytes() for s in found], pa.binary()), pa.array([bit_sketch(s) for s in found], pa.list_(pa.int64()))], ["name", "shingles", "sketch"])
         give_back()
 
-    return docs.select("text", text_key()).join(wanted.select("key").distinct().hint("merge"), "key").select("text").mapInArrow(of, "name long, shingles binary, sketch array<long>")
+    return (
+        docs.select("text", text_key())
+        .join(wanted.select("key").distinct().hint("merge"), "key")
+        .select("text")
+        .mapInArrow(of, "name long, shingles binary, sketch array<long>")
+    )
 
 
 def bit_sketch(s: np.ndarray) -> np.ndarray:
@@ -266,7 +275,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def _candidates(found: DataFrame) -> DataFrame:
     """(word, name, n): for each set that may have a partner, its rarest shared words, as many as the pigeonhole needs."""
     known = found.where("n > 0")
-    sides = known.select("name", "n", F.explode(F.array(F.struct(F.col("id1").alias("id"), F.col("words1").alias("words")), F.struct(F.col("id2").alias("id"), F.col("words2").alias("words")))).alias("s")).select("name", "n", "s.*").where("id IS NOT NULL").distinct()
+    sides = (
+        known.select("name", "n", F.explode(F.array(F.struct(F.col("id1").alias("id"), F.col("words1").alias("words")), F.struct(F.col("id2").alias("id"), F.col("words2").alias("words")))).alias("s"))
+        .select("name", "n", "s.*")
+        .where("id IS NOT NULL")
+        .distinct()
+    )
     shared = found.where("word IS NOT NULL").select("word", "id").distinct()
     counts = shared.groupBy("id").agg(F.count("*").alias("shared"))
     # A set with n div 3 + 1 words of its own shares none of its prefix.
@@ -274,8 +288,17 @@ def _candidates(found: DataFrame) -> DataFrame:
     kept = shared.join(room, "id")
     often = kept.groupBy("word").agg(F.count("*").alias("often")).where("often > 1")
     rows = kept.join(often, "word")
-    ranked = rows.groupBy("id", "name", "n", "words").agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("by")).withColumn("room", F.expr("n div 3 + 1 - (words - size(by))")).where("room > 0")
-    return ranked.select("name", "n", F.explode(F.slice("by", F.lit(1), F.col("room").cast("int"))).alias("w")).select("w.word", "name", "n").distinct()
+    ranked = (
+        rows.groupBy("id", "name", "n", "words")
+        .agg(F.sort_array(F.collect_list(F.struct("often", "word"))).alias("by"))
+        .withColumn("room", F.expr("n div 3 + 1 - (words - size(by))"))
+        .where("room > 0")
+    )
+    return (
+        ranked.select("name", "n", F.explode(F.slice("by", F.lit(1), F.col("room").cast("int"))).alias("w"))
+        .select("w.word", "name", "n")
+        .distinct()
+    )
 
 
 def _uncovered(words: DataFrame) -> DataFrame:
@@ -283,7 +306,13 @@ def _uncovered(words: DataFrame) -> DataFrame:
     its most frequent word; a word whose sets all name the same other one is covered by it."""
     often = words.groupBy("word").agg(F.count("*").alias("c"))
     named = words.join(often, "word").groupBy("name").agg(F.max(F.struct("c", "word"))["word"].alias("top"))
-    kept = words.join(named, "name").groupBy("word").agg(F.min("top").alias("lo"), F.max("top").alias("hi")).where("lo <> hi OR lo = word").select("word")
+    kept = (
+        words.join(named, "name")
+        .groupBy("word")
+        .agg(F.min("top").alias("lo"), F.max("top").alias("hi"))
+        .where("lo <> hi OR lo = word")
+        .select("word")
+    )
     return words.join(kept, "word")
 
 
@@ -302,16 +331,31 @@ def _open_pairs(still: DataFrame, sets: DataFrame, percent: int, scratch: Scratc
     parts = range(WORD_BITS // 64)
     # Every long has a column of its own: the test of a pair then reads no arrays.
     below = [F.expr(f"CASE WHEN i >= {64 * k + 64} THEN -1L WHEN i <= {64 * k} THEN 0L ELSE ~shiftleft(-1L, i - {64 * k}) END").alias(f"below{k}") for k in parts]
-    bits = own.join(numbers, "word").groupBy("name").agg(*[F.expr(f"bit_or(CASE WHEN i div 64 = {k} THEN shiftleft(1L, CAST(i % 64 AS INT)) ELSE 0L END)").alias(f"bits{k}") for k in parts])
+    bits = (
+        own.join(numbers, "word")
+        .groupBy("name")
+        .agg(*[F.expr(f"bit_or(CASE WHEN i div 64 = {k} THEN shiftleft(1L, CAST(i % 64 AS INT)) ELSE 0L END)").alias(f"bits{k}") for k in parts])
+    )
     sketch = [F.col("sketch")[k].alias(f"s{k}") for k in range(SKETCH)]
-    own = own.join(numbers, "word").join(bits, "name").join(sets.select("name", "sketch"), "name").select("word", "name", "n", "component", *[f"bits{k}" for k in parts], *below, *sketch)
+    own = (
+        own.join(numbers, "word")
+        .join(bits, "name")
+        .join(sets.select("name", "sketch"), "name")
+        .select("word", "name", "n", "component", *[f"bits{k}" for k in parts], *below, *sketch)
+    )
     own = scratch.keep(own, "numbered")  # else the optimizer would join pairs first
     x, y = (own.toDF("word", *[c + v for c in own.columns[1:]]) for v in "ab")
     first = " AND ".join(f"(bits{k}a & bits{k}b & below{k}a) = 0" for k in parts)
     # The distance of the first longs is at most that of all: most pairs are told apart by few of them.
     near = " AND ".join("(" + " + ".join(f"bit_count(s{k}a ^ s{k}b)" for k in range(upto)) + f") <= {_far('na', 'nb', percent)}" for upto in (SKETCH // 4, SKETCH))
-    pairs = x.join(y.select("word", *[c for c in y.columns if not c.startswith("below")]), "word").where(f"namea < nameb AND componenta <> componentb AND abs(na - nb) <= {_far('na', 'nb', percent)} AND {first} AND {near}")
-    return pairs.select(F.col("namea").alias("a"), F.col("nameb").alias("b"), F.col("componenta").alias("ca"), F.col("componentb").alias("cb")).distinct()
+    pairs = (
+        x.join(y.select("word", *[c for c in y.columns if not c.startswith("below")]), "word")
+        .where(f"namea < nameb AND componenta <> componentb AND abs(na - nb) <= {_far('na', 'nb', percent)} AND {first} AND {near}")
+    )
+    return (
+        pairs.select(F.col("namea").alias("a"), F.col("nameb").alias("b"), F.col("componenta").alias("ca"), F.col("componentb").alias("cb"))
+        .distinct()
+    )
 
 
 def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> DataFrame:
@@ -334,7 +378,12 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
     sets = scratch.keep(_sets(docs, words.select("name").distinct().join(first, "name")).dropDuplicates(["name"]), "sets")
     merges, tried, linked = [], 0, 0
     for turn in range(rounds + 1):
-        heads = words.groupBy("word").agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("o"), "component", "name")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c")).where("lo < hi").select("word", "h", "c")
+        heads = (
+            words.groupBy("word")
+            .agg(F.min(F.struct(F.xxhash64("component", F.lit(turn)).alias("o"), "component", "name")).alias("h"), F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("c"))
+            .where("lo < hi")
+            .select("word", "h", "c")
+        )
         still = scratch.keep(words.join(heads, "word"), "open")  # words that meet several components
         scratch.drop(words)
         rows, size = still.agg(F.count("*"), F.sum(F.expr("c - 1"))).head()
@@ -346,7 +395,12 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
         else:
             # each set tries the head whose sketch is nearest to its own
             own, other = sets.select("name", F.col("sketch").alias("x")), sets.select(F.col("name").alias("head"), F.col("sketch").alias("y"))
-            met = still.where("component <> h.component").select("name", "component", "c", "h", F.col("h.name").alias("head")).join(own, "name").join(other, "head")
+            met = (
+                still.where("component <> h.component")
+                .select("name", "component", "c", "h", F.col("h.name").alias("head"))
+                .join(own, "name")
+                .join(other, "head")
+            )
             nearest = met.groupBy("name", "component").agg(F.min(F.struct(F.expr(apart("x", "y")).alias("d"), "c", "h")).alias("m"))
             pairs = nearest.select(F.col("name").alias("a"), F.col("m.h.name").alias("b"), F.col("component").alias("ca"), F.col("m.h.component").alias("cb"))
         pairs = scratch.keep(pairs, "pairs")
@@ -360,7 +414,10 @@ def link_components(docs: DataFrame, percent: int = 75, rounds: int = 3) -> Data
         scratch.drop(still, pairs, links)
     names = first.withColumn("component", F.col("name"))
     for merge in merges:
-        names = names.join(merge.toDF("component", "to"), "component", "left").select("name", "doc_id", F.coalesce("to", "component").alias("component"))
+        names = (
+            names.join(merge.toDF("component", "to"), "component", "left")
+            .select("name", "doc_id", F.coalesce("to", "component").alias("component"))
+        )
     least = names.groupBy("component").agg(F.min("doc_id").alias("least"))
     names = names.join(least, "component").select("name", "least")
     result = scratch.keep(base.join(names, "name", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("name").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id")), "result")

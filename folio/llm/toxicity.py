@@ -146,7 +146,10 @@ def _telling(rows: DataFrame, categories: list[str], most: int = 256, least: int
     sizes = rows.agg(*[F.count_if(F.col("fold") != k).alias(f"n{k}") for k in folds], *[F.sum(F.when(F.col("fold") != k, F.col(c))).alias(f"y{k}_{c}") for k in folds for c in categories]).head().asDict()
     # One more pass of numbers: for each word the rows and positive rows of each training set.
     words = rows.select(F.explode("words").alias("word"), "fold", *categories)
-    counts = words.groupBy("word").agg(*[F.count_if(F.col("fold") != k).alias(f"n{k}") for k in folds], *[F.sum(F.when(F.col("fold") != k, F.col(c))).alias(f"y{k}_{c}") for k in folds for c in categories])
+    counts = (
+        words.groupBy("word")
+        .agg(*[F.count_if(F.col("fold") != k).alias(f"n{k}") for k in folds], *[F.sum(F.when(F.col("fold") != k, F.col(c))).alias(f"y{k}_{c}") for k in folds for c in categories])
+    )
     gains = []
     for c in categories:
         for k in folds:
@@ -156,11 +159,20 @@ def _telling(rows: DataFrame, categories: list[str], most: int = 256, least: int
             gains.append(F.struct(F.lit(c).alias("category"), F.lit(k).alias("without"), gain.alias("gain")))
     each = counts.select("word", F.explode(F.array(*gains)).alias("g")).select("word", "g.*").where("gain > 6")
     first = Window.partitionBy("category", "without").orderBy(F.desc("gain"), "word")  # kept first by each task, so little is shuffled
-    return each.withColumn("r", F.row_number().over(first)).where(F.col("r") <= most).groupBy("category", "without").agg(F.sort_array(F.collect_list("word")).alias("words"))
+    return (
+        each.withColumn("r", F.row_number().over(first))
+        .where(F.col("r") <= most)
+        .groupBy("category", "without")
+        .agg(F.sort_array(F.collect_list("word")).alias("words"))
+    )
 
 
 def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, str], ...], sample: int) -> Sample:
-    ids = labels.select("doc_id", *[F.expr(sql).alias(c) for c, sql in categories]).dropna().groupBy("doc_id").agg(*[F.max(c).alias(c) for c, _ in categories])
+    ids = (
+        labels.select("doc_id", *[F.expr(sql).alias(c) for c, sql in categories]).dropna()
+        .groupBy("doc_id")
+        .agg(*[F.max(c).alias(c) for c, _ in categories])
+    )
     ids = F.broadcast(ids.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(sample))  # bound: ``sample`` rows of numbers
     names, scratch = [c for c, _ in categories], Scratch(docs.sparkSession, "labelled")
 
@@ -169,7 +181,11 @@ def labelled(docs: DataFrame, labels: DataFrame, categories: tuple[tuple[str, st
             found = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([sorted(w) for w, _ in found], pa.list_(pa.string())), pa.array([s for _, s in found], pa.list_(pa.float64())), *batch.columns[2:]], ["doc_id", "words", "style", *names, "fold"])
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").join(ids, "doc_id").select("doc_id", "text", *names, F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)).cast("int").alias("fold"))
+    rows = (
+        docs.select(F.col("doc_id").cast("long"), "text")
+        .join(ids, "doc_id")
+        .select("doc_id", "text", *names, F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(FOLDS)).cast("int").alias("fold"))
+    )
     rows = scratch.keep(rows.mapInArrow(read, f"doc_id long, words array<string>, style array<double>, {', '.join(c + ' int' for c in names)}, fold int"), "rows")
     told = {(r.category, r.without): r.words for r in _telling(rows, names).collect()}  # 256 words of each of a dozen sets at most
     words = sorted({w for found in told.values() for w in found})
@@ -225,4 +241,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     chain, threshold = toxicity_model(docs, table(spark, sf_dir, "labels"))
-    return scored(docs, chain).select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c, _ in chain], (F.col(f"p_{chain[-1][0]}") >= threshold).alias("rejected"))
+    return (
+        scored(docs, chain)
+        .select("doc_id", *[F.round(f"p_{c}", 6).alias(f"p_{c}") for c, _ in chain], (F.col(f"p_{chain[-1][0]}") >= threshold).alias("rejected"))
+    )
