@@ -36,7 +36,10 @@ def words(files: DataFrame, pages: list[int] | None = None) -> DataFrame:
 
 def page_frames(files: DataFrame, elements: DataFrame) -> DataFrame:
     """left, bottom, right, top of each page, a side moved by ten where text sticks out of it."""
-    text = elements.groupBy(*PAGE).agg(F.min("left").alias("l"), F.min("bottom").alias("b"), F.max("right").alias("r"), F.max(F.col("bottom") + F.col("size")).alias("t"))
+    text = (
+        elements.groupBy(*PAGE)
+        .agg(F.min("left").alias("l"), F.min("bottom").alias("b"), F.max("right").alias("r"), F.max(F.col("bottom") + F.col("size")).alias("t"))
+    )
     boxes = rel.page_boxes(files).withColumn("page", F.col("page").cast("long")).join(text, PAGE)
     grown = lambda c, out, by: (F.col(c) + F.when(out, by).otherwise(0)).alias(c)
     return boxes.select(*PAGE, grown("left", F.col("l") < F.col("left"), -10), grown("bottom", F.col("b") < F.col("bottom"), -10), grown("right", F.col("r") > F.col("right"), 10), grown("top", F.col("t") > F.col("top"), 10))

@@ -28,14 +28,23 @@ def edge_flags(words: DataFrame) -> DataFrame:
     def often(x):
         return F.count("*").over(Window.partitionBy(*PAGE, F.floor(10 * x))) >= 4
     mid = often((F.col("left") + F.col("right")) / 2)
-    return words.withColumn("mid_edge", mid).withColumn("left_edge", often(F.col("left")) | F.col("mid_edge")).withColumn("right_edge", often(F.col("right")) | F.col("mid_edge")).drop("mid_edge")
+    return (
+        words.withColumn("mid_edge", mid)
+        .withColumn("left_edge", often(F.col("left")) | F.col("mid_edge"))
+        .withColumn("right_edge", often(F.col("right")) | F.col("mid_edge"))
+        .drop("mid_edge")
+    )
 
 
 def baselines(elements: DataFrame, apart: float) -> DataFrame:
     """Adds ``line``: elements whose bottoms differ by less than ``apart`` of their size, from one to the next, share one."""
     order = Window.partitionBy(*PAGE).orderBy("bottom")
     new = F.when(F.col("bottom") - F.lag("bottom").over(order) < apart * F.col("size"), 0).otherwise(1)
-    return elements.withColumn("new", new).withColumn("line", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))).drop("new")
+    return (
+        elements.withColumn("new", new)
+        .withColumn("line", F.sum("new").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+        .drop("new")
+    )
 
 
 def words_from_letters(glyphs: DataFrame) -> DataFrame:
@@ -43,7 +52,11 @@ def words_from_letters(glyphs: DataFrame) -> DataFrame:
     less than a tenth of the size."""
     line = Window.partitionBy(*PAGE, "line").orderBy("left", "i")
     new = F.when(F.col("left") - F.lag("right").over(line) < 0.01 * F.col("size"), 0).otherwise(1)
-    marked = baselines(glyphs, 0.1).withColumn("new", new).withColumn("word", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    marked = (
+        baselines(glyphs, 0.1)
+        .withColumn("new", new)
+        .withColumn("word", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    )
     return _merged(marked, "")
 
 
@@ -54,7 +67,11 @@ def lines_from_words(flagged: DataFrame) -> DataFrame:
     line = Window.partitionBy(*PAGE, "line").orderBy("left", "row", "k")
     gap = F.col("left") - F.lag("right").over(line)
     joins = (gap > 0) & (gap <= 0.5 * F.lag("size").over(line)) & ~F.col("left_edge") & ~F.lag("right_edge").over(line)
-    marked = baselines(flagged, 0.7).withColumn("new", F.when(joins, 0).otherwise(1)).withColumn("word", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    marked = (
+        baselines(flagged, 0.7)
+        .withColumn("new", F.when(joins, 0).otherwise(1))
+        .withColumn("word", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    )
     return _merged(marked, " ")
 
 
@@ -64,14 +81,21 @@ def _merged(marked: DataFrame, between: str) -> DataFrame:
     of = F.max_by if between == "" else F.min_by
     texts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("left", "text"))), lambda s: s["text"]), between)
     font = [of("font", "left").alias("font")] if "font" in marked.columns else []
-    merged = marked.groupBy(*PAGE, "line", "word").agg(texts.alias("text"), F.min("left").alias("left"), F.max("right").alias("right"), F.min("bottom").alias("bottom"), of("size", "left").alias("size"), F.max("size").alias("tallest"), *font)
+    merged = (
+        marked.groupBy(*PAGE, "line", "word")
+        .agg(texts.alias("text"), F.min("left").alias("left"), F.max("right").alias("right"), F.min("bottom").alias("bottom"), of("size", "left").alias("size"), F.max("size").alias("tallest"), *font)
+    )
     top = F.col("bottom") + F.col("size" if between == "" else "tallest")
     return merged.select(*PAGE, "text", "left", "right", "bottom", top.alias("top"), "size", *(["font"] if font else []))
 
 
 def upper_median_size(words: DataFrame) -> DataFrame:
     """The size at place n / 2 of the sorted sizes of a page."""
-    return words.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.col("right") - F.col("left"))).alias("s")).select(*PAGE, F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median"))
+    return (
+        words.groupBy(*PAGE)
+        .agg(F.sort_array(F.collect_list(F.col("right") - F.col("left"))).alias("s"))
+        .select(*PAGE, F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median"))
+    )
 
 
 def page_bounds(words: DataFrame, width: int = 612, height: int = 792) -> DataFrame:
@@ -85,10 +109,16 @@ def strip_gaps(words: DataFrame, width: int = 612, height: int = 792) -> DataFra
     not compared; one window gives the gap above each word and, below the last one, that down to the page's end."""
     w, kind = width / STRIPS, words.schema["bottom"].dataType
     strip = F.sequence(F.greatest(F.floor(F.col("left") / w), F.lit(0)), F.least(F.ceil(F.col("right") / w) - 1, F.lit(STRIPS - 1)))
-    inside = words.where((F.col("right") > 0) & (F.col("left") < width)).select(*PAGE, F.col("top").alias("t"), F.col("bottom").alias("b"), F.explode(strip).alias("strip"))
+    inside = (
+        words.where((F.col("right") > 0) & (F.col("left") < width))
+        .select(*PAGE, F.col("top").alias("t"), F.col("bottom").alias("b"), F.explode(strip).alias("strip"))
+    )
     order = Window.partitionBy(*PAGE, "strip").orderBy(F.col("b").desc(), F.col("t").desc())
     marked = inside.withColumn("low", F.min("b").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    marked = marked.withColumn("above", F.coalesce(F.lag("low").over(order), F.lit(height).cast(kind))).withColumn("last", F.lead("b").over(order).isNull())
+    marked = (
+        marked.withColumn("above", F.coalesce(F.lag("low").over(order), F.lit(height).cast(kind)))
+        .withColumn("last", F.lead("b").over(order).isNull())
+    )
     gaps = F.array(F.struct(F.col("above").alias("top"), F.col("t").alias("bottom")), F.when(F.col("last"), F.struct(F.col("low").alias("top"), F.lit(0).cast(kind).alias("bottom"))))
     return marked.select(*PAGE, "strip", F.explode(gaps).alias("g")).select(*PAGE, "strip", "g.top", "g.bottom").where("top > bottom")
 
@@ -96,7 +126,12 @@ def strip_gaps(words: DataFrame, width: int = 612, height: int = 792) -> DataFra
 def strip_islands(gaps: DataFrame) -> DataFrame:
     """Runs of neighbouring strips with the same white space as one box."""
     same = Window.partitionBy(*PAGE, "top", "bottom").orderBy("strip")
-    return gaps.withColumn("run", F.col("strip") - F.row_number().over(same)).groupBy(*PAGE, "top", "bottom", "run").agg(F.min("strip").alias("first_strip"), F.max("strip").alias("last_strip")).drop("run")
+    return (
+        gaps.withColumn("run", F.col("strip") - F.row_number().over(same))
+        .groupBy(*PAGE, "top", "bottom", "run")
+        .agg(F.min("strip").alias("first_strip"), F.max("strip").alias("last_strip"))
+        .drop("run")
+    )
 
 
 def engulfed(boxes: DataFrame, slack: float = 0.1) -> DataFrame:

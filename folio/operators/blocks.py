@@ -30,7 +30,10 @@ def white_strips(words: DataFrame, width: int = 612, height: int = 792) -> DataF
     strips = F.sequence(F.greatest(F.floor(F.col("left") / w), F.lit(0)).cast("int"), F.least(F.ceil(F.col("right") / w) - 1, F.lit(STRIPS - 1)).cast("int"))
     inside = F.when((F.col("right") > 0) & (F.col("left") < width), strips).otherwise(F.array().cast("array<int>"))
     used = words.select(*PAGE, F.explode_outer(inside).alias("strip")).groupBy(*PAGE).agg(F.collect_set("strip").alias("used"))
-    empty = used.select(*PAGE, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(STRIPS - 1)), "used")).alias("strip")).withColumn("strip", F.col("strip").cast("long"))
+    empty = (
+        used.select(*PAGE, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(STRIPS - 1)), "used")).alias("strip"))
+        .withColumn("strip", F.col("strip").cast("long"))
+    )
     kind = words.schema["bottom"].dataType
     return gaps.unionByName(empty.withColumn("top", F.lit(height).cast(kind)).withColumn("bottom", F.lit(0).cast(kind)))
 
@@ -38,8 +41,15 @@ def white_strips(words: DataFrame, width: int = 612, height: int = 792) -> DataF
 def white_boxes(words: DataFrame, width: int = 612, height: int = 792, least: float = 0.3) -> DataFrame:
     """left, right (strip numbers), top, bottom of the white boxes that touch the page's edge or are at least ``least`` of
     the page's upper median size tall."""
-    sizes = words.groupBy(*PAGE).agg(F.sort_array(F.collect_list("size")).alias("s")).select(*PAGE, F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median"))
-    boxes = strip_islands(white_strips(words, width, height)).select(*PAGE, F.col("first_strip").alias("left"), (F.col("last_strip") + 1).alias("right"), "top", "bottom")
+    sizes = (
+        words.groupBy(*PAGE)
+        .agg(F.sort_array(F.collect_list("size")).alias("s"))
+        .select(*PAGE, F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median"))
+    )
+    boxes = (
+        strip_islands(white_strips(words, width, height))
+        .select(*PAGE, F.col("first_strip").alias("left"), (F.col("last_strip") + 1).alias("right"), "top", "bottom")
+    )
     on_edge = (F.col("left") == 0) | (F.col("right") == STRIPS) | (F.col("top") == height) | (F.col("bottom") == 0)
     return boxes.join(sizes, list(PAGE)).where(on_edge | (F.col("top") - F.col("bottom") >= least * F.col("median"))).drop("median")
 
@@ -77,9 +87,17 @@ def next_corners(turns: DataFrame) -> DataFrame:
         further = Window.partitionBy(*PAGE, along).orderBy(order).rangeBetween(1, Window.unboundedFollowing)
         return F.first(F.when(F.col("ins") == way, at), ignorenulls=True).over(further)
 
-    found = turns.withColumn("N", ahead("N", "x", "y")).withColumn("S", ahead("S", "x", "y")).withColumn("E", ahead("E", "y", "x")).withColumn("W", ahead("W", "y", "x"))
+    found = (
+        turns.withColumn("N", ahead("N", "x", "y"))
+        .withColumn("S", ahead("S", "x", "y"))
+        .withColumn("E", ahead("E", "y", "x"))
+        .withColumn("W", ahead("W", "y", "x"))
+    )
     chosen = F.coalesce(*[F.when(F.col("outs") == w, F.col(w)) for w in "NSEW"])
-    return found.withColumn("next", chosen).select(*turns.columns, F.col("next.x").alias("next_x"), F.col("next.y").alias("next_y"), F.col("next.flags").alias("next_flags"))
+    return (
+        found.withColumn("next", chosen)
+        .select(*turns.columns, F.col("next.x").alias("next_x"), F.col("next.y").alias("next_y"), F.col("next.flags").alias("next_flags"))
+    )
 
 
 def polygons(linked: DataFrame) -> DataFrame:
