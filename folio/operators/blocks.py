@@ -5,138 +5,50 @@ boxes meet exactly. All is keyed by (doc_id, page)."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import line_ending
-from . import PAGE, STRIPS, engulfed, strip_gaps, strip_islands
-
-#: Directions in and out of a corner by the quarters around it that are white: 8 north-west, 4 north-east, 2 south-east,
-#: 1 south-west (fixed values). Outlines run clockwise around text.
-ARROWS = {1: "NW", 2: "WS", 4: "SE", 7: "SW", 8: "EN", 11: "WN", 13: "NE", 14: "ES"}
-#: The side of a cell that letters meet in.
-CELL = 8
-#: Corners whose white quarters only touch are two corners.
-TOUCHING = {5: (4, 1), 10: (8, 2)}
-
-
-def white_strips(words: DataFrame, width: int = 612, height: int = 792) -> DataFrame:
-    """The gaps of all strips; one without words is white from top to bottom."""
-    gaps = strip_gaps(words, width, height)
-    w = width / STRIPS
-    strips = F.sequence(F.greatest(F.floor(F.col("left") / w), F.lit(0)).cast("int"), F.least(F.ceil(F.col("right") / w) - 1, F.lit(STRIPS - 1)).cast("int"))
-    inside = F.when((F.col("right") > 0) & (F.col("left") < width), strips).otherwise(F.array().cast("array<int>"))
-    used = words.select(*PAGE, F.explode_outer(inside).alias("strip")).groupBy(*PAGE).agg(F.collect_set("strip").alias("used"))
-    empty = (
-        used.select(*PAGE, F.explode(F.array_except(F.sequence(F.lit(0), F.lit(STRIPS - 1)), "used")).alias("strip"))
-        .withColumn("strip", F.col("strip").cast("long"))
-    )
-    kind = words.schema["bottom"].dataType
-    return gaps.unionByName(empty.withColumn("top", F.lit(height).cast(kind)).withColumn("bottom", F.lit(0).cast(kind)))
+from . import PAGE, steps
+from .pages import over_pages
 
 
 def white_boxes(words: DataFrame, width: int = 612, height: int = 792, least: float = 0.3) -> DataFrame:
     """left, right (strip numbers), top, bottom of the white boxes that touch the page's edge or are at least ``least`` of
-    the page's upper median size tall."""
-    sizes = (
-        words.groupBy(*PAGE)
-        .agg(F.sort_array(F.collect_list("size")).alias("s"))
-        .select(*PAGE, F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median"))
-    )
-    boxes = (
-        strip_islands(white_strips(words, width, height))
-        .select(*PAGE, F.col("first_strip").alias("left"), (F.col("last_strip") + 1).alias("right"), "top", "bottom")
-    )
-    on_edge = (F.col("left") == 0) | (F.col("right") == STRIPS) | (F.col("top") == height) | (F.col("bottom") == 0)
-    return boxes.join(sizes, list(PAGE)).where(on_edge | (F.col("top") - F.col("bottom") >= least * F.col("median"))).drop("median")
+    the page's upper median size tall. A strip without words is white from top to bottom."""
+    return over_pages(words, steps.white_boxes(width, height, least))
 
 
 def vertices(boxes: DataFrame) -> DataFrame:
-    """x, y, flags of the different corners of boxes: which of the four quarters around each is white. Corners meet boxes by
-    strip number, then by height."""
-    corners = F.array(*[F.struct(F.col(x).alias("x"), F.col(y).alias("y")) for x in ("left", "right") for y in ("top", "bottom")])
-    points = boxes.select(*PAGE, F.explode(corners).alias("p")).select(*PAGE, "p.*").distinct()
-    spread = boxes.select("*", F.explode(F.sequence("left", "right")).alias("x"))
-    west, east, low, high = F.col("x") > F.col("left"), F.col("x") < F.col("right"), F.col("y") > F.col("bottom"), F.col("y") < F.col("top")
-    bits = sum((F.when(a & b, n).otherwise(0) for a, b, n in ((west, high, 8), (east, high, 4), (east, low, 2), (west, low, 1))), F.lit(0))
-    met = points.join(spread, [*PAGE, "x"]).where("y BETWEEN bottom AND top")
-    return met.groupBy(*PAGE, "x", "y").agg(F.bit_or(bits).alias("flags"))
+    """x, y, flags of the different corners of boxes: which of the four quarters around each is white."""
+    return over_pages(boxes, steps.vertices)
 
 
 def corners(points: DataFrame) -> DataFrame:
     """The vertices where an outline turns, with the directions into (``ins``) and out of (``outs``) them. Those with all or
     no, or two neighbouring white quarters are no corners."""
-    split = F.array(F.col("flags"))
-    for flags, two in TOUCHING.items():
-        split = F.when(F.col("flags") == flags, F.array(*map(F.lit, two))).otherwise(split)
-    turned = points.where("flags % 3 <> 0").withColumn("flags", F.explode(split))
-    ways = F.create_map(*[F.lit(x) for kv in ARROWS.items() for x in kv])[F.col("flags")]
-    return turned.select(*PAGE, "x", "y", "flags", F.substr(ways, F.lit(1), F.lit(1)).alias("ins"), F.substr(ways, F.lit(2), F.lit(1)).alias("outs"))
+    return over_pages(points, steps.corners)
 
 
 def next_corners(turns: DataFrame) -> DataFrame:
-    """Adds next_x, next_y, next_flags: the nearest corner that the way out leads into. Windows along columns and rows; no
+    """Adds next_x, next_y, next_flags: the nearest corner that the way out leads into, looked up along columns and rows; no
     corner is compared with another."""
-    at = F.struct("x", "y", "flags")
-
-    def ahead(way: str, along: str, across: str) -> Column:
-        order = F.col(across).asc() if way in "NE" else F.col(across).desc()
-        further = Window.partitionBy(*PAGE, along).orderBy(order).rangeBetween(1, Window.unboundedFollowing)
-        return F.first(F.when(F.col("ins") == way, at), ignorenulls=True).over(further)
-
-    found = (
-        turns.withColumn("N", ahead("N", "x", "y"))
-        .withColumn("S", ahead("S", "x", "y"))
-        .withColumn("E", ahead("E", "y", "x"))
-        .withColumn("W", ahead("W", "y", "x"))
-    )
-    chosen = F.coalesce(*[F.when(F.col("outs") == w, F.col(w)) for w in "NSEW"])
-    return (
-        found.withColumn("next", chosen)
-        .select(*turns.columns, F.col("next.x").alias("next_x"), F.col("next.y").alias("next_y"), F.col("next.flags").alias("next_flags"))
-    )
+    return over_pages(turns, steps.next_corners)
 
 
 def polygons(linked: DataFrame) -> DataFrame:
     """Adds ``polygon``: corners that lead to one another have the number of the first of them (by x, then y from the top)."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["x", "y", "flags"], ascending=[True, False, True], ignore_index=True)
-        key = {k: i for i, k in enumerate(zip(rows["x"], rows["y"], rows["flags"], strict=True))}
-        to = [key.get(k) for k in zip(rows["next_x"], rows["next_y"], rows["next_flags"], strict=True)]
-        label: dict[int, int] = {}
-        for start in range(len(rows)):
-            path, at = [], start
-            while at is not None and at not in label:
-                label[at] = start
-                path.append(at)
-                at = to[at]
-            if at is not None and label[at] != start:  # it leads into an older outline
-                label.update(dict.fromkeys(path, label[at]))
-        return rows.assign(polygon=[label[i] for i in range(len(rows))])
-
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in linked.schema), "polygon int"])
-    return linked.groupBy(*PAGE).applyInPandas(run, schema)
+    return over_pages(linked, steps.polygons)
 
 
 def polygon_boxes(outlined: DataFrame) -> DataFrame:
     """left, right (strip numbers), top, bottom of each polygon."""
-    sides = (F.min("x").alias("left"), F.max("x").alias("right"), F.max("y").alias("top"), F.min("y").alias("bottom"))
-    return outlined.groupBy(*PAGE, "polygon").agg(*sides)
+    return over_pages(outlined, steps.polygon_boxes)
 
 
 def text_boxes(words: DataFrame, width: int = 612, height: int = 792) -> DataFrame:
     """xmin, ymin, xmax, ymax, box of the boxes that white space encloses: the outermost, without the page itself, numbered
     from 0 by left, then from the top."""
-    found = polygon_boxes(polygons(next_corners(corners(vertices(white_boxes(words, width, height))))))
-    page = (F.col("left") == 0) & (F.col("right") == STRIPS) & (F.abs(F.col("top") - height) < 0.1) & (F.abs(F.col("bottom")) < 0.1)
-    outer = engulfed(found.where(~page).drop("polygon"))
-    number = (F.row_number().over(Window.partitionBy(*PAGE).orderBy("left", F.desc("top"), "right", "bottom")) - 1).cast("long")
-    x = lambda c: (F.col(c) * (width / STRIPS)).alias
-    return outer.select(*PAGE, x("left")("xmin"), F.col("bottom").cast("double").alias("ymin"), x("right")("xmax"), F.col("top").cast("double").alias("ymax"), number.alias("box"))
+    return over_pages(words, steps.text_boxes(width, height))
 
 
 def contains(slack: float = 0.1) -> Column:
@@ -154,19 +66,7 @@ def text_blocks(elements: DataFrame, boxes: DataFrame) -> DataFrame:
     """box, part, text, left, right, bottom, top, size: the text of each box in reading order, a new part beginning with a
     line that is indented against the one above. A block has its box's sides; where a box is parted, the last line's bottom
     and the first one's top. The size is that of the first element."""
-    order = Window.partitionBy(*PAGE, "box").orderBy(F.desc("bottom"), "left", "text")
-    inside = assign_boxes(elements, boxes)
-    above = F.lag("bottom").over(order)
-    begins = F.coalesce((F.col("bottom") < above) & (F.col("left") - F.lag("left").over(order) > 0.1) & (F.col("top") < above), F.lit(False))
-    parted = inside.withColumn("part", F.sum(begins.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    line = F.struct((-F.col("bottom")).alias("y"), "left", "text", "size", "top", "bottom")
-    blocks = parted.groupBy(*PAGE, "box", "part", "xmin", "xmax", "ymin", "ymax").agg(F.sort_array(F.collect_list(line)).alias("lines"))
-    last = Window.partitionBy(*PAGE, "box")
-    blocks = blocks.withColumn("parts", F.max("part").over(last))
-    joined = F.concat(F.array_join(F.transform(F.slice("lines", F.lit(1), F.size("lines") - 1), lambda x: line_ending(x["text"])), ""), F.element_at("lines", -1)["text"])
-    top = F.when(F.col("part") == 0, F.col("ymax")).otherwise(F.col("lines")[0]["top"])
-    bottom = F.when(F.col("part") == F.col("parts"), F.col("ymin")).otherwise(F.element_at("lines", -1)["bottom"])
-    return blocks.select(*PAGE, "box", "part", joined.alias("text"), F.col("xmin").alias("left"), F.col("xmax").alias("right"), bottom.cast("double").alias("bottom"), top.cast("double").alias("top"), F.col("lines")[0]["size"].alias("size"))
+    return over_pages(assign_boxes(elements, boxes), steps.text_blocks)
 
 
 def greedy_lines(words: DataFrame) -> DataFrame:
@@ -174,41 +74,11 @@ def greedy_lines(words: DataFrame) -> DataFrame:
     stands right of it on its line (bottoms less than 0.7 of the other's size apart), no further than half the size, unless
     an edge forbids it (a right edge of the left one or a left edge of the right one, and a gap). The left word's size and
     font stay, its top is the larger size above its bottom."""
-    columns = [c for c in ("font",) if c in words.columns]
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["left", "bottom", "text"], ascending=[True, False, True], ignore_index=True)
-        left, right, bottom, size = (rows[c].astype(float).tolist() for c in ("left", "right", "bottom", "size"))
-        top, text = rows["top"].astype(float).tolist(), rows["text"].tolist()
-        stop, start = rows["right_edge"].tolist(), rows["left_edge"].tolist()
-        gone = [False] * len(rows)
-        for i in range(len(rows)):
-            at = i + 1
-            while not gone[i] and at < len(rows):
-                gap = left[at] - right[i]
-                if left[at] > right[i] + 0.5 * size[i]:
-                    break  # in order of left: all others are too far as well
-                if not gone[at] and left[at] > right[i] and abs(bottom[at] - bottom[i]) < 0.7 * size[at] and not ((stop[i] or start[at]) and gap > 0):
-                    text[i] += " " + text[at]
-                    right[i], stop[i], gone[at] = right[at], stop[i] or stop[at], True
-                    top[i] = max(size[i], size[at]) + bottom[i]
-                    at = i
-                at += 1
-        out = rows.assign(text=text, right=right, top=top, left=left, bottom=bottom, size=size)[[not g for g in gone]]
-        return out[["doc_id", "page", "text", "left", "right", "bottom", "top", *columns, "size"]]
-
-    schema = "doc_id long, page long, text string, left double, right double, bottom double, top double, " + "".join(f"{c} string, " for c in columns) + "size double"
-    return words.groupBy(*PAGE).applyInPandas(run, schema)
+    return over_pages(words, steps.greedy_lines)
 
 
 def adjacent_letters(glyphs: DataFrame) -> DataFrame:
     """seq, next_seq: for each letter the nearest one to its right that adjoins it: it begins right of the letter's left,
     bottoms differ by less than a tenth of the size, and the gap is less than a hundredth of it, or they overlap. Letters
-    meet in square cells of the page, so that no page is compared with itself."""
-    size, cells = F.col("size"), lambda low, high: F.sequence(F.floor(low / CELL), F.floor(high / CELL))
-    a = glyphs.select(*PAGE, "seq", "left", "right", "bottom", "size", F.explode(cells(F.col("left"), F.greatest("left", "right") + 0.01 * size)).alias("cell"))
-    a = a.select("*", F.explode(cells(F.col("bottom") - 0.1 * size, F.col("bottom") + 0.1 * size)).alias("band"))
-    o = glyphs.select(*PAGE, F.col("seq").alias("o_seq"), F.col("left").alias("o_left"), F.col("bottom").alias("o_bottom"), F.floor(F.col("left") / CELL).alias("cell"), F.floor(F.col("bottom") / CELL).alias("band"))
-    near = "o_seq <> seq AND o_left > left AND abs(o_bottom - bottom) < 0.1 * size AND (abs(o_left - right) < 0.01 * size OR o_left < right)"
-    met = a.join(o, [*PAGE, "cell", "band"]).where(near)
-    return met.groupBy(*PAGE, "seq").agg(F.min(F.struct("o_left", "o_seq"))["o_seq"].alias("next_seq"))
+    are looked up by their bottoms, so that no page is compared with itself."""
+    return over_pages(glyphs, steps.adjacent_letters)
