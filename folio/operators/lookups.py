@@ -40,8 +40,9 @@ def with_fallback_fonts(uses: DataFrame, fonts: DataFrame) -> DataFrame:
 
 
 def named_glyphs(names: DataFrame, table: DataFrame) -> DataFrame:
-    """``names`` (raw, name) with ``unicode``: by the table of glyph names, else the number in uniXXXX or Gxx, else ``raw``."""
-    number = F.coalesce(*[F.conv(F.nullif(F.regexp_extract("name", p, 1), F.lit("")), 16, 10).cast("int") for p in ("^/uni([0-9A-Fa-f]{4})", "^/G([0-9A-Fa-f]{2})$")])
+    """``names`` (raw, name) with ``unicode``: by the table of glyph names, else the number in uniXXXX (five or six
+    digits that nothing more follows count whole) or Gxx, else ``raw``."""
+    number = F.coalesce(*[F.conv(F.nullif(F.regexp_extract("name", p, 1), F.lit("")), 16, 10).cast("int") for p in ("^/uni([0-9A-Fa-f]{5,6}(?![0-9A-Fa-f])|[0-9A-Fa-f]{4})", "^/G([0-9A-Fa-f]{2})$")])
     return names.join(table, "name", "left").withColumn("unicode", F.coalesce("unicode", number, "raw"))
 
 
