@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .pages import ROWS, begins, numbered, whole_groups
+
 #: The width of a glyph that has none (fixed value).
 DEFAULT_WIDTH = 500
 
@@ -133,10 +137,20 @@ def page_leaves(nodes: DataFrame) -> DataFrame:
     """doc_id, node, page: the leaves of page trees (doc_id, node, parent, place) in order, walked document by document. What
     leads back into a tree is cut; a node that no root leads to has no page."""
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, ("doc_id",), ROWS):
+            starts = np.flatnonzero(begins(numbered(table["doc_id"])))
+            rows = list(zip(*(table[c].to_pylist() for c in ("place", "node", "parent")), strict=True))
+            leaves = [walked(rows[a:b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(rows)], strict=True)]
+            each = np.fromiter(map(len, leaves), np.int64, len(leaves))
+            ids = table["doc_id"].combine_chunks().take(pa.array(np.repeat(starts, each)))
+            nodes_, pages = [n for found in leaves for n in found], [k for n in each.tolist() for k in range(1, n + 1)]
+            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), pa.array(nodes_, pa.int64()), pa.array(pages, pa.int64())], names=["doc_id", "node", "page"])
+
+    def walked(rows: list[tuple]) -> list[int]:
         below: dict = defaultdict(list)
-        for node, parent, place in zip(rows["node"], rows["parent"], rows["place"], strict=True):
-            below[None if pd.isna(parent) else int(parent)].append((place, node))
+        for place, node, parent in rows:
+            below[parent].append((place, node))
         todo, seen, out = [n for _, n in sorted(below[None], reverse=True)], set(), []
         while todo:
             node = todo.pop()
@@ -147,9 +161,10 @@ def page_leaves(nodes: DataFrame) -> DataFrame:
                 todo += [n for _, n in sorted(below[node], reverse=True)]
             else:
                 out.append(node)
-        return pd.DataFrame({"doc_id": rows["doc_id"].iloc[0], "node": out, "page": range(1, len(out) + 1)})
+        return out
 
-    return nodes.groupBy("doc_id").applyInPandas(run, "doc_id long, node long, page long")
+    nodes = nodes.select("doc_id", "node", "parent", "place").repartition("doc_id").sortWithinPartitions("doc_id")
+    return nodes.mapInArrow(run, "doc_id long, node long, page long")
 
 
 def shares_edge(a: Column, b: Column) -> Column:
