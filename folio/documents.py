@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as op
-from .operators import blocks
+from .operators import blocks, steps
 from .operators.lookups import midpoints
 from .pdf import relations as rel
 from .sources import pdf_files
@@ -30,8 +30,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def words(files: DataFrame, pages: list[int] | None = None) -> DataFrame:
     """Words with their fonts and edge flags. Of letters that stand twice at a place one counts."""
     letters = rel.glyphs(files, pages).withColumn("row", F.lit(0)).withColumn("k", F.lit(0)).withColumn("i", F.col("seq"))
-    found = op.words_from_letters(op.dedupe_letters(letters))
-    return op.edge_flags(found.withColumn("row", F.lit(0)).withColumn("k", F.lit(0)))
+    found = op.over_pages(letters, steps.dedupe_letters, steps.words_from_letters, steps.edge_flags)
+    return found.withColumn("row", F.lit(0)).withColumn("k", F.lit(0))
 
 
 def page_frames(files: DataFrame, elements: DataFrame) -> DataFrame:
