@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
 from .. import operators as op
 from ..operators import steps
+from ..operators.pages import Pages, begins
 from ..pdf.relations import roundtrip
-from ..sources import glyphs_of, words_of
+from ..sources import glyphs_of, letters, words_of
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -87,8 +90,12 @@ def atomic_letters(w):
 
 @query(f"{WORDS} {LETTERS}")
 def dedupe_letters(w):
-    twice = F.when(F.col("text") == "e", F.array("i", F.col("i") + 1000)).otherwise(F.array("i"))
-    return whole(glyphs_of(w).withColumn("i", F.explode(twice)), steps.dedupe_letters)
+    def twice(p):
+        e = pc.equal(p["text"], "e").to_numpy(zero_copy_only=False)
+        at = np.repeat(np.arange(len(p)), 1 + e)
+        return p.take(at, i=p["i"][at] + 1000 * ~begins(at))
+
+    return whole(w, letters, twice, steps.dedupe_letters)
 
 
 for side, x in (("left", '"left"::DOUBLE'), ("right", '"right"::DOUBLE'), ("mid", '("left" + "right") / 2.0::DOUBLE')):
@@ -103,7 +110,7 @@ def edge_flags(w):
 
 @query(f"{WORDS} SELECT {ELEMENT} FROM words")
 def words_from_letters(w):
-    return whole(glyphs_of(w), steps.words_from_letters)
+    return whole(w, letters, steps.words_from_letters)
 
 
 @query(f'{WORDS} SELECT doc_id, page, list_sort(list("right" - "left"))[count(*) // 2 + 1] AS median FROM words GROUP BY doc_id, page')
@@ -219,7 +226,10 @@ def greedy_lines(w):
 @query(f"""{WORDS}, g AS (SELECT doc_id, page, ((row * 1000 + k) * 1000 + i)::BIGINT AS seq, "left" + 5 * i AS l, bottom, row FROM words, range(1000) r(i) WHERE i < length(text))
 SELECT a.doc_id, a.page, a.seq, b.seq AS next_seq FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.page = b.page AND a.bottom = b.bottom AND b.l = a.l + 5""")
 def adjacent_letters(w):
-    return whole(glyphs_of(w).withColumn("seq", (F.col("row") * 1000 + F.col("k")) * 1000 + F.col("i")), steps.adjacent_letters)
+    def numbered(p):
+        return Pages(p.keys, p.of, p.columns | {"seq": (p["row"] * 1000 + p["k"]) * 1000 + p["i"]})
+
+    return whole(w, letters, numbered, steps.adjacent_letters)
 
 
 CARVE = "CASE WHEN instr({r}, '{b}') > 0 THEN left({r}, instr({r}, '{b}') - 1) ELSE {r} END"

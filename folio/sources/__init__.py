@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 from ..operators.pages import ROWS as PAGE_ROWS
-from ..operators.pages import begins, same_values, since, whole_groups
+from ..operators.pages import Pages, begins, same_values, since, whole_groups
 
 #: Bytes of text that are laid out at a time; a longer text is laid out whole.
 AT_ONCE = 1 << 19
@@ -93,3 +93,15 @@ def glyphs_of(words: DataFrame) -> DataFrame:
     letters = words.select("*", F.posexplode(F.split("text", "")).alias("i", "glyph"))
     left = F.col("left") + GLYPH * F.col("i")
     return letters.select("doc_id", "page", "row", "k", F.col("i").cast("long").alias("i"), F.col("glyph").alias("text"), left.alias("left"), (left + GLYPH).alias("right"), "bottom", "top", "size")
+
+
+def letters(p: Pages) -> Pages:
+    """``glyphs_of`` as a step over pages: only words cross from Spark."""
+    n = pc.utf8_length(p["text"]).to_numpy().astype(np.int64)
+    word = np.repeat(np.arange(len(p)), n)
+    i = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    held, which = np.unique(np.frombuffer("".join(p["text"].to_pylist()).encode("utf-32-le"), np.uint32), return_inverse=True)
+    text = pa.array(map(chr, held.tolist()), p["text"].type).take(pa.array(which))
+    row, k, left, bottom, top, size = (p[c][word] for c in ("row", "k", "left", "bottom", "top", "size"))
+    left = left + GLYPH * i
+    return p.of_columns(p.of[word], row=row, k=k, i=i, text=text, left=left, right=left + GLYPH, bottom=bottom, top=top, size=size)
