@@ -1,11 +1,12 @@
 """Whole pages in Arrow batches: rules that look at a page as a whole run as numpy steps over many pages at once.
 
 A step takes ``Pages`` and gives ``Pages``. Nothing is shuffled, sorted or spilled by Spark where the rows of a page already stand
-one after the other in one partition (as ``sources.words_of`` lays them out), and a task holds some pages at a time."""
+one after the other in one partition, and a task holds some pages at a time. ``sources.words_of`` runs steps on the pages that it
+lays out, so that their words do not cross from Python to Spark and back."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +42,20 @@ class Pages:
     def of_columns(self, of: np.ndarray, **columns) -> Pages:
         return Pages(self.keys, of, columns)
 
+    def only(self, *names: str) -> Pages:
+        return Pages(self.keys, self.of, {c: self.columns[c] for c in names})
+
+    def parts(self, limit: int) -> Iterator[Pages]:
+        """Whole pages, about ``limit`` rows at a time."""
+        starts = np.flatnonzero(begins(self.of))
+        part = starts // limit
+        ends = [*starts[1:][part[1:] != part[:-1]].tolist(), len(self)]
+        for a, b in zip([0, *ends], ends, strict=False):
+            if b > a:
+                low, high = int(self.of[a]), int(self.of[b - 1]) + 1
+                keys = {k: v.slice(low, high - low) for k, v in self.keys.items()}
+                yield Pages(keys, self.of[a:b] - low, {k: v[a:b] if isinstance(v, np.ndarray) else v.slice(a, b - a) for k, v in self.columns.items()})
+
     def batch(self) -> pa.RecordBatch:
         at = pa.array(self.of)
         held = {k: self.keys[k].take(at) for k in PAGE} | self.columns
@@ -146,22 +161,28 @@ def pages_of(table: pa.Table) -> Pages:
     return Pages({k: whole_array(table[k]).take(first) for k in PAGE}, np.cumsum(new) - 1, plain)
 
 
+def through(pages: Pages, steps: Iterable[Step]) -> Pages:
+    for step in steps:
+        pages = step(pages)
+    return pages
+
+
+def sliced(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    for at in range(0, batch.num_rows, ROWS):
+        yield batch.slice(at, ROWS)
+
+
 def over_pages(rows: DataFrame, *steps: Step, together: bool = False) -> DataFrame:
     """The steps over all pages. ``together``: the rows of each page already stand one after the other in one partition;
     otherwise they are brought together."""
     into = to_arrow_schema(rows.schema)
 
     def stepped(table: pa.Table) -> pa.RecordBatch:
-        pages = pages_of(table)
-        for step in steps:
-            pages = step(pages)
-        return pages.batch()
+        return through(pages_of(table), steps).batch()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, PAGE, ROWS):
-            out = stepped(table)
-            for at in range(0, out.num_rows, ROWS):
-                yield out.slice(at, ROWS)
+            yield from sliced(stepped(table))
 
     schema = from_arrow_schema(stepped(pa.Table.from_arrays([pa.array([], f.type) for f in into], schema=into)).schema)
     if not together:

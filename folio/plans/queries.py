@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 import numpy as np
 import pyarrow.compute as pc
@@ -37,20 +38,25 @@ gaps AS (SELECT * FROM gap0 WHERE top > bottom UNION ALL SELECT doc_id, page, st
 
 
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return words_of(docs(spark, sf_dir))
 
 
-def whole(rows: DataFrame, *found: steps.Step) -> DataFrame:
-    """Steps over pages whose rows stand together, as those of ``words_of`` do."""
-    return op.over_pages(rows, *found, together=True)
+def laid_out(**layout: int) -> Callable[[SparkSession, str], Callable[..., DataFrame]]:
+    """Pages of the texts for steps: the relation that the steps given make of them."""
+    return lambda spark, sf_dir: partial(words_of, docs(spark, sf_dir), **layout)
+
+
+def only(*names: str) -> steps.Step:
+    return lambda p: p.only(*names)
 
 
 LINES, GAPS, WHITE, BOXED = (steps.edge_flags, steps.lines_from_words), steps.strip_gaps(612, 792), steps.white_boxes(612, 792), steps.text_boxes(612, 792)
 TURNS = (WHITE, steps.vertices, steps.corners, steps.next_corners)
+pages = laid_out()
 
 
-def query(sql: str | None = None, over: Callable[[SparkSession, str], DataFrame] = words) -> Callable:
-    def add(f: Callable[[DataFrame], DataFrame]) -> Callable:
+def query(sql: str | None = None, over: Callable = words) -> Callable:
+    def add(f: Callable[..., DataFrame]) -> Callable:
         QUERIES[f.__name__] = lambda spark, sf_dir: f(over(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = sql
@@ -70,9 +76,9 @@ def tables(name: str) -> Callable[[SparkSession, str], DataFrame]:
 ELEMENT = 'doc_id, page, text, "left", "right", bottom, top, size'
 
 
-@query(f"{WORDS} SELECT {ELEMENT} FROM lines ORDER BY doc_id, page, bottom DESC, \"left\"")
+@query(f"{WORDS} SELECT {ELEMENT} FROM lines ORDER BY doc_id, page, bottom DESC, \"left\"", pages)
 def text_elements(w):
-    return whole(w, *LINES, steps.in_reading_order)  # in order of doc_id and page, as the words come
+    return w(*LINES, steps.in_reading_order)  # in order of doc_id and page, as the words come
 
 
 @query(f"{WORDS} SELECT {ELEMENT} FROM words")
@@ -88,29 +94,29 @@ def atomic_letters(w):
     return glyphs_of(w)
 
 
-@query(f"{WORDS} {LETTERS}")
+@query(f"{WORDS} {LETTERS}", pages)
 def dedupe_letters(w):
     def twice(p):
         e = pc.equal(p["text"], "e").to_numpy(zero_copy_only=False)
         at = np.repeat(np.arange(len(p)), 1 + e)
         return p.take(at, i=p["i"][at] + 1000 * ~begins(at))
 
-    return whole(w, letters, twice, steps.dedupe_letters)
+    return w(letters, twice, steps.dedupe_letters)
 
 
 for side, x in (("left", '"left"::DOUBLE'), ("right", '"right"::DOUBLE'), ("mid", '("left" + "right") / 2.0::DOUBLE')):
-    QUERIES[f"edge_table_{side}"] = lambda spark, sf_dir, side=side: whole(words(spark, sf_dir), steps.edge_table(side))
+    QUERIES[f"edge_table_{side}"] = lambda spark, sf_dir, side=side: pages(spark, sf_dir)(steps.edge_table(side))
     ORACLE_SQL[f"edge_table_{side}"] = f"{WORDS} SELECT doc_id, page, floor(10 * {x})::BIGINT AS edge, count(*) AS n FROM words GROUP BY ALL HAVING count(*) >= 4"
 
 
-@query(f"{WORDS} SELECT doc_id, page, row, k, left_edge, right_edge FROM flagged")
+@query(f"{WORDS} SELECT doc_id, page, row, k, left_edge, right_edge FROM flagged", pages)
 def edge_flags(w):
-    return whole(w, steps.edge_flags).select("doc_id", "page", "row", "k", "left_edge", "right_edge")
+    return w(steps.edge_flags, only("row", "k", "left_edge", "right_edge"))
 
 
-@query(f"{WORDS} SELECT {ELEMENT} FROM words")
+@query(f"{WORDS} SELECT {ELEMENT} FROM words", pages)
 def words_from_letters(w):
-    return whole(w, letters, steps.words_from_letters)
+    return w(letters, steps.words_from_letters)
 
 
 @query(f'{WORDS} SELECT doc_id, page, list_sort(list("right" - "left"))[count(*) // 2 + 1] AS median FROM words GROUP BY doc_id, page')
@@ -123,14 +129,14 @@ def page_bounds(w):
     return op.page_bounds(w)
 
 
-@query(f"{WORDS} SELECT doc_id, page, strip, top::BIGINT AS top, bottom::BIGINT AS bottom FROM gaps")
+@query(f"{WORDS} SELECT doc_id, page, strip, top::BIGINT AS top, bottom::BIGINT AS bottom FROM gaps", pages)
 def strip_gaps(w):
-    return whole(w, GAPS)
+    return w(GAPS)
 
 
-@query(f"{WORDS} SELECT doc_id, page, top::BIGINT AS top, bottom::BIGINT AS bottom, min(strip) AS first_strip, max(strip) AS last_strip FROM (SELECT *, strip - row_number() OVER (PARTITION BY doc_id, page, top, bottom ORDER BY strip) AS run FROM gaps) GROUP BY doc_id, page, top, bottom, run")
+@query(f"{WORDS} SELECT doc_id, page, top::BIGINT AS top, bottom::BIGINT AS bottom, min(strip) AS first_strip, max(strip) AS last_strip FROM (SELECT *, strip - row_number() OVER (PARTITION BY doc_id, page, top, bottom ORDER BY strip) AS run FROM gaps) GROUP BY doc_id, page, top, bottom, run", pages)
 def strip_islands(w):
-    return whole(w, GAPS, steps.strip_islands)
+    return w(GAPS, steps.strip_islands)
 
 
 @query(f"{WORDS} SELECT doc_id, page, row, k, row_number() OVER (PARTITION BY doc_id, page ORDER BY bottom DESC, \"left\", row, k) AS place FROM words")
@@ -138,14 +144,14 @@ def reading_order(w):
     return op.reading_order(w).select("doc_id", "page", "row", "k", "place")
 
 
-@query(f"{WORDS} SELECT doc_id, page, bottom, \"left\", coalesce(bottom < lag(bottom) OVER o AND \"left\" - lag(\"left\") OVER o > 0.1, false) AS breaks FROM lines WINDOW o AS (PARTITION BY doc_id, page ORDER BY bottom DESC, \"left\")")
+@query(f"{WORDS} SELECT doc_id, page, bottom, \"left\", coalesce(bottom < lag(bottom) OVER o AND \"left\" - lag(\"left\") OVER o > 0.1, false) AS breaks FROM lines WINDOW o AS (PARTITION BY doc_id, page ORDER BY bottom DESC, \"left\")", pages)
 def indent_breaks(w):
-    return whole(w, *LINES, steps.indent_breaks).select("doc_id", "page", "bottom", "left", "breaks")
+    return w(*LINES, steps.indent_breaks, only("bottom", "left", "breaks"))
 
 
-@query(f"{WORDS} SELECT doc_id, page, rtrim(string_agg(CASE WHEN right(text, 1) IN ('-','‐','‑','‒','–','—','―') THEN left(text, length(text) - 1) WHEN right(text, 1) IN (' ', chr(160)) THEN text ELSE text || ' ' END, '' ORDER BY bottom DESC, \"left\"), ' ') AS text FROM lines GROUP BY doc_id, page")
+@query(f"{WORDS} SELECT doc_id, page, rtrim(string_agg(CASE WHEN right(text, 1) IN ('-','‐','‑','‒','–','—','―') THEN left(text, length(text) - 1) WHEN right(text, 1) IN (' ', chr(160)) THEN text ELSE text || ' ' END, '' ORDER BY bottom DESC, \"left\"), ' ') AS text FROM lines GROUP BY doc_id, page", pages)
 def paste_lines(w):
-    return whole(w, *LINES, steps.paste_lines)
+    return w(*LINES, steps.paste_lines)
 
 
 #: The same documents in two columns of up to 40 characters, without words of more than 12 letters.
@@ -172,38 +178,37 @@ boxed AS (SELECT doc_id, page, l * (612 / 200::DOUBLE) AS xmin, bottom::DOUBLE A
 HELD = '"left" > xmin - 0.1::DOUBLE AND "right" < xmax + 0.1::DOUBLE AND top < ymax + 0.1::DOUBLE AND bottom > ymin - 0.1::DOUBLE AND NOT ("left" = xmin AND "right" = xmax AND top = ymax AND bottom = ymin)'
 
 
-def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return words_of(spark.read.parquet(f"{sf_dir}/documents.parquet"), wrap=40, columns=2, longest=12)
+columns = laid_out(wrap=40, columns=2, longest=12)
 
 
 @query(f'{BOXES} SELECT doc_id, page, l AS "left", r AS "right", top, bottom FROM white', columns)
 def white_boxes(w):
-    return whole(w, WHITE)
+    return w(WHITE)
 
 
 @query(f"{BOXES} SELECT doc_id, page, x, y, flags FROM flagged2", columns)
 def vertex_flags(w):
-    return whole(w, WHITE, steps.vertices)
+    return w(WHITE, steps.vertices)
 
 
 @query(f"{BOXES} SELECT t.doc_id, t.page, t.x, t.y, t.f AS flags, t.ins, t.outs, o.x AS next_x, o.y AS next_y, o.f AS next_flags FROM turns t LEFT JOIN nexts USING (id) LEFT JOIN turns o ON o.id = nxt", columns)
 def vertex_next(w):
-    return whole(w, *TURNS)
+    return w(*TURNS)
 
 
 @query(f'{ENCLOSED} SELECT doc_id, page, l AS "left", r AS "right", top, bottom FROM poly', columns)
 def polygon_boxes(w):
-    return whole(w, *TURNS, steps.polygons, steps.polygon_boxes).drop("polygon")
+    return w(*TURNS, steps.polygons, steps.polygon_boxes, only("left", "right", "top", "bottom"))
 
 
 @query(f"{ENCLOSED} SELECT * FROM boxed", columns)
 def text_boxes(w):
-    return whole(w, BOXED)
+    return w(BOXED)
 
 
 @query(f"{ENCLOSED} SELECT doc_id, page, row, k, box FROM words JOIN boxed USING (doc_id, page) WHERE {HELD}", columns)
 def assign_text(w):
-    return whole(w, lambda p: steps.assigned(p, BOXED(p))).select("doc_id", "page", "row", "k", "box")
+    return w(lambda p: steps.assigned(p, BOXED(p)), only("row", "k", "box"))
 
 
 @query(f"""{ENCLOSED},
@@ -215,21 +220,21 @@ SELECT doc_id, page, box, part, string_agg(CASE WHEN i = n THEN text WHEN right(
   any_value(xmin) AS "left", any_value(xmax) AS "right", CASE WHEN part = any_value(parts) THEN any_value(ymin) ELSE min(bottom) END::DOUBLE AS bottom, CASE WHEN part = 0 THEN any_value(ymax) ELSE max(top) END::DOUBLE AS top, min(size) FILTER (i = 1) AS size
 FROM numbered GROUP BY doc_id, page, box, part""", columns)
 def text_blocks(w):
-    return whole(w, lambda p: steps.assigned(steps.lines_from_words(steps.edge_flags(p)), BOXED(p)), steps.text_blocks)
+    return w(lambda p: steps.assigned(steps.lines_from_words(steps.edge_flags(p)), BOXED(p)), steps.text_blocks)
 
 
-@query(f'{WORDS} SELECT doc_id, page, text, "left"::DOUBLE AS "left", "right"::DOUBLE AS "right", bottom::DOUBLE AS bottom, top::DOUBLE AS top, size::DOUBLE AS size FROM lines')
+@query(f'{WORDS} SELECT doc_id, page, text, "left"::DOUBLE AS "left", "right"::DOUBLE AS "right", bottom::DOUBLE AS bottom, top::DOUBLE AS top, size::DOUBLE AS size FROM lines', pages)
 def greedy_lines(w):
-    return whole(w, steps.edge_flags, steps.greedy_lines)
+    return w(steps.edge_flags, steps.greedy_lines)
 
 
 @query(f"""{WORDS}, g AS (SELECT doc_id, page, ((row * 1000 + k) * 1000 + i)::BIGINT AS seq, "left" + 5 * i AS l, bottom, row FROM words, range(1000) r(i) WHERE i < length(text))
-SELECT a.doc_id, a.page, a.seq, b.seq AS next_seq FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.page = b.page AND a.bottom = b.bottom AND b.l = a.l + 5""")
+SELECT a.doc_id, a.page, a.seq, b.seq AS next_seq FROM g a JOIN g b ON a.doc_id = b.doc_id AND a.page = b.page AND a.bottom = b.bottom AND b.l = a.l + 5""", pages)
 def adjacent_letters(w):
     def numbered(p):
         return Pages(p.keys, p.of, p.columns | {"seq": (p["row"] * 1000 + p["k"]) * 1000 + p["i"]})
 
-    return whole(w, letters, numbered, steps.adjacent_letters)
+    return w(letters, numbered, steps.adjacent_letters)
 
 
 CARVE = "CASE WHEN instr({r}, '{b}') > 0 THEN left({r}, instr({r}, '{b}') - 1) ELSE {r} END"

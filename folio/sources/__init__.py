@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_type
 
 from ..operators.pages import ROWS as PAGE_ROWS
-from ..operators.pages import Pages, begins, same_values, since, whole_groups
+from ..operators.pages import Pages, Step, begins, same_values, since, sliced, through, whole_groups
 
 #: Bytes of text that are laid out at a time; a longer text is laid out whole.
 AT_ONCE = 1 << 19
@@ -36,24 +36,23 @@ def sample_files(spark: SparkSession, count: int = 9) -> DataFrame:
     return spark.range(count).mapInPandas(run, "name string, path string, content binary")
 
 
-def words_of(docs: DataFrame, wrap: int = WRAP, columns: int = 1, longest: int | None = None) -> DataFrame:
+def words_of(docs: DataFrame, *steps: Step, wrap: int = WRAP, columns: int = 1, longest: int | None = None) -> DataFrame:
     """doc_id, page, row, k, text, left, right, bottom, top, size of each word, in whole numbers. Only the texts are shuffled,
     by ranges of doc_id: words come in order of doc_id, row and k, so that pages stand together. With several ``columns`` a page
-    has as many times ROWS rows; words of more than ``longest`` letters are left out."""
+    has as many times ROWS rows; words of more than ``longest`` letters are left out. With ``steps`` the words stay in Python, and
+    what the steps make of their pages comes back."""
     kind = to_arrow_type(docs.schema["doc_id"].dataType)
-    whole = pa.schema([("doc_id", kind), *[(c, pa.string() if c == "text" else pa.int64()) for c in ("page", "row", "k", "text", "left", "right", "bottom", "top", "size")]])
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches, ("doc_id",), AT_ONCE, lambda t: pc.binary_length(t["text"]).to_numpy()):
             doc_id, text = (pa.concat_arrays(table[c].chunks) for c in ("doc_id", "text"))
-            yield from _laid_out(doc_id, text)
+            for pages in _laid_out(doc_id, text).parts(PAGE_ROWS):
+                yield from sliced(through(pages, steps).batch())
 
-    def _laid_out(doc_id: pa.Array, text: pa.Array) -> Iterator[pa.RecordBatch]:
+    def _laid_out(doc_id: pa.Array, text: pa.Array) -> Pages:
         doc, t, line = _split(text, "\n")
         at, word, w = _split(t, " ")
         length = pc.utf8_length(word).to_numpy()
-        keep = (length > 0) & (length <= (longest or length.max()))
-        kept = np.flatnonzero(keep)
+        kept = np.flatnonzero((length > 0) & (length <= longest) if longest else length > 0)
         # Rows of one doc_id, which stand together, are one document.
         same = same_values(doc_id)
         doc, line, length = same[doc[at[kept]]], line[at[kept]], length[kept]
@@ -69,15 +68,16 @@ def words_of(docs: DataFrame, wrap: int = WRAP, columns: int = 1, longest: int |
         k = np.arange(n) - first
         left = 36 + GLYPH * (before - before[first] - k) + SPACE * k + 270 * (row % (columns * ROWS) // ROWS)
         bottom = 770 - 12 * (row % ROWS)
-        numbers = [row // (columns * ROWS) + 1, row, k, left, left + GLYPH * length, bottom, bottom + SIZE, np.full(n, SIZE)]
-        page, row, k, left, right, bottom, top, size = map(pa.array, numbers)
-        found = pa.RecordBatch.from_arrays([doc_id.take(pa.array(doc)), page, row, k, word.take(pa.array(kept)), left, right, bottom, top, size], schema=whole)
-        for i in range(0, n, PAGE_ROWS):
-            yield found.slice(i, PAGE_ROWS)
+        page = row // (columns * ROWS) + 1
+        new = begins(doc, page)
+        keys = {"doc_id": doc_id.take(pa.array(doc[new])), "page": pa.array(page[new])}
+        held = {"row": row, "k": k, "text": word.take(pa.array(kept)), "left": left, "right": left + GLYPH * length, "bottom": bottom, "top": bottom + SIZE, "size": np.full(n, SIZE)}
+        return Pages(keys, np.cumsum(new) - 1, held)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.where("text IS NOT NULL").select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
-    return texts.mapInArrow(run, from_arrow_schema(whole))
+    none = _laid_out(pa.array([], kind), pa.array([], pa.string()))
+    return texts.mapInArrow(run, from_arrow_schema(through(none, steps).batch().schema))
 
 
 def _split(texts: pa.Array, by: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
