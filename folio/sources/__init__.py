@@ -17,6 +17,9 @@ from ..operators.pages import Pages, Step, begins, same_values, since, sliced, t
 
 #: Bytes of text that are laid out at a time; a longer text is laid out whole.
 AT_ONCE = 1 << 19
+#: Bytes of input, as Spark has them, that a task sorts and lays out; with more of these than ``spark.sql.shuffle.partitions``
+#: there are more tasks, up to MOST, and what one of them holds does not grow with the input.
+TASK_BYTES, MOST = 1 << 23, 1 << 13
 SIZE, GLYPH, SPACE, WRAP, ROWS = 10, 5, 3, 90, 60
 
 
@@ -74,12 +77,18 @@ def words_of(docs: DataFrame, *steps: Step, wrap: int = WRAP, columns: int = 1,
         held = {"row": row, "k": k, "text": word.take(pa.array(kept)), "left": left, "right": left + GLYPH * length, "bottom": bottom, "top": bottom + SIZE, "size": np.full(n, SIZE)}
         return Pages(keys, np.cumsum(new) - 1, held)
 
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.where("text IS NOT NULL").select("doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
+    texts = docs.where("text IS NOT NULL").select("doc_id", "text")
+    texts = texts.repartitionByRange(_tasks(texts), "doc_id").sortWithinPartitions("doc_id")
     none = _laid_out(pa.array([], kind), pa.array([], pa.string()))
     return texts.mapInArrow(run, from_arrow_schema(through(none, steps).batch().schema))
 
 
+def _tasks(rows: DataFrame) -> int:
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    needed = -(-size // TASK_BYTES) if size < 1 << 50 else 0  # a size that is not known counts as endless
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(needed, MOST))
+
+
 def _split(texts: pa.Array, by: str) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """The parts of all texts, with the place of the text and, in it, of the part."""
     lists = pc.split_pattern(texts, by)

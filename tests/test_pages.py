@@ -46,6 +46,17 @@ def test_laid_out_pages_stay_whole(spark, monkeypatch, limit):
     assert got == want and words_of(texts.where("doc_id < 0"), counted).count() == 0
 
 
+def test_tasks_follow_the_input(spark, monkeypatch, tmp_path):
+    """With more input there are more tasks than shuffle partitions; rows whose size is not known keep those."""
+    texts = spark.range(100).selectExpr("id AS doc_id", "repeat(cast(id AS string), 50) AS text")
+    texts.coalesce(1).write.parquet(f"{tmp_path}/t")
+    held = spark.read.parquet(f"{tmp_path}/t")
+    monkeypatch.setattr(sources, "TASK_BYTES", 50)
+    assert 4 < words_of(held).rdd.getNumPartitions() <= 100 and words_of(held).count() == 100
+    monkeypatch.setattr(sources, "TASK_BYTES", 1 << 23)
+    assert words_of(held).rdd.getNumPartitions() == words_of(spark.createDataFrame(texts.collect())).rdd.getNumPartitions() == 4
+
+
 def test_groups_stay_whole():
     ids = [1, 1, 1, 2, None, None, 3, 3, 3, 3, 3, 3, 3, 4]
     for size in (1, 2, 5, 14):
