@@ -3,8 +3,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from . import steps
 from .pages import PAGE, over_pages  # noqa: F401 - PAGE is used with the operators
@@ -40,18 +39,13 @@ def lines_from_words(flagged: DataFrame) -> DataFrame:
 
 
 def upper_median_size(words: DataFrame) -> DataFrame:
-    """The size at place n / 2 of the sorted sizes of a page."""
-    return (
-        words.groupBy(*PAGE)
-        .agg(F.sort_array(F.collect_list(F.col("right") - F.col("left"))).alias("s"))
-        .select(*PAGE, F.element_at("s", F.floor(F.size("s") / 2).cast("int") + 1).alias("median"))
-    )
+    """The width at place n / 2 of the sorted widths of a page's words."""
+    return over_pages(words, steps.upper_median_size)
 
 
 def page_bounds(words: DataFrame, width: int = 612, height: int = 792) -> DataFrame:
     """Page boxes, grown by ten where text sticks out."""
-    box = words.groupBy(*PAGE).agg(F.min("left").alias("l"), F.min("bottom").alias("b"), F.max("right").alias("r"), F.max("top").alias("t"))
-    return box.select(*PAGE, F.when(F.col("l") < 0, -10).otherwise(0).alias("left"), F.when(F.col("b") < 0, -10).otherwise(0).alias("bottom"), F.when(F.col("r") > width, width + 10).otherwise(width).alias("right"), F.when(F.col("t") > height, height + 10).otherwise(height).alias("top"))
+    return over_pages(words, steps.page_bounds(width, height))
 
 
 def strip_gaps(words: DataFrame, width: int = 612, height: int = 792) -> DataFrame:
@@ -71,7 +65,8 @@ def engulfed(boxes: DataFrame, slack: float = 0.1) -> DataFrame:
 
 
 def reading_order(words: DataFrame) -> DataFrame:
-    return words.withColumn("place", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("bottom"), "left", "row", "k")).cast("long"))
+    """The place of each word on its page, from 1: from the top, then from the left."""
+    return over_pages(words, steps.reading_order)
 
 
 def indent_breaks(lines: DataFrame) -> DataFrame:

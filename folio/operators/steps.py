@@ -131,6 +131,13 @@ def in_reading_order(p: Pages) -> Pages:
     return p.take(_sorted(p, -p["bottom"], p["left"]))
 
 
+def reading_order(p: Pages) -> Pages:
+    at = _sorted(p, -p["bottom"], p["left"], p["row"], p["k"])
+    place = np.empty(len(p), np.int64)
+    place[at] = np.arange(len(p)) - since(begins(p.of[at])) + 1
+    return Pages(p.keys, p.of, p.columns | {"place": place})
+
+
 def upper_medians(p: Pages, values: np.ndarray) -> np.ndarray:
     """For each page the value at place n / 2 of its sorted values."""
     at = _sorted(p, values)
@@ -138,6 +145,20 @@ def upper_medians(p: Pages, values: np.ndarray) -> np.ndarray:
     return values[at][starts + counts // 2]
 
 
+def upper_median_size(p: Pages) -> Pages:
+    return p.of_columns(np.arange(p.count), median=upper_medians(p, p["right"] - p["left"]))
+
+
+def page_bounds(width: int, height: int) -> Step:
+    def step(p: Pages) -> Pages:
+        starts = np.flatnonzero(begins(p.of))
+        low = {c: np.where(_least(p[c], starts) < 0, -10, 0).astype(np.int32) for c in ("left", "bottom")}
+        high = {c: np.where(_most(p[c], starts) > most, most + 10, most).astype(np.int32) for c, most in (("right", width), ("top", height))}
+        return p.of_columns(p.of[starts], **low, **high)
+
+    return step
+
+
 def strip_gaps(width: float, height: float) -> Step:
     w = width / STRIPS
 

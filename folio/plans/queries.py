@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import functions as fn
-from .. import operators as op
 from ..operators import steps
 from ..operators.pages import Pages, begins
 from ..pdf.relations import roundtrip
@@ -119,14 +118,14 @@ def words_from_letters(w):
     return w(letters, steps.words_from_letters)
 
 
-@query(f'{WORDS} SELECT doc_id, page, list_sort(list("right" - "left"))[count(*) // 2 + 1] AS median FROM words GROUP BY doc_id, page')
+@query(f'{WORDS} SELECT doc_id, page, list_sort(list("right" - "left"))[count(*) // 2 + 1] AS median FROM words GROUP BY doc_id, page', pages)
 def upper_median_size(w):
-    return op.upper_median_size(w)
+    return w(steps.upper_median_size)
 
 
-@query(f'{WORDS} SELECT doc_id, page, 0 AS "left", 0 AS bottom, CASE WHEN max("right") > 612 THEN 622 ELSE 612 END AS "right", CASE WHEN max(top) > 792 THEN 802 ELSE 792 END AS top FROM words GROUP BY doc_id, page')
+@query(f'{WORDS} SELECT doc_id, page, 0 AS "left", 0 AS bottom, CASE WHEN max("right") > 612 THEN 622 ELSE 612 END AS "right", CASE WHEN max(top) > 792 THEN 802 ELSE 792 END AS top FROM words GROUP BY doc_id, page', pages)
 def page_bounds(w):
-    return op.page_bounds(w)
+    return w(steps.page_bounds(612, 792))
 
 
 @query(f"{WORDS} SELECT doc_id, page, strip, top::BIGINT AS top, bottom::BIGINT AS bottom FROM gaps", pages)
@@ -139,9 +138,9 @@ def strip_islands(w):
     return w(GAPS, steps.strip_islands)
 
 
-@query(f"{WORDS} SELECT doc_id, page, row, k, row_number() OVER (PARTITION BY doc_id, page ORDER BY bottom DESC, \"left\", row, k) AS place FROM words")
+@query(f"{WORDS} SELECT doc_id, page, row, k, row_number() OVER (PARTITION BY doc_id, page ORDER BY bottom DESC, \"left\", row, k) AS place FROM words", pages)
 def reading_order(w):
-    return op.reading_order(w).select("doc_id", "page", "row", "k", "place")
+    return w(steps.reading_order, only("row", "k", "place"))
 
 
 @query(f"{WORDS} SELECT doc_id, page, bottom, \"left\", coalesce(bottom < lag(bottom) OVER o AND \"left\" - lag(\"left\") OVER o > 0.1, false) AS breaks FROM lines WINDOW o AS (PARTITION BY doc_id, page ORDER BY bottom DESC, \"left\")", pages)
